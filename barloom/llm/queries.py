@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import contamination, mixing
+from barloom.llm import contamination, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4_SQL = rf"""
@@ -48,9 +53,22 @@ FROM d LEFT JOIN covered USING (row) LEFT JOIN listed USING (row)
 """
 
 
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT row, md5(array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY a.row, b.row),
+e AS (SELECT a, b FROM p JOIN n na ON na.row = a JOIN n nb ON nb.row = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
+least AS (SELECT reach.a AS row, min(d.doc_id) AS component_id FROM reach JOIN d ON d.row = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (row) JOIN least USING (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination}
+    return {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op8_minhash": OP8_SQL}
