@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, minhash, mixing, pii
+from barloom.llm import chat, contamination, minhash, mixing, pii, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
 
 
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = pii.personal_data(texts, threshold=0.5).select("doc_id", "spans")
@@ -105,9 +113,41 @@ FROM n GROUP BY conv_id
 """
 
 
+def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
+    """The same rules, models and threshold, with one pair of common table expressions for each order."""
+    fits = []
+    for rule, what in sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0])):
+        at, _, begins = rule.partition("/")
+        fits.append((f"(host = '{at}' OR suffix(host, '.{at}')) AND prefix(path, '/{begins}')", rule, what))
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    parts = [
+        rf"""h AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages)""",
+        f"r AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled FROM h)",
+        "u AS (SELECT url, max(CAST(coalesce(ruled = 'allow', false) AS INT)) AS yes, max(CAST(coalesce(ruled = 'block', false) AS INT)) AS no FROM r WHERE url IS NOT NULL GROUP BY url)",
+        f"s AS (SELECT *, repeat(chr(2), {order - 1}) || translate(url, '{_UPPER}', '{_LOWER}') || chr(3) AS padded FROM u)",
+        f"p AS (SELECT url, yes, no, substr(padded, i, {order}) AS gram FROM (SELECT *, unnest(range(1, length(padded) - {order - 1} + 1)) AS i FROM s))",
+        "g AS (SELECT gram, sum(yes) AS yes, sum(no) AS no FROM p GROUP BY gram)",
+    ]
+    for k in range(1, order + 1):
+        below = f"JOIN p{k - 1} AS b ON b.gram = right(w.gram, {k - 1})" if k > 1 else f"CROSS JOIN (SELECT 1.0::DOUBLE / {alphabet} AS p_yes, 1.0::DOUBLE / {alphabet} AS p_no) AS b"
+        smooth = lambda side: f"coalesce((coalesce(c.{side}, 0) + t_{side} * b.p_{side}) / nullif(n_{side} + t_{side}, 0), b.p_{side}) AS p_{side}"
+        parts += [
+            f"c{k} AS (SELECT right(gram, {k}) AS gram, CAST(sum(yes) AS DOUBLE) AS yes, CAST(sum(no) AS DOUBLE) AS no FROM g WHERE yes > 0 OR no > 0 GROUP BY 1)",
+            f"x{k} AS (SELECT left(gram, {k - 1}) AS context, sum(yes) AS n_yes, sum(no) AS n_no, count(*) FILTER (yes > 0) AS t_yes, count(*) FILTER (no > 0) AS t_no FROM c{k} GROUP BY 1)",
+            f"p{k} AS (SELECT w.gram, {smooth('yes')}, {smooth('no')} FROM (SELECT DISTINCT right(gram, {k}) AS gram FROM g) AS w LEFT JOIN c{k} AS c ON c.gram = w.gram LEFT JOIN x{k} AS x ON x.context = left(w.gram, {k - 1}) {below})",
+        ]
+    parts += [
+        f"scored AS (SELECT url, max(yes) AS yes, max(no) AS no, avg(ln(p_yes) - ln(p_no)) AS score FROM p JOIN p{order} USING (gram) GROUP BY url)",
+        "k AS (SELECT avg(score) FILTER (yes > 0) AS ma, stddev_pop(score) FILTER (yes > 0) AS sa, avg(score) FILTER (no > 0) AS mr, stddev_pop(score) FILTER (no > 0) AS sr FROM scored)",
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (ma * sr + mr * sa) / (sa + sr) THEN 'allow' ELSE 'block' END) AS verdict, score FROM r LEFT JOIN scored USING (url) CROSS JOIN k"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op6_pii": op6_pii, "op8_minhash": op8_minhash, "op10_chat": op10_chat}
+    return {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op8_minhash": op8_minhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_url_filter": _op5_sql(), "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL}
