@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.bitmap import bitmap_parts, in_bitmap
 from barloom.llm.components import connected_components
-from barloom.llm.lineage import checkpointed, stored
+from barloom.llm.lineage import checkpointed, forget, stored
 from barloom.llm.tokens import SPACED, U, Words, chunks, cut_words, mix64
 
 COORDINATES, BANDS, ROWS = 192, 38, 5
@@ -126,6 +127,12 @@ def _verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _close(percent: int) -> Column:
+    """Whether the sketches x and y (n, bits1, bits2, bits3) of two sets allow a similarity of ``percent``."""
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("bits1", "bits2", "bits3")), F.lit(0))
+    return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (differ <= MOST_BITS)
+
+
 def near_duplicates(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
     """Per document: key, n_shingles, component (the least key reachable over links, its own included).
 
@@ -146,42 +153,52 @@ def near_duplicates(docs: DataFrame, key: Column | str = "doc_id", text: str = "
         F.min("row").alias("node"), F.min("id").alias("least_id"), F.min(F.struct("id", "hash")).alias("text_of"), *(F.first(c).alias(c) for c in ("bits1", "bits2", "bits3", "bands"))
     )
     classes = stored(classes)
-    sketch = F.struct("node", F.col("n_shingles").alias("n"), "bits1", "bits2", "bits3")
-    banded = classes.select(F.explode("bands").alias("bucket"), sketch.alias("x"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("x").alias("leader")).where("members > 1")
-    close = (F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2"))) + F.bit_count(F.col("x.bits3").bitwiseXOR(F.col("y.bits3")))) <= MOST_BITS
-    sized = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    led = banded.join(buckets.withColumnRenamed("leader", "y"), "bucket")
-    pairs = led.where((F.col("x.node") != F.col("y.node")) & sized & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    sketches = classes.select("node", F.struct(F.col("n_shingles").alias("n"), "bits1", "bits2", "bits3").alias("sketch"))
+    banded = classes.select(F.explode("bands").alias("bucket"), "node")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
+    shared = stored(banded.join(buckets.drop("members"), "bucket"))
+    pairs = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and sketches allow a link."""
+        x, y = sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), sketches.withColumnsRenamed({"node": "b", "sketch": "y"})
+        return pairs.join(x, "a").join(y, "b").where(_close(percent)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among the pairs, on the texts of both classes."""
         pairs = checkpointed(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_of"), "node")
-        fetched = texts.select(F.struct("id", "hash").alias("text_of"), "text").join(needed, "text_of").groupBy("node").agg(F.first("text").alias("text"))
+        needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_of"), "node"))
+        wanted = bitmap_parts(needed.select(F.col("text_of.hash").alias("hash")), "hash")
+        fetched = in_bitmap(texts, F.col("hash"), wanted).select(F.struct("id", "hash").alias("text_of"), "text").join(needed, "text_of").groupBy("node").agg(F.first("text").alias("text"))
         fetched = stored(fetched)
         both = pairs.join(fetched.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(fetched.withColumnsRenamed({"node": "b", "text": "right"}), "b")
-        return checkpointed(both.select("a", "b", "left", "right").mapInArrow(_verifier(shingle, percent), "a long, b long"))
+        links = checkpointed(both.select("a", "b", "left", "right").mapInArrow(_verifier(shingle, percent), "a long, b long"))
+        del both
+        forget(fetched)
+        return links
 
-    links = confirmed(pairs)
+    links = confirmed(alike(pairs))
     found = checkpointed(connected_components(links))
 
     # What shares a bucket with classes of another component, in blocks.
-    placed = banded.join(found.withColumnRenamed("node", "__node"), F.col("x.node") == F.col("__node"), "left").select("bucket", "x", F.coalesce("component", "x.node").alias("component"))
+    placed = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = placed.join(open_buckets.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
-    members = members.withColumn("block", F.pmod(F.xxhash64("x.node"), F.col("blocks")).cast("int"))
-    members = members.select("bucket", "x", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = checkpointed(members.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "x", "component"))
-    other = members.withColumnsRenamed({"x": "y", "block": "block2", "component": "component2"})
+    members = placed.join(open_buckets.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket").join(sketches, "node")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.select("bucket", "node", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = stored(members.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", F.col("sketch").alias("x")))
+    other = members.withColumnsRenamed({"node": "node2", "x": "y", "block": "block2", "component": "component2"})
     rest = members.join(other, ["bucket", "low", "high"])
-    rest = rest.where((F.col("component") < F.col("component2")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("block2"))) & sized & close)
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = confirmed(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = rest.where((F.col("component") < F.col("component2")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("block2"))) & _close(percent))
+    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = confirmed(rest.join(known, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     linked = classes.select(*same, "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = checkpointed(linked)
+    del rest, other, placed, open_buckets, pairs, known
+    forget(members, shared, classes)
     least = linked.groupBy("component").agg(F.min("least_id").alias("__least"))
     ids = linked.join(least, "component").select(*same, "__least")
     out = signed.select("id", *same).join(ids, same, "left")
