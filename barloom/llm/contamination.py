@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.bitmap import BITS, bitmap_array
 from barloom.llm.lineage import checkpointed, stored
 from barloom.llm.tokens import ALNUM, U, Words, chunks, cut_words, mix64
 
-BITMAP_BITS = 1 << 24
 FOUND = "array<struct<start:long,n:long,mark:long,words:string>>"
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("words", pa.string())]))
 
@@ -73,18 +73,6 @@ def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int])
     return run
 
 
-def _fingerprint_bitmap(passages: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each fingerprint modulo ``bits``, a power of two: at most bits / 8 bytes reach the driver, however large the benchmark."""
-    at = F.col("mark").bitwiseAND(F.lit(bits - 1))
-    parts = passages.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
-    out = np.zeros(bits, dtype=bool)
-    for part in parts:
-        got = np.unpackbits(np.frombuffer(bytes(part["bits"]), dtype=np.uint8), bitorder="little").astype(bool)
-        room = min(32768, bits - part["part"] * 32768)
-        out[part["part"] * 32768 : part["part"] * 32768 + room] = got[:room]
-    return out
-
-
 def benchmark_passages(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
     """The distinct passages of a benchmark: mark, n, words, items (sorted distinct item ids)."""
     found = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("key"), F.col(text).cast("string").alias("text"))
@@ -94,16 +82,14 @@ def benchmark_passages(items: DataFrame, item_id: str = "item_id", text: str = "
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITMAP_BITS
+    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITS
 ) -> DataFrame:
     """For each document: key, n_words, n_hit (words inside benchmark passages), items (sorted distinct ids)."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
-    if bitmap_bits < 1 or bitmap_bits & (bitmap_bits - 1):
-        raise ValueError("bitmap_bits must be a power of two")
     passages = stored(benchmark_passages(items, item_id, item_text, window, k))
     lengths = sorted(r["n"] for r in passages.where(F.col("n") < window).select("n").distinct().collect())
-    bitmap = docs.sparkSession.sparkContext.broadcast(_fingerprint_bitmap(passages, bitmap_bits))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_array(passages, "mark", bitmap_bits))
     key = F.col(doc_key) if isinstance(doc_key, str) else doc_key
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, minhash, mixing, pii, url_filter
+from barloom.llm import chat, contamination, minhash, mixing, neighbours, pii, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").cast("long").alias("vec_id"), "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, epochs=2)
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -32,6 +37,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.kept_digests(substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), width=100))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_bytes", substring_dedup.lengths(F.col("removed")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256")
+    )
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
@@ -55,6 +67,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "mean", "against", "log_weight", "key", "rank", "kept")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -146,7 +163,7 @@ def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op8_minhash": op8_minhash, "op10_chat": op10_chat}
+    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
