@@ -32,7 +32,8 @@ from barloom.llm.tokens import SPACED, U, Words, chunks, cut_words, mix64
 COORDINATES, BANDS, ROWS = 192, 38, 5
 #: Differing bits of 192 that a candidate may have: 19 are expected at a similarity of 0.8.
 MOST_BITS = 45
-BLOCK = 512
+#: Members of a block in which sketches, or texts, are compared each with each.
+BLOCK, TEXT_BLOCK = 512, 128
 U32 = np.uint32
 
 
@@ -127,6 +128,96 @@ def _verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _in_blocks(members: DataFrame, group: str, size: int, columns: list[str]) -> DataFrame:
+    """rows (array of block, node and ``columns``): each two members of a group (node, members: the group's size) meet in one row, which has those of two blocks at most."""
+    members = members.withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.groupBy(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("block", "node", *columns)).alias("rows")).select("rows")
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links: the least number of each one's component."""
+    labels = np.arange(len(linked))
+    while True:
+        low = np.minimum(labels, np.where(linked, labels[None, :], len(labels)).min(axis=1, initial=len(labels)))
+        low = low[low]
+        if (low == labels).all():
+            return labels
+        labels = low
+
+
+def _stars(groups: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """For nodes and the matrix of their links: one edge to the component's least node for each other node."""
+    for nodes, linked in groups:
+        root = nodes[_roots(linked)]
+        if (root != nodes).any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[root != nodes]), pa.array(root[root != nodes])], names=["a", "b"])
+
+
+def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The members of each block pair as a struct array, sorted by node."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows = batch.column(0)[i].values
+            yield rows.take(pa.array(np.argsort(rows.field("node").to_numpy(), kind="stable")))
+
+
+def _cross(rows: pa.Array) -> np.ndarray:
+    """Which two members belong to different components."""
+    component = rows.field("component").to_numpy()
+    return component[:, None] != component[None, :]
+
+
+def _close_roots(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows in _sorted_rows(batches):
+            sketch = rows.field("sketch")
+            n = sketch.field("n").to_numpy()
+            differ = np.zeros((len(n), len(n)), dtype=np.uint16)
+            for c in ("bits1", "bits2", "bits3"):
+                bits = sketch.field(c).to_numpy().view(U)
+                differ += np.bitwise_count(bits[:, None] ^ bits[None, :])
+            sized = n[:, None] * 100 >= n[None, :] * percent
+            yield rows.field("node").to_numpy(), _cross(rows) & sized & sized.T & (differ <= MOST_BITS)
+
+    return lambda batches: _stars(groups(batches))
+
+
+def _shared_counts(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """How many elements each two sets share."""
+    every, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = times[inverse] > 1
+    place = (np.cumsum(times > 1) - 1)[inverse[several]]
+    owner = owner[several]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.diag(np.array([len(s) for s in sets], dtype=np.float64))
+    total = int(place[-1]) + 1 if len(place) else 0
+    for at in range(0, total, columns):
+        low, high = np.searchsorted(place, [at, at + columns])
+        part = np.zeros((len(sets), min(columns, total - at)), dtype=np.float32)
+        part[owner[low:high], place[low:high] - at] = 1
+        got = part @ part.T
+        np.fill_diagonal(got, 0)
+        out += got
+    return out
+
+
+def _linked_roots(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows in _sorted_rows(batches):
+            sets: list[np.ndarray] = []
+            for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([rows.field("text")], names=["text"])]), "text"):
+                shingles, starts = shingle_sets(cut_words(data, offsets, SPACED), k)
+                sets += np.split(shingles, starts[1:-1])
+            both = _shared_counts(sets)
+            n = np.diag(both)
+            yield rows.field("node").to_numpy(), _cross(rows) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+
+    return lambda batches: _stars(groups(batches))
+
+
 def _close(percent: int) -> Column:
     """Whether the sketches x and y (n, bits1, bits2, bits3) of two sets allow a similarity of ``percent``."""
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("bits1", "bits2", "bits3")), F.lit(0))
@@ -164,13 +255,17 @@ def near_duplicates(docs: DataFrame, key: Column | str = "doc_id", text: str = "
         x, y = sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), sketches.withColumnsRenamed({"node": "b", "sketch": "y"})
         return pairs.join(x, "a").join(y, "b").where(_close(percent)).select("a", "b")
 
+    def fetched_texts(needed: DataFrame) -> DataFrame:
+        """node, text of the classes in ``needed`` (node, text_of)."""
+        wanted = bitmap_parts(needed.select(F.col("text_of.hash").alias("hash")), "hash")
+        found = in_bitmap(texts, F.col("hash"), wanted).select(F.struct("id", "hash").alias("text_of"), "text")
+        return found.join(needed.select("node", "text_of"), "text_of").groupBy("node").agg(F.first("text").alias("text"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among the pairs, on the texts of both classes."""
         pairs = checkpointed(pairs)
         needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_of"), "node"))
-        wanted = bitmap_parts(needed.select(F.col("text_of.hash").alias("hash")), "hash")
-        fetched = in_bitmap(texts, F.col("hash"), wanted).select(F.struct("id", "hash").alias("text_of"), "text").join(needed, "text_of").groupBy("node").agg(F.first("text").alias("text"))
-        fetched = stored(fetched)
+        fetched = stored(fetched_texts(needed))
         both = pairs.join(fetched.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(fetched.withColumnsRenamed({"node": "b", "text": "right"}), "b")
         links = checkpointed(both.select("a", "b", "left", "right").mapInArrow(_verifier(shingle, percent), "a long, b long"))
         del both
@@ -180,25 +275,23 @@ def near_duplicates(docs: DataFrame, key: Column | str = "doc_id", text: str = "
     links = confirmed(alike(pairs))
     found = checkpointed(connected_components(links))
 
-    # What shares a bucket with classes of another component, in blocks.
+    # What shares a bucket with a class of another component: first sketches, then texts, both in blocks.
     placed = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = placed.join(open_buckets.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket").join(sketches, "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.select("bucket", "node", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = stored(members.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", F.col("sketch").alias("x")))
-    other = members.withColumnsRenamed({"node": "node2", "x": "y", "block": "block2", "component": "component2"})
-    rest = members.join(other, ["bucket", "low", "high"])
-    rest = rest.where((F.col("component") < F.col("component2")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("block2"))) & _close(percent))
-    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(rest.join(known, ["a", "b"], "left_anti"))
+    members = placed.join(open_buckets.select("bucket", "members"), "bucket").join(sketches, "node")
+    near = _in_blocks(members, "bucket", BLOCK, ["component", "sketch"]).mapInArrow(_close_roots(percent), "a long, b long").distinct()
+    near = checkpointed(near)
+    clusters = connected_components(near).withColumnRenamed("component", "cluster")
+    clusters = checkpointed(clusters.join(classes.select("node", "text_of"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
+    more = _in_blocks(sized.join(fetched_texts(clusters), "node"), "cluster", TEXT_BLOCK, ["component", "text"])
+    more = checkpointed(more.mapInArrow(_linked_roots(shingle, percent), "a long, b long").distinct())
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     linked = classes.select(*same, "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = checkpointed(linked)
-    del rest, other, placed, open_buckets, pairs, known
-    forget(members, shared, classes)
+    del placed, open_buckets, members, near, clusters, sized, pairs
+    forget(shared, classes)
     least = linked.groupBy("component").agg(F.min("least_id").alias("__least"))
     ids = linked.join(least, "component").select(*same, "__least")
     out = signed.select("id", *same).join(ids, same, "left")
