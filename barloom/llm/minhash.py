@@ -128,7 +128,7 @@ def _verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _in_blocks(members: DataFrame, group: str, size: int, columns: list[str]) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, size: int, columns: list[str]) -> DataFrame:
     """rows (array of block, node and ``columns``): each two members of a group (node, members: the group's size) meet in one row, which has those of two blocks at most."""
     members = members.withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -279,12 +279,12 @@ def near_duplicates(docs: DataFrame, key: Column | str = "doc_id", text: str = "
     placed = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = placed.join(open_buckets.select("bucket", "members"), "bucket").join(sketches, "node")
-    near = _in_blocks(members, "bucket", BLOCK, ["component", "sketch"]).mapInArrow(_close_roots(percent), "a long, b long").distinct()
+    near = in_blocks(members, "bucket", BLOCK, ["component", "sketch"]).mapInArrow(_close_roots(percent), "a long, b long").distinct()
     near = checkpointed(near)
     clusters = connected_components(near).withColumnRenamed("component", "cluster")
     clusters = checkpointed(clusters.join(classes.select("node", "text_of"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    more = _in_blocks(sized.join(fetched_texts(clusters), "node"), "cluster", TEXT_BLOCK, ["component", "text"])
+    more = in_blocks(sized.join(fetched_texts(clusters), "node"), "cluster", TEXT_BLOCK, ["component", "text"])
     more = checkpointed(more.mapInArrow(_linked_roots(shingle, percent), "a long, b long").distinct())
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, minhash, mixing, neighbours, pii, quality, substring_dedup, url_filter
+from barloom.llm import chat, contamination, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_passages(_table(spark, sf_dir, "documents"), words=50, shingle=5, percent=80)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    return found.select(F.col("key").alias("doc_id"), "n_words", covered.alias("n_repeated"), F.size("spans").cast("long").alias("n_spans"), "spans", F.col("partners").alias("partner_ids"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, k=5)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -163,7 +169,7 @@ def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
