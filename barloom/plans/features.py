@@ -88,9 +88,9 @@ def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features
     return after_warmup(df, plan.warmup_bars) if plan.warmup_bars else df
 
 
-def without_constants(df: DataFrame, prefix: str = "feat_") -> DataFrame:
+def without_constants(df: DataFrame, marker: str = "feat_") -> DataFrame:
     """Drops features that have no value or only one, found in one pass. The columns then depend on the data."""
-    names = [c for c in df.columns if c.startswith(prefix)]
+    names = [c for c in df.columns if marker in c]
     if not names:
         return df
     got = df.agg(*(F.min(c).alias(f"{c}__min") for c in names), *(F.max(c).alias(f"{c}__max") for c in names)).first()
