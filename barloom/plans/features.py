@@ -75,6 +75,8 @@ def rounded(x: str, digits: int = 6) -> str:
 def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features: bool = True, keep: Iterable[str] | None = None, digits: int | None = None) -> DataFrame:
     """The bars' keys, the columns in ``keep`` (None: all) and the plan's columns. Only what the plan asks for is computed.
 
+    ``digits``: all of the plan's columns become doubles, rounded, for comparisons between engines.
+
     Filters on time belong after this, or on a range widened by the warm-up: windows need the rows before.
     """
     b, out = columns_of(plan, raw, features)
@@ -84,7 +86,7 @@ def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features
             bars = INDICATORS[name].tables(bars, plan.params_of(entry, name))
     df = b.add_to(bars, out, keep)
     if digits is not None:
-        df = df.withColumns({c: F.expr(rounded(c, digits)) for c in out if df.schema[c].dataType.simpleString() == "double"})
+        df = df.selectExpr(*(f"{rounded(f'CAST(`{c}` AS DOUBLE)', digits)} AS `{c}`" if c in out else f"`{c}`" for c in df.columns))
     return after_warmup(df, plan.warmup_bars) if plan.warmup_bars else df
 
 

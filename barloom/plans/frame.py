@@ -12,7 +12,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barloom.functions import sql as s
 from barloom.functions.recurrences import KEYS, ORDER, Recurrence, Smoothed, Weighted, scan_series
@@ -119,12 +118,12 @@ class Columns:
         df = bars
         for (lets, scans), after in zip(rounds, later, strict=True):
             for step in lets:
-                df = df.select("*", *(F.expr(text).alias(x) for x, text in step.items()))
+                df = df.selectExpr("*", *(f"{text} AS {x}" for x, text in step.items()))
             if scans:
                 inputs = {x for r in scans.values() for x in r.inputs}
                 words = set(re.findall(r"\w+", after)) | inputs
                 df = scan_series(df.select(*(c for c in df.columns if c in keep or c in words)), scans)
-        return df.select(*keep, *(F.expr(text).alias(x) for x, text in outputs.items()))
+        return df.selectExpr(*(f"`{c}`" for c in keep), *(f"{text} AS `{x}`" for x, text in outputs.items()))
 
     def sql(self, bars: str, outputs: dict[str, str], keep: Iterable[str] = ()) -> str:
         """The same as one recursive query over ``bars``, for an engine that has no Spark."""
