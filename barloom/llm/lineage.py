@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,8 @@ def forget(*frames: DataFrame) -> None:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
     if (active := SparkSession.getActiveSession()) is not None:
-        active._jvm.System.gc()
+        for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+            gc.collect()
+            active._jvm.System.gc()
+            time.sleep(0.2)

@@ -184,6 +184,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judged = judged.select("id", "span", later.alias("repeat"), "differs").where("repeat or differs")
     judged = stored(judged)
     del runs
+    forget()
 
     spans_of = lambda df: df.groupBy("id", F.col("span").bitwiseAND(F.lit(0xFFFF)).alias("tag")).agg(F.collect_list("span").alias("spans"))
     asked = spans_of(judged.where("not repeat").distinct())
