@@ -188,6 +188,18 @@ def test_similar_windows_by_definition():
         assert {p for a, b in passages.similar_windows(x, y, 20, 80) for p in range(a, b)} == want
 
 
+def test_all_windows_at_once():
+    rng = np.random.default_rng(6)
+    for k in range(40):
+        x = rng.permutation(4000)[:90].astype(np.uint64)
+        y = np.concatenate([rng.permutation(4000)[: rng.integers(0, 30)].astype(np.uint64) + np.uint64(5000), x[rng.integers(0, 20) : 70], rng.permutation(4000)[:30].astype(np.uint64) + np.uint64(9000)])
+        y[rng.integers(0, len(y), 3)] = 99_999 + k
+        if k % 4 == 0:
+            y[3] = y[5]
+        shift = None if k % 3 else 7
+        assert passages.similar_both(x, y, 20, 80, shift) == (passages.similar_windows(x, y, 20, 80, shift), passages.similar_windows(y, x, 20, 80, None if shift is None else -shift))
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rng = np.random.default_rng(2)
     order = rng.permutation(60).astype(np.uint64)
