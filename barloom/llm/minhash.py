@@ -183,7 +183,7 @@ def _close_roots(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return lambda batches: _stars(groups(batches))
 
 
-def _shared_counts(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     """How many elements each two sets share."""
     every, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -211,7 +211,7 @@ def _linked_roots(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
             for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([rows.field("text")], names=["text"])]), "text"):
                 shingles, starts = shingle_sets(cut_words(data, offsets, SPACED), k)
                 sets += np.split(shingles, starts[1:-1])
-            both = _shared_counts(sets)
+            both = shared_counts(sets)
             n = np.diag(both)
             yield rows.field("node").to_numpy(), _cross(rows) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
 
