@@ -4,15 +4,17 @@ A token is a shingle of ``shingle`` words, a passage is ``words`` consecutive wo
 tree over a text's token hashes gives its compact windows: all subsequences inside (left, right) that hold the least token at
 the centre share that min-hash. Windows of two functions are joined by their intervals inside each text; each cell of
 the join stands for all passages with the same two min-hashes. Cells of ``bands`` pairs of functions are grouped over the
-corpus. Members of a group are compared with its first one and with the one before; cells with equal tokens need no
-comparison. What stays without a partner in a group of more is compared with every member, in blocks.
+corpus. Cells of equal tokens have one of them as member; they need no comparison. Members of a group are compared with its
+first one and with the one before. Then, in groups of three or more, a member of which any word isn't covered yet meets every
+other, and so do any two whose documents are still in different components, in blocks. What a block doesn't compare can't be similar,
+is covered on both sides, or is linked already.
 
 A passage counts if at another place, without overlap, a passage of as many words has at least ``percent`` % of all distinct tokens of both in
 common, confirmed on the tokens themselves, or on 96 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
 bands with a probability of 0.6 %, at 0.9 of 0.03 %.
 
-Map tasks compare repeats of a key inside each of their batches at once and pass on one row of each key, so a passage that a third
-of all documents share sends one row for each batch. Texts are cut to the passages in question before they are shuffled.
+Map tasks compare equal cells inside each of their batches at once and pass on one of them, so a passage that a third
+of all documents share sends one row for each batch and wording. Texts are cut to the passages in question before they are shuffled.
 
 Cases: null texts and texts of fewer than ``words`` words have no passages; a null id is after all others; rows alike in id and text
 are one document, and each gets its row; rows with one id and different texts are different documents; empty tables give no
@@ -26,11 +28,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.lineage import forget, stored
-from barloom.llm.minhash import in_blocks, shared_counts
+from barloom.llm.components import connected_components
+from barloom.llm.lineage import checkpointed, forget, stored
+from barloom.llm.minhash import in_blocks
 from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
 
 LAST = (1 << 63) - 1
@@ -123,31 +126,41 @@ def cells(tokens: np.ndarray, bounds: np.ndarray, least: int, bands: int) -> tup
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
-def _joined(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows in the order of key, content, doc and span: which is the first of its key; pairs (row, other row) and whether their contents are equal."""
+def _joined(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in the order of key, content, doc and span: which row is the first of its key and of its content, and which are members of their groups.
+
+    A member is what isn't the same row again and has no equal one, its content's first, at another place without overlap.
+    """
     n = len(key)
     new_key = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, dtype=bool)
     new_run = new_key | (np.concatenate([[True], content[1:] != content[:-1]]) if n else False)
     at = np.arange(n)
     leader = np.maximum.accumulate(np.where(new_key, at, 0))
     run = np.maximum.accumulate(np.where(new_run, at, 0))
-    same = np.flatnonzero(~new_run)
-    fresh = np.flatnonzero(new_run & ~new_key)
-    before = run[fresh - 1]
-    again = fresh[before != leader[fresh]]
-    rows = np.concatenate([same, fresh, again])
-    others = np.concatenate([run[same], leader[fresh], run[again - 1]])
-    equal = np.concatenate([np.ones(len(same), dtype=bool), np.zeros(len(fresh) + len(again), dtype=bool)])
+    again = ~new_run
+    again[1:] &= (doc[1:] == doc[:-1]) & (span[1:] == span[:-1])
     low, tag = span >> 36, span & 0xFFFF
-    apart = (doc[rows] != doc[others]) | (tag[rows] != tag[others]) | (np.abs(low[rows] - low[others]) >= t)
-    return new_key, rows[apart], others[apart], equal[apart]
+    tied = ~new_run & ((doc != doc[run]) | (tag != tag[run]) | (np.abs(low - low[run]) >= t))
+    return leader, run, np.where(again, -1, np.where(tied, 0, 1))
+
+
+def _unlike(leader: np.ndarray, state: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members: each with its group's first and with the one before, as far as they have windows that don't overlap."""
+    at = np.arange(len(leader))
+    fresh = np.flatnonzero((state == 1) & (leader != at))
+    before = np.maximum.accumulate(np.where(state == 1, at, 0))[fresh - 1]
+    more = before != leader[fresh]
+    rows, others = np.concatenate([fresh, fresh[more]]), np.concatenate([leader[fresh], before[more]])
+    (low, high), tag = unpack(span), span & 0xFFFF
+    apart = (doc[rows] != doc[others]) | (tag[rows] != tag[others]) | (np.maximum(high[rows] - low[others], high[others] - low[rows]) >= 2 * t)
+    return rows[apart], others[apart]
 
 
-_CELL = "key long, content long, doc long, span long, pdoc long, pspan long, same boolean"
+_CELL = "key long, content long, doc long, span long, pdoc long, pspan long"
 
 
 def _cell_finder(words: int, k: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, tag, text): the first cell of each key in the batch, and pairs of the others with it (they have a pdoc, and the key in place of the content)."""
+    """For batches of (doc, tag, text): the members of each key in the batch, and the pairs of equal cells (they have a pdoc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,14 +176,15 @@ def _cell_finder(words: int, k: int, bands: int) -> Callable[[Iterator[pa.Record
             rows = [np.concatenate([p[i] for p in parts]) for i in range(4)]
             order = np.lexsort(rows[::-1])
             key, content, doc, span = (r[order] for r in rows)
-            first, at, other, same = _joined(key, content, doc, span, words - k + 1)
+            _, run_of, state = _joined(key, content, doc, span, words - k + 1)
+            first, at = state == 1, np.flatnonzero(state == 0)
+            other = run_of[at]
             none = np.zeros(int(first.sum()), dtype=np.int64)
             alone = mix64(span[at].view(U) ^ mix64(doc[at].view(U)) ^ key[at].view(U)).view(np.int64)  # pairs are dealt out evenly
-            columns = [np.concatenate(x) for x in ((key[first], alone), (content[first], key[at]), (doc[first], doc[at]), (span[first], span[at]), (none, doc[other]), (none, span[other]))]
+            columns = [np.concatenate(x) for x in ((key[first], alone), (content[first], np.zeros(len(at), dtype=np.int64)), (doc[first], doc[at]), (span[first], span[at]), (none, doc[other]), (none, span[other]))]
             paired = np.concatenate([np.zeros(len(none), dtype=bool), np.ones(len(at), dtype=bool)])
-            equal = pa.array(np.concatenate([np.zeros(len(none), dtype=bool), same]), mask=~paired)
-            arrays = [pa.array(x) for x in columns[:4]] + [pa.array(x, mask=~paired) for x in columns[4:]] + [equal]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "content", "doc", "span", "pdoc", "pspan", "same"])
+            arrays = [pa.array(x) for x in columns[:4]] + [pa.array(x, mask=~paired) for x in columns[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "content", "doc", "span", "pdoc", "pspan"])
 
     return run
 
@@ -179,28 +193,39 @@ _PAIR = "group long, doc long, span long, pdoc long, pspan long, same boolean"
 
 
 def _pairer(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For cells in order of key and content: pairs as above, over the whole partition. A group's first row stays at hand from batch to batch."""
+    """For cells in order of key and content: pairs as above, over the whole partition, of members too, and the members of groups of two or more (without pdoc; only they have a group).
+
+    A group's first row, its last content's first and its last member stay at hand from batch to batch.
+    """
     held = [np.zeros(0, dtype=np.int64) for _ in range(4)]
     names = ["group", "doc", "span", "pdoc", "pspan", "same"]
+
+    def made(doc, span, pdoc, pspan, same: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), *(pa.array(x) for x in (doc, span, pdoc, pspan)), pa.array(np.full(len(doc), same))], names=names)
+
     for batch in batches:
         paired = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        known = batch.filter(pa.array(paired)).select(["content", *names[1:]])
+        known = batch.filter(pa.array(paired))
         if known.num_rows:
-            yield known.rename_columns(names)
+            yield made(*(known.column(i).to_numpy() for i in range(2, 6)), True)
         rows = [batch.column(i).filter(pa.array(~paired)).to_numpy() for i in range(4)]
         if not len(rows[0]):
             continue
         before = len(held[0])
         key, content, doc, span = (np.concatenate(x) for x in zip(held, rows, strict=True))
-        first, at, other, same = _joined(key, content, doc, span, t)
+        leader, run, state = _joined(key, content, doc, span, t)
+        at = before + np.flatnonzero(state[before:] == 0)
+        yield made(doc[at], span[at], doc[run[at]], span[run[at]], True)
+        at, other = _unlike(leader, state, doc, span, t)
         new = at >= before
-        at, other, same = at[new], other[new], same[new]
-        leader = np.flatnonzero(first)[-1]
-        run = np.flatnonzero(content[leader:] != content[-1])
-        last = leader + (run[-1] + 1 if len(run) else 0)
-        keep = np.unique([leader, last])
+        at, other = at[new], other[new]
+        yield made(doc[at], span[at], doc[other], span[other], False)
+        member = before + np.flatnonzero((state[before:] == 1) & (leader[before:] != np.arange(before, len(key))))
+        member = np.union1d(member, leader[member])
+        none = pa.nulls(len(member), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(doc[member]), pa.array(span[member]), none, none, pa.nulls(len(member), pa.bool_())], names=names)
+        keep = np.unique([leader[-1], run[-1], np.flatnonzero(state == 1)[-1]])
         held = [x[keep] for x in (key, content, doc, span)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(span[at]), pa.array(doc[other]), pa.array(span[other]), pa.array(same)], names=names)
 
 
 def _distinct_counts(x: np.ndarray, t: int, marked: np.ndarray | None = None) -> np.ndarray:
@@ -328,23 +353,24 @@ def batch_iter(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch
 
 
-_FOUND = "doc long, tag int, low long, high long, partner long"
+_FOUND = "doc long, tag int, low long, high long, partner long, ptag int"
 
 
-def _found(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-    doc, tag, low, high, partner = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(partner, pa.int64())], names=["doc", "tag", "low", "high", "partner"])
+def _found(rows: list[tuple[int, int, int, int, int, int]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * 6
+    kinds = {"doc": pa.int64(), "tag": pa.int32(), "low": pa.int64(), "high": pa.int64(), "partner": pa.int64(), "ptag": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _compare(doc, span, x, other, ospan, y, t: int, percent: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _compare(doc, span, x, other, ospan, y, t: int, percent: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """What of one passage's surroundings has a similar passage in the other's, and the other way round."""
     one = doc == other and span & 0xFFFF == ospan & 0xFFFF
     low, olow = span >> 36, ospan >> 36
     of_x, of_y = similar_both(x, y, t, percent, low - olow if one else None)
     for start, end in of_x:
-        yield doc, span & 0xFFFF, low + start, low + end, other
+        yield doc, span & 0xFFFF, low + start, low + end, other, ospan & 0xFFFF
     for start, end in of_y:
-        yield other, ospan & 0xFFFF, olow + start, olow + end, doc
+        yield other, ospan & 0xFFFF, olow + start, olow + end, doc, span & 0xFFFF
 
 
 def _verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -360,33 +386,73 @@ def _verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _window_sums(x: np.ndarray, t: int) -> np.ndarray:
+    """Sums of each t numbers along the last axis."""
+    total = np.zeros((*x.shape[:-1], x.shape[-1] + 1), dtype=np.int32)
+    np.cumsum(x, axis=-1, out=total[..., 1:])
+    return total[..., t:] - total[..., :-t]
+
+
+def met_in_block(rows: list[dict], t: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
+    """What is found among the members (block, doc, span, component, have, tokens) of one block or two.
+
+    have: what of the member is covered. Two are compared if a window that isn't covered can have a similar one in the other, or if
+    they are in different components and any window can. Members of one block meet only in the row of that block alone.
+    """
+    tokens = [np.frombuffer(r["tokens"], U) for r in rows]
+    every, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    parts = np.split(at, np.cumsum([len(x) for x in tokens])[:-1])
+    holds = np.zeros((len(rows), len(every)), dtype=bool)
+    holds[np.repeat(np.arange(len(rows)), [len(x) for x in tokens]), at] = True
+    distinct = [_distinct_counts(x, t) for x in tokens]
+    least = np.array([d.min() for d in distinct])
+    # windows x and y are similar if (100 + percent) * shared >= percent * (distinct of x + distinct of y); shared is at most what of x the other has at all
+    possible = [(100 + percent) * _window_sums(holds[:, p], t) >= percent * (d[None, :] + least[:, None]) for p, d in zip(parts, distinct, strict=True)]
+    covered = []
+    for r, x in zip(rows, tokens, strict=True):
+        mask, low = np.zeros(len(x), dtype=bool), r["span"] >> 36
+        for have in r["have"] or ():
+            mask[max(0, have["low"] - low) : max(0, have["high"] - low)] = True
+        covered.append(mask)
+    open_ = [_window_sums(m, t) < t for m in covered]
+    can = np.array([p.any(axis=1) for p in possible])
+    wanted = np.array([(p & o[None, :]).any(axis=1) for p, o in zip(possible, open_, strict=True)])
+    component = np.unique([(r["component"]["doc"], r["component"]["tag"]) for r in rows], axis=0, return_inverse=True)[1].reshape(-1)
+    block = np.array([r["block"] for r in rows])
+    meet = can & can.T & (wanted | wanted.T | (component[:, None] != component[None, :]))
+    meet &= (block[:, None] != block[None, :]) | (block.min() == block.max())
+    out = []
+    for a, b in zip(*np.nonzero(np.triu(meet, 1)), strict=True):
+        if component[a] == component[b] and not (possible[a][b] & open_[a]).any() and not (possible[b][a] & open_[b]).any():
+            continue
+        r, q = rows[a], rows[b]
+        found = list(_compare(r["doc"], r["span"], tokens[a], q["doc"], q["span"], tokens[b], t, percent))
+        if not found:
+            continue
+        out += found
+        component[component == component[b]] = component[a]
+        for i, m in ((a, r), (b, q)):
+            low = m["span"] >> 36
+            for doc, tag, start, end, *_ in found:
+                if (doc, tag) == (m["doc"], m["span"] & 0xFFFF):
+                    covered[i][max(0, start - low) : max(0, end - low)] = True
+            open_[i] = _window_sums(covered[i], t) < t
+    return out
+
+
 def _block_verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (rows: array of doc, span, open, tokens): each open one with each other, as far as both have enough tokens in common."""
+    """For batches of (rows: array of the members of one block or two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = batch.column(0)[i].as_py()
-                tokens = [np.frombuffer(r["tokens"], U) for r in rows]
-                least = np.array([_distinct_counts(x, t).min() if len(x) >= t else len(x) + t for x in tokens])  # too short ones have nothing similar
-                shared = shared_counts([np.unique(x) for x in tokens])
-                open_ = np.array([r["open"] for r in rows])
-                # similar windows share that part of the larger one's distinct tokens at least
-                enough = (100 * shared >= percent * np.maximum(least[:, None], least[None, :])) & open_[:, None]
-                np.fill_diagonal(enough, False)
-                enough &= ~(open_[None, :] & np.tri(len(rows), dtype=bool))  # two open ones meet once
-                out = []
-                for a, b in zip(*np.nonzero(enough), strict=True):
-                    r, q = rows[a], rows[b]
-                    if (r["doc"], r["span"]) != (q["doc"], q["span"]):
-                        out += _compare(r["doc"], r["span"], tokens[a], q["doc"], q["span"], tokens[b], t, percent)
-                yield _found(out)
+                yield _found(met_in_block(batch.column(0)[i].as_py(), t, percent))
 
     return run
 
 
 def _merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (key, text, found): (key, n_words, spans in words, partners)."""
+    """For batches of (key, text, found, component, members): (key, n_words, spans in words, partners, component, members)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,15 +470,17 @@ def _merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                             ranges.append([start, end])
                     spans.append([{"start": a, "end": b} for a, b in ranges])
                     partners.append(sorted({r["partner"] for r in found or ()}))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(partners, pa.list_(pa.int64()))], names=["key", "n_words", "spans", "partners"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(partners, pa.list_(pa.int64())), piece.column(3), piece.column(4)], names=["key", "n_words", "spans", "partners", "component", "members"])
 
     return run
 
 
 def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS) -> DataFrame:
-    """Per document: key, n_words, spans (start, end in words: maximal runs covered by near-duplicate passages), partners.
+    """Per document: key, n_words, spans (start, end in words: maximal runs covered by near-duplicate passages), partners, component, members.
 
-    partners: documents in which such passages were found, one for each stretch at least.
+    partners: documents in which such passages were found, one for each stretch at least. component: the least id reachable over
+    links, its own included; two different texts are linked if a passage of one is similar to one of the other. members: how many
+    texts are in the component. A popular passage links all its texts without a row for each two of them.
     """
     if not 1 <= shingle < words:
         raise ValueError("a passage must be longer than a shingle")
@@ -459,22 +527,38 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     slices = stored(sliced(asked.select("doc", "span").unionByName(asked.select(F.col("pdoc").alias("doc"), F.col("pspan").alias("span")))))
     both = asked.join(slices.withColumnRenamed("tokens", "x"), ["doc", "span"]).join(slices.select(F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("tokens").alias("y")), ["pdoc", "pspan"])
     verified = stored(both.select("doc", "span", "pdoc", "pspan", "x", "y").mapInArrow(_verifier(t, percent), _FOUND))
-    one = lambda df: df.groupBy("doc", "tag", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end
-    every = stored(one(equal.unionByName(verified)))
-
-    # Cells in groups of four or more for which no partner was found so far meet every member of their groups.
-    cell = lambda d, s: F.struct(F.col(d).alias("doc"), F.col(s).alias("span"))
-    members = unlike.select("group", F.explode(F.array(cell("doc", "span"), cell("pdoc", "pspan"))).alias("c")).select("group", "c.doc", "c.span").distinct()
-    sized = members.join(members.groupBy("group").agg(F.count("*").alias("members")).where("members > 3"), "group")
-    covered = every.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    overlap = lambda r: F.least(r["high"], high(F.col("span"))) - F.greatest(r["low"], low(F.col("span"))) >= t
-    judged = sized.withColumn("tag", tag_of("span")).join(covered, ["doc", "tag"], "left").select("group", "doc", "span", "members", (~F.coalesce(F.exists("ranges", overlap), F.lit(False))).alias("open"))
+    one = lambda df: df.groupBy("doc", "tag", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end; links are taken before
+    every = stored(one(equal.unionByName(verified.drop("ptag"))))
+    node = lambda d, tag: F.struct(F.col(d).alias("doc"), tag.cast("int").alias("tag"))
+    linked = lambda df: df.select(node("doc", F.col("tag")).alias("a"), node("partner", F.col("ptag")).alias("b")).distinct()
+    links = linked(pairs.where("same").select("doc", tag_of("span").alias("tag"), F.col("pdoc").alias("partner"), tag_of("pspan").alias("ptag")).unionByName(verified.select("doc", "tag", "partner", "ptag")))
+    links = stored(links.where("a <> b"))
+    component = checkpointed(connected_components(links))
+
+    # Members of groups of three or more meet every other as long as not all their words are covered, or components differ.
+    members = pairs.where("pdoc is null").select("group", "doc", "span").distinct()
+    sized = members.join(members.groupBy("group").agg(F.count("*").alias("members")).where("members > 2"), "group")
+    in_order = Window.partitionBy("doc", "tag").orderBy("low", "high")
+    reach = F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = every.select("doc", "tag", "low", "high", F.when(F.col("low") <= reach, 0).otherwise(1).alias("new")).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    covered = islands.groupBy("doc", "tag", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    touches = lambda r: (r["low"] < high(F.col("span"))) & (r["high"] > low(F.col("span")))
+    whole = lambda r: (r["low"] <= low(F.col("span"))) & (r["high"] >= high(F.col("span")))
+    judged = sized.withColumn("tag", tag_of("span")).join(covered, ["doc", "tag"], "left").withColumn("have", F.filter("ranges", touches)).withColumn("open", ~F.coalesce(F.exists("have", whole), F.lit(False)))
+    judged = judged.withColumn("node", node("doc", F.col("tag"))).join(component, "node", "left").select("group", "doc", "span", "members", "have", "open", F.coalesce("component", "node").alias("component"))
     judged = stored(judged)
-    rest = judged.join(judged.where("open").select("group").distinct(), "group", "left_semi").withColumn("node", F.xxhash64("doc", "span"))
+    unsettled = judged.groupBy("group").agg(F.max("open").alias("open"), F.min("component").alias("least"), F.max("component").alias("most")).where("open or least <> most")
+    rest = judged.join(unsettled.select("group"), "group", "left_semi").withColumn("node", F.xxhash64("doc", "span"))
     rest = rest.join(sliced(rest.select("doc", "span")), ["doc", "span"])
-    met = in_blocks(rest, "group", BLOCK, ["doc", "span", "open", "tokens"]).mapInArrow(_block_verifier(t, percent), _FOUND)
-    every = one(every.unionByName(stored(met)))
+    met = stored(in_blocks(rest, "group", BLOCK, ["doc", "span", "component", "have", "tokens"]).mapInArrow(_block_verifier(t, percent), _FOUND))
+    every = one(every.unionByName(met.drop("ptag")))
+    more = linked(met).where("a <> b")
+    if not more.isEmpty():
+        component = checkpointed(connected_components(links.unionByName(more)))
+    component = component.join(component.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node.doc").alias("doc"), F.col("node.tag").alias("tag"), F.col("component.doc").alias("component"), "members")
     ranges = every.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high", "partner")).alias("found"))
-    marked = keyed.join(ranges, ["doc", "tag"], "left").select(F.col("__doc").alias("key"), "text", "found")
+    marked = keyed.join(ranges, ["doc", "tag"], "left").join(component, ["doc", "tag"], "left")
+    least = F.coalesce("component", "doc")
+    marked = marked.select(F.col("__doc").alias("key"), "text", "found", F.when(least != LAST, least).alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
     kind = marked.schema["key"].dataType.simpleString()
-    return marked.mapInArrow(_merged(words, shingle), f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, partners array<long>")
+    return marked.mapInArrow(_merged(words, shingle), f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, partners array<long>, component long, members long")

@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.near_passages(_table(spark, sf_dir, "documents"), words=50, shingle=5, percent=80)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    return found.select(F.col("key").alias("doc_id"), "n_words", covered.alias("n_repeated"), F.size("spans").cast("long").alias("n_spans"), "spans", F.col("partners").alias("partner_ids"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", covered.alias("n_repeated"), F.size("spans").cast("long").alias("n_spans"), "spans", F.col("partners").alias("partner_ids"), F.col("component").alias("component_id"), F.col("members").alias("n_members"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
