@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from test_text_queries import documents, words
 
 from barloom.llm import passages
@@ -39,3 +41,33 @@ def test_links_by_brute_force(spark):
         got = {r["key"]: r for r in passages.near_passages(documents(spark, texts).repartition(parts)).collect()}
         assert [got[i]["component"] for i in range(len(texts))] == want
         assert [got[i]["members"] for i in range(len(texts))] == [want.count(c) for c in want]
+
+
+def test_members_do_not_depend_on_batches():
+    """Three cells of one key, in whatever batches, are three members of its group; equal ones elsewhere are pairs."""
+    cells = [(5, 1, 10, 1), (5, 2, 11, 2), (5, 3, 12, 3), (5, 3, 13, 4), (6, 1, 10, 1)]
+    for cuts in ([5], [1, 4], [2, 3], [3, 2], [1, 1, 1, 1, 1]):
+        batches, at = [], 0
+        for n in cuts:
+            key, content, doc, tag = (pa.array([c[i] for c in cells[at : at + n]], pa.int64()) for i in range(4))
+            span = pa.array(passages.pack(np.full(n, 3), np.full(n, 60), tag.to_numpy()))
+            batches.append(pa.RecordBatch.from_arrays([key, content, doc, span, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["key", "content", "doc", "span", "pdoc", "pspan"]))
+            at += n
+        rows = [r for b in passages._pairer(46, iter(batches)) for r in b.to_pylist()]
+        assert {(r["group"], r["doc"]) for r in rows if r["pdoc"] is None} == {(5, 10), (5, 11), (5, 12)}
+        assert {(r["doc"], r["pdoc"]) for r in rows if r["same"]} == {(13, 12)}
+
+
+def member(doc, tokens, component, have=(), block=0):
+    return {"block": block, "doc": doc, "span": int(passages.pack(np.array([0]), np.array([len(tokens)]), np.array([doc]))[0]), "component": {"doc": component, "tag": 0}, "have": [{"low": a, "high": b} for a, b in have], "tokens": np.asarray(tokens, np.uint64).tobytes()}
+
+
+def test_blocks_compare_what_is_open_or_not_linked():
+    x = np.arange(80)
+    y = np.concatenate([np.arange(500, 534), x[34:]])
+    late = {(r[0], r[2], r[3]) for r in passages.met_in_block([member(1, x, 1, [(0, 46)]), member(2, y, 1)], 46, 80)}
+    assert {d for d, _, high in late if high == 80} == {1, 2}  # the part of a cell that isn't covered yet
+    z = x[:50]
+    whole = [(0, 50)]
+    assert {(r[0], r[4]) for r in passages.met_in_block([member(1, z, 1, whole), member(2, z, 2, whole)], 46, 80)} == {(1, 2), (2, 1)}  # covered, but not linked
+    assert passages.met_in_block([member(1, z, 1, whole), member(2, z, 1, whole)], 46, 80) == []
