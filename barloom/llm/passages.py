@@ -527,12 +527,16 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     slices = stored(sliced(asked.select("doc", "span").unionByName(asked.select(F.col("pdoc").alias("doc"), F.col("pspan").alias("span")))))
     both = asked.join(slices.withColumnRenamed("tokens", "x"), ["doc", "span"]).join(slices.select(F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("tokens").alias("y")), ["pdoc", "pspan"])
     verified = stored(both.select("doc", "span", "pdoc", "pspan", "x", "y").mapInArrow(_verifier(t, percent), _FOUND))
+    del gathered, merged, both
+    forget(asked, slices)
     one = lambda df: df.groupBy("doc", "tag", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end; links are taken before
     every = stored(one(equal.unionByName(verified.drop("ptag"))))
     node = lambda d, tag: F.struct(F.col(d).alias("doc"), tag.cast("int").alias("tag"))
     linked = lambda df: df.select(node("doc", F.col("tag")).alias("a"), node("partner", F.col("ptag")).alias("b")).distinct()
     links = linked(pairs.where("same").select("doc", tag_of("span").alias("tag"), F.col("pdoc").alias("partner"), tag_of("pspan").alias("ptag")).unionByName(verified.select("doc", "tag", "partner", "ptag")))
     links = stored(links.where("a <> b"))
+    del unlike, equal
+    forget(verified)
     component = checkpointed(connected_components(links))
 
     # Members of groups of three or more meet every other as long as not all their words are covered, or components differ.
@@ -547,10 +551,14 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     judged = sized.withColumn("tag", tag_of("span")).join(covered, ["doc", "tag"], "left").withColumn("have", F.filter("ranges", touches)).withColumn("open", ~F.coalesce(F.exists("have", whole), F.lit(False)))
     judged = judged.withColumn("node", node("doc", F.col("tag"))).join(component, "node", "left").select("group", "doc", "span", "members", "have", "open", F.coalesce("component", "node").alias("component"))
     judged = stored(judged)
+    del members, sized, in_order, reach, islands, covered
+    forget(pairs)
     unsettled = judged.groupBy("group").agg(F.max("open").alias("open"), F.min("component").alias("least"), F.max("component").alias("most")).where("open or least <> most")
     rest = judged.join(unsettled.select("group"), "group", "left_semi").withColumn("node", F.xxhash64("doc", "span"))
     rest = rest.join(sliced(rest.select("doc", "span")), ["doc", "span"])
     met = stored(in_blocks(rest, "group", BLOCK, ["doc", "span", "component", "have", "tokens"]).mapInArrow(_block_verifier(t, percent), _FOUND))
+    del rest, unsettled
+    forget(judged)
     every = one(every.unionByName(met.drop("ptag")))
     more = linked(met).where("a <> b")
     if not more.isEmpty():
