@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,18 +223,20 @@ def _static_sql() -> str:
     return f"SELECT symbol, datetime, CAST(cell AS INTEGER) AS cell, round(CASE WHEN features_mask THEN CASE WHEN cell % 4 = 0 THEN {stay} ELSE {move} END WHEN cell % 4 = 0 THEN 1.0 ELSE 0.0 END, 6) AS p FROM ({_filled_sql(_bars_sql(), '1h')}), (SELECT unnest(range(9)) AS cell)"
 
 
-def _small_weights(inputs: int, hidden: int, states: int) -> dict[str, list]:
-    """Fixed weights from a rule, so that SQL can state them too."""
+def _fixed_weights(inputs: int, hidden: int, states: int) -> dict[str, list]:
+    """Fixed weights from a rule."""
     wave = lambda i, j: ((i * 7 + j * 3) % 11 - 5) / 20.0
     return {"w1": [[wave(i, j) for j in range(inputs)] for i in range(hidden)], "b1": [0.0] * hidden, "w2": [[wave(i + 1, j + 2) for j in range(hidden)] for i in range(states * states)], "b2": [2.0 * (k % (states + 1) == 0) for k in range(states * states)]}
 
 
 def dynamic_transitions(spark, sf_dir):
-    """A matrix for each vector of ``embeddings``."""
+    """A matrix for each vector of ``embeddings``, from all its components over a hidden layer of 64."""
     vectors = _table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    matrix = transitions.dynamic_transition(x, _small_weights(8, 4, 3), 3)
-    flat = vectors.select("vec_id", F.posexplode(F.flatten(matrix)).alias("cell", "p"))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)))  # components that are missing count as 0
+    weights = {k: np.array(w) for k, w in _fixed_weights(width, 64, 3).items()}
+    dense = encoders.dense(vectors.select("vec_id", x.alias("x")), "x", weights, 3, "matrix")
+    flat = dense.select("vec_id", F.posexplode(F.flatten("matrix")).alias("cell", "p"))
     return flat.select("vec_id", "cell", F.round("p", 4).alias("p"))
 
 
