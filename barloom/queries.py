@@ -242,13 +242,13 @@ def dynamic_transitions(spark, sf_dir):
 
 def _encoded(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        config = encoders.EncoderConfig(kind, value_channels=5, metadata_dim=2, embedding_dim=16, heads=4, layers=2)
-        df = encoders.windows(filled_bars(spark, sf_dir), [*ops.PRICES, "volume"], 32, every=8)
+        config = encoders.EncoderConfig(kind, value_channels=5, metadata_dim=2, embedding_dim=128, heads=8, layers=3 if kind == "patchtst" else 2)
+        df = encoders.windows(filled_bars(spark, sf_dir), [*ops.PRICES, "volume"], 32)
         table = spark.createDataFrame([("click", [1.0, 0.0]), ("view", [0.0, 1.0])], "symbol string, meta array<double>")
         scored = encoders.score(encoders.embed_metadata(df, table), config, encoders.random_weights(config))
         return scored.select("symbol", ops.ORDER, F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
 
-    run.__doc__ = f"The last state of the {kind} encoder for windows of 32 bars."
+    run.__doc__ = f"The last state of the {kind} encoder for windows of 32 bars, one at each bar from the 32nd on."
     return run
 
 
