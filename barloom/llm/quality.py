@@ -1,4 +1,4 @@
-"""Quality by importance resampling: hashed n-gram models of wanted and of raw text, and Gumbel top-k.
+"""Quality by importance weights: hashed n-gram models of wanted and of raw text, and two limits.
 
 Words, words with their punctuation and pairs of the latter are hashed into three tables of ``buckets`` counts each. One generative
 model is counted over all documents, the other over documents labelled good and not toxic. The
@@ -9,7 +9,8 @@ from counting.
 
 Both figures get a limit from labelled documents that the model was not fitted on. The log-weight of a document
 is 0 within both limits and falls steeply below them; Gumbel noise is added and the top k documents are kept, k being the
-number within the limits. So sampling only decides between documents at the limit. The labels used are bounded by
+number within the limits. The noise is less than what parts the two sets, so it orders documents inside each and never decides
+which are kept. The labels used are bounded by
 ``max_labels``, chosen by hash; counts, scores and the choice cover all documents.
 
 Cases: null texts and texts without words score 0 and stay. Without usable labels everything stays. Labels with
