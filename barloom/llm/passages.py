@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
 from barloom.llm.lineage import checkpointed, forget, stored
-from barloom.llm.minhash import in_blocks
+from barloom.llm.minhash import in_blocks, shared_counts
 from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
 
 LAST = (1 << 63) - 1
@@ -400,13 +400,22 @@ def met_in_block(rows: list[dict], t: int, percent: int) -> list[tuple[int, int,
     they are in different components and any window can. Members of one block meet only in the row of that block alone.
     """
     tokens = [np.frombuffer(r["tokens"], U) for r in rows]
+    distinct = [_distinct_counts(x, t) for x in tokens]
+    least = np.array([d.min() for d in distinct])
+    block = np.array([r["block"] for r in rows])
+    # windows x and y are similar if (100 + percent) * shared >= percent * (distinct of x + distinct of y); shared is at most what their members share at all
+    near = (100 + percent) * shared_counts([np.unique(x) for x in tokens]) >= percent * (least[:, None] + least[None, :])
+    near &= (block[:, None] != block[None, :]) | (block.min() == block.max())
+    np.fill_diagonal(near, False)
+    kept = np.flatnonzero(near.any(axis=1))
+    if not len(kept):
+        return []
+    rows, tokens, distinct, least, near = [rows[i] for i in kept], [tokens[i] for i in kept], [distinct[i] for i in kept], least[kept], near[np.ix_(kept, kept)]
     every, at = np.unique(np.concatenate(tokens), return_inverse=True)
     parts = np.split(at, np.cumsum([len(x) for x in tokens])[:-1])
     holds = np.zeros((len(rows), len(every)), dtype=bool)
     holds[np.repeat(np.arange(len(rows)), [len(x) for x in tokens]), at] = True
-    distinct = [_distinct_counts(x, t) for x in tokens]
-    least = np.array([d.min() for d in distinct])
-    # windows x and y are similar if (100 + percent) * shared >= percent * (distinct of x + distinct of y); shared is at most what of x the other has at all
+    # ... and at most what of the window the other member has
     possible = [(100 + percent) * _window_sums(holds[:, p], t) >= percent * (d[None, :] + least[:, None]) for p, d in zip(parts, distinct, strict=True)]
     covered = []
     for r, x in zip(rows, tokens, strict=True):
@@ -418,9 +427,7 @@ def met_in_block(rows: list[dict], t: int, percent: int) -> list[tuple[int, int,
     can = np.array([p.any(axis=1) for p in possible])
     wanted = np.array([(p & o[None, :]).any(axis=1) for p, o in zip(possible, open_, strict=True)])
     component = np.unique([(r["component"]["doc"], r["component"]["tag"]) for r in rows], axis=0, return_inverse=True)[1].reshape(-1)
-    block = np.array([r["block"] for r in rows])
-    meet = can & can.T & (wanted | wanted.T | (component[:, None] != component[None, :]))
-    meet &= (block[:, None] != block[None, :]) | (block.min() == block.max())
+    meet = near & can & can.T & (wanted | wanted.T | (component[:, None] != component[None, :]))
     out = []
     for a, b in zip(*np.nonzero(np.triu(meet, 1)), strict=True):
         if component[a] == component[b] and not (possible[a][b] & open_[a]).any() and not (possible[b][a] & open_[b]).any():
