@@ -8,6 +8,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,14 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as Parquet in the shared folder: compressed and read by column, for wide rows that are read more than once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df``, kept, with a number of its own for each row (``row``); numbers follow ``order``, if given.
+
+    The numbers are written once, so they stay the same whatever is lost or computed again.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(df.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote for these tables, and lets Spark drop shuffle files that no table refers to any more.
 

@@ -4,20 +4,22 @@ A token is a shingle of ``shingle`` words, a passage is ``words`` consecutive wo
 tree over a text's token hashes gives its compact windows: all subsequences inside (left, right) that hold the least token at
 the centre share that min-hash. Windows of two functions are joined by their intervals inside each text; each cell of
 the join stands for all passages with the same two min-hashes. Cells of ``bands`` pairs of functions are grouped over the
-corpus. Cells of equal tokens have one of them as member; they need no comparison. Members of a group are compared with its
-first one and with the one before. Then, in groups of three or more, a member of which any word isn't covered yet meets every
-other, and so do any two whose documents are still in different components, in blocks. What a block doesn't compare can't be similar,
-is covered on both sides, or is linked already.
+corpus, ``at_once`` bands at a time, and cells of equal tokens are covered and linked at once. Of the different contents of a group
+the commonest is the leader; the others are compared with its surroundings, token by token.
+
+What is left is found by counting, not by comparing all with all. Tokens that no other document of any group has can't be shared;
+from the numbers of distinct and of unshared tokens follows which windows may be similar at all. Members of one group meet
+if such windows are not covered yet, or if their documents are in different components.
 
 A passage counts if at another place, without overlap, a passage of as many words has at least ``percent`` % of all distinct tokens of both in
-common, confirmed on the tokens themselves, or on 96 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
+common, confirmed on the tokens themselves, or on 128 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
 bands with a probability of 0.6 %, at 0.9 of 0.03 %.
 
-Map tasks compare equal cells inside each of their batches at once and pass on one of them, so a passage that a third
+Map tasks join equal cells inside each of their batches and pass on one of them, so a passage that a third
 of all documents share sends one row for each batch and wording. Texts are cut to the passages in question before they are shuffled.
 
-Cases: null texts and texts of fewer than ``words`` words have no passages; a null id is after all others; rows alike in id and text
-are one document, and each gets its row; rows with one id and different texts are different documents; empty tables give no
+Cases: null texts and texts of fewer than ``words`` words have no passages; each row is a document of its own, whatever its id, so ids may
+be null, repeat, or be strings; the component of documents that all lack an id is null; empty tables give no
 rows. Very long texts are read whole. Columns other than id and text are not read.
 """
 
@@ -28,33 +30,34 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.bitmap import bitmap_parts, in_bitmap
 from barloom.llm.components import connected_components
-from barloom.llm.lineage import checkpointed, forget, stored
-from barloom.llm.minhash import in_blocks, shared_counts
+from barloom.llm.lineage import checkpointed, forget, numbered, stored
 from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
 
-LAST = (1 << 63) - 1
-WORDS, SHINGLE, BANDS = 50, 5, 5
-#: Members of a block in which what is left of a group is compared each with each.
-BLOCK = 64
-TAG = 16
-#: Tokens that are compared as one stretch, less than a packed span can hold.
-MOST = 1 << 19
+WORDS, SHINGLE, BANDS, AT_ONCE = 50, 5, 5, 2
+WORD = r"[^\x20\x09-\x0D]+"
+#: Bits below a span's length: how many documents of a batch have its content.
+TIMES = 16
+#: Marks rows that carry what is covered already.
+COVER = np.int64(-(1 << 63))
+#: Rows of one group that are held at a time; its leader stays.
+HELD = 1 << 18
 #: Numbers in one rectangle of a comparison.
 RECTANGLE = 1 << 20
 
 
-def pack(low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Tokens low..high - 1 of a document and 16 bits of its text's hash, in one number that orders by place."""
-    return (low.astype(np.int64) << 36) | (((high - low) & 0xFFFFF).astype(np.int64) << TAG) | tag
+def pack(low: np.ndarray, high: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
+    """Tokens low..high - 1 of a document and how many have them, in one number that orders by place."""
+    return (low.astype(np.int64) << 36) | ((high - low).astype(np.int64) << TIMES) | np.minimum(times, 0xFFFF)
 
 
 def unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = span >> 36
-    return low, low + ((span >> TAG) & 0xFFFFF)
+    low = (span >> 36) & 0x7FFFFFF
+    return low, low + ((span >> TIMES) & 0xFFFFF)
 
 
 def tokens_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +104,8 @@ def compact_windows(order: np.ndarray, bounds: np.ndarray, text: np.ndarray, lea
     return centre, first, last
 
 
-def cells(tokens: np.ndarray, bounds: np.ndarray, least: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first token, end and content hash (32 bits beside the key's 64) of each cell; places count over all texts."""
+def cells(tokens: np.ndarray, bounds: np.ndarray, least: int, bands: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first token, end and content hash of each cell; places count over all texts."""
     n = len(tokens)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     mask = U((1 << int(n).bit_length()) - 1)
@@ -110,7 +113,7 @@ def cells(tokens: np.ndarray, bounds: np.ndarray, least: int, bands: int) -> tup
     np.cumsum(tokens * enough_powers(n, BASE), out=total[1:])
     back = enough_powers(n + 1, pow(BASE, -1, 1 << 64))
     found = []
-    for band in range(bands):
+    for band in bands:
         (c1, l1, r1), (c2, l2, r2) = (compact_windows((mix64(tokens ^ mix64(np.array([2 * band + i + 1], dtype=U))) & ~mask) | np.arange(n, dtype=U), bounds, text, least) for i in (0, 1))
         low, high = np.searchsorted(c2, c1 - least + 1), np.searchsorted(c2, c1 + least - 1, side="right")
         times = high - low
@@ -122,110 +125,144 @@ def cells(tokens: np.ndarray, bounds: np.ndarray, least: int, bands: int) -> tup
         ok = (first <= last) & (text[left] == text[right])
         i, j, first, end = i[ok], j[ok], first[ok], last[ok] + least
         key = mix64(mix64(tokens[c1[i]] + U(band)) * U(3) + tokens[c2[j]])
-        found.append((key, first, end, mix64(((total[end] - total[first]) * back[first]) ^ (end - first).astype(U)) >> U(32)))
+        found.append((key, first, end, mix64(((total[end] - total[first]) * back[first]) ^ (end - first).astype(U))))
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
-def _joined(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows in the order of key, content, doc and span: which row is the first of its key and of its content, and which are members of their groups.
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where any of these columns differs from the row before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def contents(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in the order of key, content, doc and span: members, documents of each member's content, rows covered by an equal one, and whose.
 
-    A member is what isn't the same row again and has no equal one, its content's first, at another place without overlap.
+    Equal cells of different documents, or of one without overlap, cover each other. A member is the first of its content, or lacks an equal one.
     """
-    n = len(key)
-    new_key = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, dtype=bool)
-    new_run = new_key | (np.concatenate([[True], content[1:] != content[:-1]]) if n else False)
-    at = np.arange(n)
-    leader = np.maximum.accumulate(np.where(new_key, at, 0))
-    run = np.maximum.accumulate(np.where(new_run, at, 0))
-    again = ~new_run
-    again[1:] &= (doc[1:] == doc[:-1]) & (span[1:] == span[:-1])
-    low, tag = span >> 36, span & 0xFFFF
-    tied = ~new_run & ((doc != doc[run]) | (tag != tag[run]) | (np.abs(low - low[run]) >= t))
-    return leader, run, np.where(again, -1, np.where(tied, 0, 1))
+    run_begins = _begins(key, content)
+    first = np.flatnonzero(run_begins)
+    run = np.cumsum(run_begins) - 1
+    last = np.concatenate([first[1:], [len(key)]]) - 1
+    several = (doc[last] != doc[first])[run]
+    low = unpack(span)[0]
+    tied = ~run_begins & (several | (low - low[first][run] >= t))
+    covered = tied | (run_begins & np.logical_or.reduceat(tied, first)[run]) if len(key) else tied
+    times = np.add.reduceat(span & 0xFFFF, first) if len(key) else first
+    one, other = doc[first][run], doc[last][run]
+    return ~tied, np.where(run_begins, times[run], 1), covered, np.where(doc != one, one, other)
 
 
-def _unlike(leader: np.ndarray, state: np.ndarray, doc: np.ndarray, span: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members: each with its group's first and with the one before, as far as they have windows that don't overlap."""
-    at = np.arange(len(leader))
-    fresh = np.flatnonzero((state == 1) & (leader != at))
-    before = np.maximum.accumulate(np.where(state == 1, at, 0))[fresh - 1]
-    more = before != leader[fresh]
-    rows, others = np.concatenate([fresh, fresh[more]]), np.concatenate([leader[fresh], before[more]])
-    (low, high), tag = unpack(span), span & 0xFFFF
-    apart = (doc[rows] != doc[others]) | (tag[rows] != tag[others]) | (np.maximum(high[rows] - low[others], high[others] - low[rows]) >= 2 * t)
-    return rows[apart], others[apart]
+def joined(doc: np.ndarray, partner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of one document and partner that touch, as one."""
+    order = np.lexsort((low, partner, doc))
+    doc, partner, low, high = (x[order] for x in (doc, partner, low, high))
+    cut = _begins(doc, partner)
+    reach = np.maximum.accumulate((np.cumsum(cut) << 32) | high) & 0xFFFFFFFF
+    cut[1:] |= low[1:] > reach[:-1]
+    at = np.flatnonzero(cut)
+    return doc[at], partner[at], low[at], np.maximum.reduceat(high, at) if len(at) else high
 
 
-_CELL = "key long, content long, doc long, span long, pdoc long, pspan long"
+_CELL = "key long, content long, doc long, span long"
 
 
-def _cell_finder(words: int, k: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, tag, text): the members of each key in the batch, and the pairs of equal cells (they have a pdoc)."""
+def _cell_finder(words: int, k: int, bands: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (row, text): the members of each key in the batch, and what equal cells in it cover (content is the partner then)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = words - k + 1
         for batch in batches:
             parts = []
             for piece, data, offsets in chunks(iter([batch]), "text"):
                 tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
-                key, first, end, content = cells(tokens, bounds, words - k + 1, bands)
+                key, first, end, content = cells(tokens, bounds, t, bands)
                 text = np.searchsorted(bounds, first, side="right") - 1
-                doc, tag = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                parts.append((key.view(np.int64), content.view(np.int64), doc[text], pack(first - bounds[text], end - bounds[text], tag[text])))
+                parts.append((key.view(np.int64), content.view(np.int64), piece.column(0).to_numpy()[text], pack(first - bounds[text], end - bounds[text])))
             if not parts:
                 continue
             rows = [np.concatenate([p[i] for p in parts]) for i in range(4)]
             order = np.lexsort(rows[::-1])
             key, content, doc, span = (r[order] for r in rows)
-            _, run_of, state = _joined(key, content, doc, span, words - k + 1)
-            first, at = state == 1, np.flatnonzero(state == 0)
-            other = run_of[at]
-            none = np.zeros(int(first.sum()), dtype=np.int64)
-            alone = mix64(span[at].view(U) ^ mix64(doc[at].view(U)) ^ key[at].view(U)).view(np.int64)  # pairs are dealt out evenly
-            columns = [np.concatenate(x) for x in ((key[first], alone), (content[first], np.zeros(len(at), dtype=np.int64)), (doc[first], doc[at]), (span[first], span[at]), (none, doc[other]), (none, span[other]))]
-            paired = np.concatenate([np.zeros(len(none), dtype=bool), np.ones(len(at), dtype=bool)])
-            arrays = [pa.array(x) for x in columns[:4]] + [pa.array(x, mask=~paired) for x in columns[4:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "content", "doc", "span", "pdoc", "pspan"])
+            member, times, covered, partner = contents(key, content, doc, span, t)
+            low, high = unpack(span)
+            docs, partners, lows, highs = joined(doc[covered], partner[covered], low[covered], high[covered])
+            alone = mix64(docs.view(U) ^ mix64(lows.view(U))).view(np.int64)  # dealt out evenly
+            columns = zip((key[member], content[member], doc[member], pack(low[member], high[member], times[member])), (alone, partners, docs, pack(lows, highs) | COVER), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "content", "doc", "span"])
 
     return run
 
 
-_PAIR = "group long, doc long, span long, pdoc long, pspan long, same boolean"
+_PAIR = "group long, doc long, span long, pdoc long, pspan long"
 
 
-def _pairer(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For cells in order of key and content: pairs as above, over the whole partition, of members too, and the members of groups of two or more (without pdoc; only they have a group).
+def _pairs(group: np.ndarray | None, doc: np.ndarray, span: np.ndarray, pdoc: np.ndarray | None = None, pspan: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (group, doc, span, pdoc, pspan)]
+    return pa.RecordBatch.from_arrays(columns, names=["group", "doc", "span", "pdoc", "pspan"])
 
-    A group's first row, its last content's first and its last member stay at hand from batch to batch.
-    """
-    held = [np.zeros(0, dtype=np.int64) for _ in range(4)]
-    names = ["group", "doc", "span", "pdoc", "pspan", "same"]
 
-    def made(doc, span, pdoc, pspan, same: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), *(pa.array(x) for x in (doc, span, pdoc, pspan)), pa.array(np.full(len(doc), same))], names=names)
+def _pairer(t: int, batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """For cells in order of key, content, doc and span: what is covered by equal cells (without pspan), each member with its group's leader, and the members of groups of three or more (with group).
+
+    The last group of a batch waits for the next; of a very large one only the leader and the last content's first row wait.
+    """
+    kept = [np.zeros(0, dtype=np.int64) for _ in range(4)]
+
+    def told(rows: list[np.ndarray], large: bool) -> Iterator[pa.RecordBatch]:
+        key, content, doc, span = rows
+        member, times, covered, partner = contents(key, content, doc, span, t)
+        yield _pairs(None, doc[covered], span[covered], partner[covered])
+        at = np.flatnonzero(member)
+        first = np.flatnonzero(_begins(key[at]))
+        size = np.diff(np.concatenate([first, [len(at)]]))
+        rank = (times[at] << 32) | (0xFFFFFFFF - np.arange(len(at)))
+        leader = np.repeat(0xFFFFFFFF - (np.maximum.reduceat(rank, first) & 0xFFFFFFFF), size)
+        a, b = at[leader != np.arange(len(at))], at[leader[leader != np.arange(len(at))]]
+        low, high = unpack(span)
+        apart = (doc[a] != doc[b]) | (np.maximum(high[a] - low[b], high[b] - low[a]) >= 2 * t)
+        yield _pairs(None, doc[a[apart]], span[a[apart]], doc[b[apart]], span[b[apart]])
+        crowd = at[np.repeat((size > 2) | large, size)]
+        yield _pairs(key[crowd], doc[crowd], span[crowd])
+        if large:
+            rows_kept = np.unique([at[leader[0]], np.flatnonzero(_begins(content))[-1]])
+            counts = span[rows_kept] & ~np.int64(0xFFFF) | np.minimum(np.where(member, times, 1)[rows_kept], 0xFFFF)
+            kept[:] = [key[rows_kept], content[rows_kept], doc[rows_kept], counts]
 
     for batch in batches:
-        paired = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        known = batch.filter(pa.array(paired))
-        if known.num_rows:
-            yield made(*(known.column(i).to_numpy() for i in range(2, 6)), True)
-        rows = [batch.column(i).filter(pa.array(~paired)).to_numpy() for i in range(4)]
+        rows = [batch.column(i).to_numpy() for i in range(4)]
+        known = rows[3] < 0
+        if known.any():
+            yield _pairs(None, rows[2][known], rows[3][known] & ~COVER, rows[1][known])
+        rows = [np.concatenate([h, r[~known]]) for h, r in zip(kept, rows, strict=True)]
         if not len(rows[0]):
             continue
-        before = len(held[0])
-        key, content, doc, span = (np.concatenate(x) for x in zip(held, rows, strict=True))
-        leader, run, state = _joined(key, content, doc, span, t)
-        at = before + np.flatnonzero(state[before:] == 0)
-        yield made(doc[at], span[at], doc[run[at]], span[run[at]], True)
-        at, other = _unlike(leader, state, doc, span, t)
-        new = at >= before
-        at, other = at[new], other[new]
-        yield made(doc[at], span[at], doc[other], span[other], False)
-        member = before + np.flatnonzero((state[before:] == 1) & (leader[before:] != np.arange(before, len(key))))
-        member = np.union1d(member, leader[member])
-        none = pa.nulls(len(member), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(doc[member]), pa.array(span[member]), none, none, pa.nulls(len(member), pa.bool_())], names=names)
-        keep = np.unique([leader[-1], run[-1], np.flatnonzero(state == 1)[-1]])
-        held = [x[keep] for x in (key, content, doc, span)]
+        last = int(np.flatnonzero(_begins(rows[0]))[-1])
+        kept[:] = [r[last:] for r in rows]
+        if last:
+            yield from told([r[:last] for r in rows], False)
+        if len(kept[0]) > held:
+            yield from told(list(kept), True)
+    if len(kept[0]):
+        yield from told(list(kept), False)
+
+
+def _stretcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of spans in order of doc, pdoc, bucket (of their distance) and span: those that overlap or touch at about one distance, as one."""
+    for batch in batches:
+        doc, span, pdoc, pspan, bucket = (batch.column(i).to_numpy() for i in range(5))
+        if not len(doc):
+            continue
+        (low, high), (plow, phigh) = unpack(span), unpack(pspan)
+        cut = _begins(doc, pdoc, bucket)
+        reach = np.maximum.accumulate((np.cumsum(cut) << 32) | high) & 0xFFFFFFFF
+        cut[1:] |= low[1:] > reach[:-1]
+        cut |= np.arange(len(cut)) % 4096 == 0  # so that no stretch outgrows a span
+        at = np.flatnonzero(cut)
+        x, y = pack(low[at], np.maximum.reduceat(high, at)), pack(np.minimum.reduceat(plow, at), np.maximum.reduceat(phigh, at))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[at], x, pdoc[at], y)], names=["doc", "span", "pdoc", "pspan"])
 
 
 def _distinct_counts(x: np.ndarray, t: int, marked: np.ndarray | None = None) -> np.ndarray:
@@ -309,6 +346,19 @@ def similar_both(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int
     """``similar_windows`` of x in y and of y in x. Where no window has a token twice, all pairs of windows are counted at once from sums over rectangles of equal tokens."""
     if len(x) < t or len(y) < t:
         return [], []
+    # Only windows with enough tokens that the other side has at all can be similar.
+    bounds = []
+    for one, other in ((x, y), (y, x)):
+        at = np.flatnonzero((100 + percent) * _distinct_counts(one, t, np.isin(one, other)) >= percent * (_distinct_counts(one, t) + _distinct_counts(other, t).min()))
+        if not len(at):
+            return [], []
+        bounds.append((int(at[0]), int(at[-1]) + t))
+    (a, b), (c, d) = bounds
+    found = _all_windows(x[a:b], y[c:d], t, percent, None if shift is None else shift + a - c)
+    return tuple([(low + by, high + by) for low, high in ranges] for ranges, by in zip(found, (a, c), strict=True))
+
+
+def _all_windows(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     if _repeats(x, t) or _repeats(y, t):
         return similar_windows(x, y, t, percent, shift), similar_windows(y, x, t, percent, None if shift is None else -shift)
     rows, of_y = [], np.zeros(len(y) - t + 1, dtype=bool)
@@ -330,250 +380,234 @@ def _slicer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     """For batches of (doc, spans, text): the tokens of each span, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, data, offsets in chunks(batch_iter(batch), "text"):
-                tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
-                docs, spans, parts = [], [], []
-                for i, (doc, own) in enumerate(zip(piece.column(0).to_pylist(), piece.column(1), strict=True)):
-                    for span in own.values.to_numpy():
-                        low = int(span >> 36)
-                        high = low + int((span >> TAG) & 0xFFFFF)
-                        docs.append(doc)
-                        spans.append(int(span))
-                        parts.append(tokens[bounds[i] + low : bounds[i] + high].tobytes())
-                    if sum(map(len, parts[-256:])) and len(parts) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.int64()), pa.array(parts, pa.binary())], names=["doc", "span", "tokens"])
-                        docs, spans, parts = [], [], []
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.int64()), pa.array(parts, pa.binary())], names=["doc", "span", "tokens"])
+        for piece, data, offsets in chunks(batches, "text"):
+            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            lists = piece.column(1)
+            own = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
+            spans = lists.flatten().to_numpy()
+            low, high = unpack(spans)
+            start, end = np.minimum(bounds[own] + low, bounds[own + 1]), np.minimum(bounds[own] + high, bounds[own + 1])
+            doc = piece.column(0).to_numpy()[own]
+            for at in range(0, len(spans), 4096):
+                parts = [tokens[a:b].tobytes() for a, b in zip(start[at : at + 4096].tolist(), end[at : at + 4096].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + 4096]), pa.array(spans[at : at + 4096]), pa.array(parts, pa.binary())], names=["doc", "span", "tokens"])
 
     return run
 
 
-def batch_iter(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    yield batch
-
+_FOUND = "doc long, low long, high long, partner long"
 
-_FOUND = "doc long, tag int, low long, high long, partner long, ptag int"
 
+def _verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, span, pdoc, pspan, x, y): what of one passage's surroundings has a similar passage in the other's, and the other way round."""
 
-def _found(rows: list[tuple[int, int, int, int, int, int]]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ((),) * 6
-    kinds = {"doc": pa.int64(), "tag": pa.int32(), "low": pa.int64(), "high": pa.int64(), "partner": pa.int64(), "ptag": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            doc, span, pdoc, pspan = (batch.column(i).to_numpy() for i in range(4))
+            low, plow = unpack(span)[0].tolist(), unpack(pspan)[0].tolist()
+            for i, (a, b, x, y) in enumerate(zip(doc.tolist(), pdoc.tolist(), batch.column(4), batch.column(5), strict=True)):
+                of_x, of_y = similar_both(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), t, percent, low[i] - plow[i] if a == b else None)
+                out += [(a, low[i] + start, low[i] + end, b) for start, end in of_x]
+                out += [(b, plow[i] + start, plow[i] + end, a) for start, end in of_y]
+            columns = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(4)], names=["doc", "low", "high", "partner"])
 
-def _compare(doc, span, x, other, ospan, y, t: int, percent: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """What of one passage's surroundings has a similar passage in the other's, and the other way round."""
-    one = doc == other and span & 0xFFFF == ospan & 0xFFFF
-    low, olow = span >> 36, ospan >> 36
-    of_x, of_y = similar_both(x, y, t, percent, low - olow if one else None)
-    for start, end in of_x:
-        yield doc, span & 0xFFFF, low + start, low + end, other, ospan & 0xFFFF
-    for start, end in of_y:
-        yield other, ospan & 0xFFFF, olow + start, olow + end, doc, span & 0xFFFF
+    return run
 
 
-def _verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, span, pdoc, pspan, x, y)."""
+def _member_tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, spans, text): the distinct tokens of all spans together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, span, other, ospan, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += _compare(doc, span, np.frombuffer(x, U), other, ospan, np.frombuffer(y, U), t, percent)
-            yield _found(out)
+        for piece, data, offsets in chunks(batches, "text"):
+            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            docs = piece.column(0).to_numpy()
+            for i in range(piece.num_rows):
+                low, high = unpack(piece.column(1)[i].values.to_numpy())
+                inside = np.zeros(bounds[i + 1] - bounds[i] + 1, dtype=np.int64)
+                np.add.at(inside, low, 1)
+                np.add.at(inside, high, -1)
+                own = np.unique(tokens[bounds[i] : bounds[i + 1]][np.cumsum(inside)[:-1] > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), docs[i])), pa.array(own.view(np.int64))], names=["doc", "token"])
 
     return run
 
 
-def _window_sums(x: np.ndarray, t: int) -> np.ndarray:
-    """Sums of each t numbers along the last axis."""
-    total = np.zeros((*x.shape[:-1], x.shape[-1] + 1), dtype=np.int32)
-    np.cumsum(x, axis=-1, out=total[..., 1:])
-    return total[..., t:] - total[..., :-t]
+def unshared(x: np.ndarray, t: int, elsewhere: np.ndarray) -> np.ndarray:
+    """Of each window of t tokens: how many distinct ones are neither ``elsewhere`` nor outside the window."""
+    values, first, inverse = np.unique(x, return_index=True, return_inverse=True)
+    last = np.zeros(len(values), dtype=np.int64)
+    last[inverse] = np.arange(len(x))
+    own = ~np.isin(values, elsewhere) & (last - first < t)
+    n = len(x) - t + 1
+    out = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(out, np.clip(last[own] - t + 1, 0, n), 1)
+    np.add.at(out, np.minimum(first[own] + 1, n), -1)
+    return np.cumsum(out)[:-1]
 
 
-def met_in_block(rows: list[dict], t: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
-    """What is found among the members (block, doc, span, component, have, tokens) of one block or two.
+_STANDING = "group long, doc long, span long, component long, asks array<int>, offers array<int>"
 
-    have: what of the member is covered. Two are compared if a window that isn't covered can have a similar one in the other, or if
-    they are in different components and any window can. Members of one block meet only in the row of that block alone.
-    """
-    tokens = [np.frombuffer(r["tokens"], U) for r in rows]
-    distinct = [_distinct_counts(x, t) for x in tokens]
-    least = np.array([d.min() for d in distinct])
-    block = np.array([r["block"] for r in rows])
-    # windows x and y are similar if (100 + percent) * shared >= percent * (distinct of x + distinct of y); shared is at most what their members share at all
-    near = (100 + percent) * shared_counts([np.unique(x) for x in tokens]) >= percent * (least[:, None] + least[None, :])
-    near &= (block[:, None] != block[None, :]) | (block.min() == block.max())
-    np.fill_diagonal(near, False)
-    kept = np.flatnonzero(near.any(axis=1))
-    if not len(kept):
-        return []
-    rows, tokens, distinct, least, near = [rows[i] for i in kept], [tokens[i] for i in kept], [distinct[i] for i in kept], least[kept], near[np.ix_(kept, kept)]
-    every, at = np.unique(np.concatenate(tokens), return_inverse=True)
-    parts = np.split(at, np.cumsum([len(x) for x in tokens])[:-1])
-    holds = np.zeros((len(rows), len(every)), dtype=bool)
-    holds[np.repeat(np.arange(len(rows)), [len(x) for x in tokens]), at] = True
-    # ... and at most what of the window the other member has
-    possible = [(100 + percent) * _window_sums(holds[:, p], t) >= percent * (d[None, :] + least[:, None]) for p, d in zip(parts, distinct, strict=True)]
-    covered = []
-    for r, x in zip(rows, tokens, strict=True):
-        mask, low = np.zeros(len(x), dtype=bool), r["span"] >> 36
-        for have in r["have"] or ():
-            mask[max(0, have["low"] - low) : max(0, have["high"] - low)] = True
-        covered.append(mask)
-    open_ = [_window_sums(m, t) < t for m in covered]
-    can = np.array([p.any(axis=1) for p in possible])
-    wanted = np.array([(p & o[None, :]).any(axis=1) for p, o in zip(possible, open_, strict=True)])
-    component = np.unique([(r["component"]["doc"], r["component"]["tag"]) for r in rows], axis=0, return_inverse=True)[1].reshape(-1)
-    meet = near & can & can.T & (wanted | wanted.T | (component[:, None] != component[None, :]))
-    out = []
-    for a, b in zip(*np.nonzero(np.triu(meet, 1)), strict=True):
-        if component[a] == component[b] and not (possible[a][b] & open_[a]).any() and not (possible[b][a] & open_[b]).any():
-            continue
-        r, q = rows[a], rows[b]
-        found = list(_compare(r["doc"], r["span"], tokens[a], q["doc"], q["span"], tokens[b], t, percent))
-        if not found:
-            continue
-        out += found
-        component[component == component[b]] = component[a]
-        for i, m in ((a, r), (b, q)):
-            low = m["span"] >> 36
-            for doc, tag, start, end, *_ in found:
-                if (doc, tag) == (m["doc"], m["span"] & 0xFFFF):
-                    covered[i][max(0, start - low) : max(0, end - low)] = True
-            open_[i] = _window_sums(covered[i], t) < t
-    return out
 
+def _standing(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, component, members, have, shared, text): each member with what its windows ask of and offer to another.
 
-def _block_verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (rows: array of the members of one block or two)."""
+    A window with n distinct tokens, u of them unshared, asks (n, n - u and whether it isn't covered: n << 16 | shared << 1 | open) and offers (n << 8 | u).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _found(met_in_block(batch.column(0)[i].as_py(), t, percent))
+        for piece, data, offsets in chunks(batches, "text"):
+            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            for i in range(piece.num_rows):
+                x = tokens[bounds[i] : bounds[i + 1]]
+                members = piece.column(2)[i].values
+                group, span = members.field("group").to_numpy(), members.field("span").to_numpy()
+                shared = piece.column(4)[i].values
+                n = _distinct_counts(x, t)
+                u = unshared(x, t, np.zeros(0, dtype=U) if shared is None else shared.to_numpy().view(U))
+                covered = np.zeros(len(x) + 1, dtype=np.int64)
+                have = piece.column(3)[i].values
+                if have is not None:
+                    np.add.at(covered, have.field("low").to_numpy(), 1)
+                    np.add.at(covered, have.field("high").to_numpy(), -1)
+                total = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
+                open_ = total[t:] - total[:-t] < t
+                ask = np.where(100 * (n - u) >= percent * n, (n << 16) | ((n - u) << 1) | open_, -1)
+                offer = (n << 8) | u
+                low, high = unpack(span)
+                asks, offers = ([np.unique(v[a : b - t + 1]) for a, b in zip(low.tolist(), high.tolist(), strict=True)] for v in (ask, offer))
+                asks = [a[a >= 0] for a in asks]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in vs])]), pa.int32()), pa.array(np.concatenate(vs), pa.int32())) for vs in (asks, offers)]
+                m = len(group)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(m, piece.column(0)[i].as_py())), pa.array(span), pa.array(np.full(m, piece.column(1)[i].as_py())), *lists], names=["group", "doc", "span", "component", "asks", "offers"])
 
     return run
 
 
-def _merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (key, text, found, component, members): (key, n_words, spans in words, partners, component, members)."""
+def _possible(percent: int) -> Column:
+    """Whether windows that ask w and offer v may be similar: at most the shared tokens of either are in both."""
+    n, shared, other = F.shiftright("w", 16), F.shiftright("w", 1).bitwiseAND(F.lit(0x7FFF)), F.shiftright("v", 8)
+    both = F.least(shared, other - F.col("v").bitwiseAND(F.lit(255)))
+    return 100 * both >= percent * (n + other - both)
+
+
+def _spans_merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (key, n_words, found, component, members): (key, n_words, spans in words, partners, component, members)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, offsets in chunks(batch_iter(batch), "text"):
-                counts = cut_words(data, offsets, SPACED).counts
-                spans, partners = [], []
-                for found in piece.column(2).to_pylist():
-                    ranges: list[list[int]] = []
-                    for r in sorted(found or (), key=lambda r: r["low"]):
-                        start, end = r["low"], r["high"] + k - 1
-                        if ranges and start <= ranges[-1][1]:
-                            ranges[-1][1] = max(ranges[-1][1], end)
-                        else:
-                            ranges.append([start, end])
-                    spans.append([{"start": a, "end": b} for a, b in ranges])
-                    partners.append(sorted({r["partner"] for r in found or ()}))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(partners, pa.list_(pa.int64())), piece.column(3), piece.column(4)], names=["key", "n_words", "spans", "partners", "component", "members"])
+            spans = []
+            for found in batch.column(2).to_pylist():
+                ranges: list[list[int]] = []
+                for r in sorted(found or (), key=lambda r: r["low"]):
+                    start, end = r["low"], r["high"] + k - 1
+                    if ranges and start <= ranges[-1][1]:
+                        ranges[-1][1] = max(ranges[-1][1], end)
+                    else:
+                        ranges.append([start, end])
+                spans.append([{"start": a, "end": b} for a, b in ranges])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), batch.column(3), batch.column(4), batch.column(5)], names=["key", "n_words", "spans", "partners", "component", "members"])
 
     return run
 
 
-def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS) -> DataFrame:
+def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS, at_once: int = AT_ONCE) -> DataFrame:
     """Per document: key, n_words, spans (start, end in words: maximal runs covered by near-duplicate passages), partners, component, members.
 
-    partners: documents in which such passages were found, one for each stretch at least. component: the least id reachable over
-    links, its own included; two different texts are linked if a passage of one is similar to one of the other. members: how many
-    texts are in the component. A popular passage links all its texts without a row for each two of them.
+    partners: ids of documents in which such passages were found, one for each stretch at least. component: the least id reachable over
+    links, its own included; two documents are linked if a passage of one is similar to one of the other. members: how many
+    documents are in the component. A popular passage links all its texts without a row for each two of them.
     """
-    if not 1 <= shingle < words:
-        raise ValueError("a passage must be longer than a shingle")
+    if not 1 <= shingle < words or words - shingle + 1 > 255:
+        raise ValueError("a passage must be longer than a shingle, and have 255 shingles at most")
     t = words - shingle + 1
-    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    keyed = docs.select(order.alias("doc"), tag.alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).alias("__doc"))
-    texts = keyed.select("doc", "tag", "text")
-    found = texts.mapInArrow(_cell_finder(words, shingle, bands), _CELL)
-    dealt = found.repartition("key").sortWithinPartitions("key", "content", "doc", "span")
-    pairs = stored(dealt.mapInArrow(partial(_pairer, t), _PAIR))
-    del found, dealt
-    forget()
+    rows = numbered(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long")))
+    texts = rows.where(F.col("n_words") >= words).select(F.col("row").alias("doc"), "text")
+
+    rounds = []
+    for first in range(0, bands, at_once):
+        found = texts.mapInArrow(_cell_finder(words, shingle, range(first, min(bands, first + at_once))), _CELL)
+        dealt = found.repartition("key").sortWithinPartitions("key", "content", "doc", "span")
+        rounds.append(stored(dealt.mapInArrow(partial(_pairer, t), _PAIR)))
+        del found, dealt
+        forget()
+    pairs = rounds[0]
+    for more in rounds[1:]:
+        pairs = pairs.unionByName(more)
 
     low = lambda s: F.shiftright(s, 36)
-    high = lambda s: low(s) + F.shiftright(s, TAG).bitwiseAND(F.lit(0xFFFFF))
-    tag_of = lambda s: F.col(s).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    side = lambda d, s, o: F.struct(F.col(d).alias("doc"), tag_of(s).alias("tag"), low(F.col(s)).alias("low"), high(F.col(s)).alias("high"), F.col(o).alias("partner"))
-    equal = pairs.where("same").select(F.explode(F.array(side("doc", "span", "pdoc"), side("pdoc", "pspan", "doc"))).alias("f")).select("f.*")
-
-    # Cells of one pair of documents that overlap or touch at about one distance are compared as one, up to a length that a span can hold.
-    unlike = pairs.where("not same")
-    where = lambda s: F.struct(low(F.col(s)).alias("low"), high(F.col(s)).alias("high"))
-    gathered = unlike.groupBy("doc", tag_of("span").alias("tag"), "pdoc", tag_of("pspan").alias("ptag")).agg(F.array_sort(F.collect_set(F.struct((low(F.col("pspan")) - low(F.col("span"))).alias("apart"), where("span").alias("x"), where("pspan").alias("y")))).alias("cells"))
-
-    def joined(acc, c):
-        last = F.element_at(acc, -1)
-        short = (c["x"]["high"] - last["x"]["low"] < MOST) & (F.greatest(c["y"]["high"], last["y"]["high"]) - F.least(c["y"]["low"], last["y"]["low"]) < MOST)
-        touch = (c["x"]["low"] <= last["x"]["high"]) & (c["x"]["high"] >= last["x"]["low"]) & (c["y"]["low"] <= last["y"]["high"]) & (c["y"]["high"] >= last["y"]["low"]) & short
-        span = lambda a, b: F.struct(F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"))
-        grown = F.struct(c["apart"].alias("apart"), span(last["x"], c["x"]).alias("x"), span(last["y"], c["y"]).alias("y"))
-        return F.when(touch, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(c)))
-
-    merged = gathered.select("doc", "tag", "pdoc", "ptag", F.explode(F.aggregate(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), F.slice("cells", 1, 1), joined)).alias("c"))
-    packed = lambda c, tag: F.shiftleft(F.col(f"c.{c}.low"), 36).bitwiseOR(F.shiftleft(F.col(f"c.{c}.high") - F.col(f"c.{c}.low"), TAG)).bitwiseOR(F.col(tag).cast("long"))
-    asked = stored(merged.select("doc", packed("x", "tag").alias("span"), "pdoc", packed("y", "ptag").alias("pspan")))
-
-    def sliced(spans: DataFrame) -> DataFrame:
-        """doc, span, tokens of the distinct spans."""
-        by_doc = spans.distinct().groupBy("doc", tag_of("span").alias("tag")).agg(F.collect_list("span").alias("spans"))
-        rows = by_doc.join(texts, ["doc", "tag"]).select("doc", "spans", "text")
-        return rows.mapInArrow(_slicer(shingle), "doc long, span long, tokens binary").dropDuplicates(["doc", "span"])
-
-    slices = stored(sliced(asked.select("doc", "span").unionByName(asked.select(F.col("pdoc").alias("doc"), F.col("pspan").alias("span")))))
-    both = asked.join(slices.withColumnRenamed("tokens", "x"), ["doc", "span"]).join(slices.select(F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("tokens").alias("y")), ["pdoc", "pspan"])
-    verified = stored(both.select("doc", "span", "pdoc", "pspan", "x", "y").mapInArrow(_verifier(t, percent), _FOUND))
-    del gathered, merged, both
-    forget(asked, slices)
-    one = lambda df: df.groupBy("doc", "tag", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end; links are taken before
-    every = stored(one(equal.unionByName(verified.drop("ptag"))))
-    node = lambda d, tag: F.struct(F.col(d).alias("doc"), tag.cast("int").alias("tag"))
-    linked = lambda df: df.select(node("doc", F.col("tag")).alias("a"), node("partner", F.col("ptag")).alias("b")).distinct()
-    links = linked(pairs.where("same").select("doc", tag_of("span").alias("tag"), F.col("pdoc").alias("partner"), tag_of("pspan").alias("ptag")).unionByName(verified.select("doc", "tag", "partner", "ptag")))
-    links = stored(links.where("a <> b"))
-    del unlike, equal
-    forget(verified)
+    high = lambda s: low(s) + F.shiftright(s, TIMES).bitwiseAND(F.lit(0xFFFFF))
+    packed = lambda a, b: F.shiftleft(a, 36).bitwiseOR(F.shiftleft(b - a, TIMES)).bitwiseOR(F.lit(1).cast("long"))
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (one for each doc) with their texts, of which others are left out before anything is shuffled."""
+        marks = bitmap_parts(wanted.select(F.xxhash64("doc").alias("mark")), "mark")
+        return wanted.join(in_bitmap(texts, F.xxhash64("doc"), marks), "doc")
+
+    def verified(unlike: DataFrame) -> DataFrame:
+        """doc, low, high, partner: what similar windows cover on either side of these pairs (doc, span, pdoc, pspan), around pspan too."""
+        bucketed = unlike.withColumn("bucket", F.shiftright(low(F.col("pspan")) - low(F.col("span")) + 32, 6))
+        asked = bucketed.repartition("doc", "pdoc").sortWithinPartitions("doc", "pdoc", "bucket", "span").select("doc", "span", "pdoc", "pspan", "bucket")
+        asked = asked.mapInArrow(_stretcher, "doc long, span long, pdoc long, pspan long")
+        # one of few ranges, so that a leader isn't cut anew for each of its pairs
+        wide = packed(F.shiftleft(F.shiftright(F.greatest(F.lit(0), low(F.col("pspan")) - t + 1), 5), 5), F.shiftleft(F.shiftright(high(F.col("pspan")) + t + 30, 5), 5))
+        asked = stored(asked.withColumn("pspan", wide))
+        spans = asked.select("doc", "span").unionByName(asked.select(F.col("pdoc").alias("doc"), F.col("pspan").alias("span"))).distinct()
+        slices = stored(with_texts(spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))).mapInArrow(_slicer(shingle), "doc long, span long, tokens binary"))
+        both = asked.join(slices.withColumnRenamed("tokens", "x"), ["doc", "span"]).join(slices.select(F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("tokens").alias("y")), ["pdoc", "pspan"])
+        out = stored(both.select("doc", "span", "pdoc", "pspan", "x", "y").mapInArrow(_verifier(t, percent), _FOUND))
+        del both, spans
+        forget(asked, slices)
+        return out
+
+    least = lambda df: df.groupBy("doc", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end; links are taken before
+    links_of = lambda df: df.where("doc <> partner").select(F.greatest("doc", "partner").alias("a"), F.least("doc", "partner").alias("b")).distinct()
+    equal = pairs.where("group is null and pspan is null").select("doc", low(F.col("span")).alias("low"), high(F.col("span")).alias("high"), F.col("pdoc").alias("partner"))
+    similar = verified(pairs.where("pspan is not null").select("doc", "span", "pdoc", "pspan"))
+    covered = stored(least(equal.unionByName(similar)))
+    links = stored(links_of(equal.unionByName(similar)))
     component = checkpointed(connected_components(links))
-
-    # Members of groups of three or more meet every other as long as not all their words are covered, or components differ.
-    members = pairs.where("pdoc is null").select("group", "doc", "span").distinct()
-    sized = members.join(members.groupBy("group").agg(F.count("*").alias("members")).where("members > 2"), "group")
-    in_order = Window.partitionBy("doc", "tag").orderBy("low", "high")
-    reach = F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = every.select("doc", "tag", "low", "high", F.when(F.col("low") <= reach, 0).otherwise(1).alias("new")).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    covered = islands.groupBy("doc", "tag", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    touches = lambda r: (r["low"] < high(F.col("span"))) & (r["high"] > low(F.col("span")))
-    whole = lambda r: (r["low"] <= low(F.col("span"))) & (r["high"] >= high(F.col("span")))
-    judged = sized.withColumn("tag", tag_of("span")).join(covered, ["doc", "tag"], "left").withColumn("have", F.filter("ranges", touches)).withColumn("open", ~F.coalesce(F.exists("have", whole), F.lit(False)))
-    judged = judged.withColumn("node", node("doc", F.col("tag"))).join(component, "node", "left").select("group", "doc", "span", "members", "have", "open", F.coalesce("component", "node").alias("component"))
-    judged = stored(judged)
-    del members, sized, in_order, reach, islands, covered
-    forget(pairs)
-    unsettled = judged.groupBy("group").agg(F.max("open").alias("open"), F.min("component").alias("least"), F.max("component").alias("most")).where("open or least <> most")
-    rest = judged.join(unsettled.select("group"), "group", "left_semi").withColumn("node", F.xxhash64("doc", "span"))
-    rest = rest.join(sliced(rest.select("doc", "span")), ["doc", "span"])
-    met = stored(in_blocks(rest, "group", BLOCK, ["doc", "span", "component", "have", "tokens"]).mapInArrow(_block_verifier(t, percent), _FOUND))
-    del rest, unsettled
-    forget(judged)
-    every = one(every.unionByName(met.drop("ptag")))
-    more = linked(met).where("a <> b")
-    if not more.isEmpty():
-        component = checkpointed(connected_components(links.unionByName(more)))
-    component = component.join(component.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node.doc").alias("doc"), F.col("node.tag").alias("tag"), F.col("component.doc").alias("component"), "members")
-    ranges = every.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high", "partner")).alias("found"))
-    marked = keyed.join(ranges, ["doc", "tag"], "left").join(component, ["doc", "tag"], "left")
-    least = F.coalesce("component", "doc")
-    marked = marked.select(F.col("__doc").alias("key"), "text", "found", F.when(least != LAST, least).alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
-    kind = marked.schema["key"].dataType.simpleString()
-    return marked.mapInArrow(_merged(words, shingle), f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, partners array<long>, component long, members long")
+    del equal
+    forget(similar)
+
+    # Members of groups of three or more whose windows may be similar to another member's, going by counts alone.
+    members = pairs.where("group is not null").select("group", "doc", "span").distinct()
+    per_doc = stored(members.groupBy("doc").agg(F.collect_list(F.struct("group", "span")).alias("members")))
+    tokens = with_texts(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(shingle), "doc long, token long")
+    tokens = stored(tokens)
+    known = tokens.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("token")
+    shared = tokens.join(known, "token").groupBy("doc").agg(F.collect_list("token").alias("shared"))
+    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
+    named = component.select(F.col("node").alias("doc"), "component")
+    full = with_texts(per_doc.join(have, "doc", "left").join(shared, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "members", "have", "shared"))
+    standing = stored(full.mapInArrow(_standing(t, shingle, percent), _STANDING))
+    del members, known, shared, have, full
+    forget(per_doc, tokens, *rounds)
+
+    mixed = standing.groupBy("group").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("group", F.lit(True).alias("mixed"))
+    asks = standing.join(mixed, "group", "left").select("group", "doc", "span", "component", F.explode("asks").alias("w"), "mixed").where("w % 2 = 1 or mixed").drop("mixed")
+    offers = standing.select("group", F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("component").alias("other"), F.explode("offers").alias("v"))
+    possible = asks.select("group", "w").distinct().join(offers.select("group", "v").distinct(), "group").where(_possible(percent))
+    met = asks.join(possible, ["group", "w"]).join(offers, ["group", "v"])
+    elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(high(F.col("span")) - low(F.col("pspan")), high(F.col("pspan")) - low(F.col("span"))) >= 2 * t)
+    met = met.where(elsewhere & ((F.col("w") % 2 == 1) | (F.col("component") != F.col("other")))).select("doc", "span", "pdoc", "pspan").distinct()
+    more = verified(met)
+    del mixed, asks, offers, possible, met
+    forget(standing)
+    covered = least(covered.unionByName(more))
+    new = links_of(more)
+    if not new.isEmpty():
+        component = checkpointed(connected_components(links.unionByName(new)))
+
+    ids = rows.select(F.col("row").alias("doc"), "id", "n_words")
+    sized = component.join(ids.select(F.col("doc").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members"))
+    component = component.join(sized, "component").select(F.col("node").alias("doc"), "least", "members")
+    named = covered.join(ids.select(F.col("doc").alias("partner"), F.col("id").alias("pid")), "partner")
+    ranges = named.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("found"), F.sort_array(F.collect_set("pid")).alias("partners"))
+    kind = rows.schema["id"].dataType.simpleString()
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    marked = ids.join(ranges, "doc", "left").join(component, "doc", "left")
+    marked = marked.select(F.col("id").alias("key"), "n_words", "found", F.coalesce("partners", none).alias("partners"), F.coalesce("least", "id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
+    return marked.mapInArrow(_spans_merged(words, shingle), f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, partners array<{kind}>, component {kind}, members long")

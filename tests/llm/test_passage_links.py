@@ -43,31 +43,66 @@ def test_links_by_brute_force(spark):
         assert [got[i]["members"] for i in range(len(texts))] == [want.count(c) for c in want]
 
 
+def told(cells, cuts, held):
+    """What the pairer says of cells (key, content, doc, low) that come in batches of these sizes."""
+    batches, at = [], 0
+    for n in cuts:
+        key, content, doc, low = (np.array([c[i] for c in cells[at : at + n]], np.int64) for i in range(4))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, doc, passages.pack(low, low + 60))], names=["key", "content", "doc", "span"]))
+        at += n
+    return [r for b in passages._pairer(46, iter(batches), held) for r in b.to_pylist()]
+
+
 def test_members_do_not_depend_on_batches():
-    """Three cells of one key, in whatever batches, are three members of its group; equal ones elsewhere are pairs."""
-    cells = [(5, 1, 10, 1), (5, 2, 11, 2), (5, 3, 12, 3), (5, 3, 13, 4), (6, 1, 10, 1)]
+    """Three contents of one key, in whatever batches, are three members of its group; equal ones elsewhere are covered; the commonest leads."""
+    cells = [(5, 1, 10, 3), (5, 2, 11, 3), (5, 3, 12, 3), (5, 3, 13, 3), (6, 1, 10, 3)]
     for cuts in ([5], [1, 4], [2, 3], [3, 2], [1, 1, 1, 1, 1]):
-        batches, at = [], 0
-        for n in cuts:
-            key, content, doc, tag = (pa.array([c[i] for c in cells[at : at + n]], pa.int64()) for i in range(4))
-            span = pa.array(passages.pack(np.full(n, 3), np.full(n, 60), tag.to_numpy()))
-            batches.append(pa.RecordBatch.from_arrays([key, content, doc, span, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["key", "content", "doc", "span", "pdoc", "pspan"]))
-            at += n
-        rows = [r for b in passages._pairer(46, iter(batches)) for r in b.to_pylist()]
-        assert {(r["group"], r["doc"]) for r in rows if r["pdoc"] is None} == {(5, 10), (5, 11), (5, 12)}
-        assert {(r["doc"], r["pdoc"]) for r in rows if r["same"]} == {(13, 12)}
-
-
-def member(doc, tokens, component, have=(), block=0):
-    return {"block": block, "doc": doc, "span": int(passages.pack(np.array([0]), np.array([len(tokens)]), np.array([doc]))[0]), "component": {"doc": component, "tag": 0}, "have": [{"low": a, "high": b} for a, b in have], "tokens": np.asarray(tokens, np.uint64).tobytes()}
-
-
-def test_blocks_compare_what_is_open_or_not_linked():
-    x = np.arange(80)
-    y = np.concatenate([np.arange(500, 534), x[34:]])
-    late = {(r[0], r[2], r[3]) for r in passages.met_in_block([member(1, x, 1, [(0, 46)]), member(2, y, 1)], 46, 80)}
-    assert {d for d, _, high in late if high == 80} == {1, 2}  # the part of a cell that isn't covered yet
-    z = x[:50]
-    whole = [(0, 50)]
-    assert {(r[0], r[4]) for r in passages.met_in_block([member(1, z, 1, whole), member(2, z, 2, whole)], 46, 80)} == {(1, 2), (2, 1)}  # covered, but not linked
-    assert passages.met_in_block([member(1, z, 1, whole), member(2, z, 1, whole)], 46, 80) == []
+        rows = told(cells, cuts, 1 << 18)
+        assert {(r["group"], r["doc"]) for r in rows if r["group"]} == {(5, 10), (5, 11), (5, 12)}
+        assert {(r["doc"], r["pdoc"]) for r in rows if not r["group"] and r["pspan"] is None} == {(13, 12), (12, 13)}
+        assert {(r["doc"], r["pdoc"]) for r in rows if r["pspan"] is not None} == {(10, 12), (11, 12)}
+
+
+def test_a_large_group_keeps_every_member():
+    """Of a group that is larger than what is held, each content still meets a leader, and all are members."""
+    cells = [(5, c, 100 + c, 3) for c in range(40)] + [(5, 40, 200 + d, 3) for d in range(9)] + [(6, 1, 300, 3), (6, 1, 301, 3)]
+    rows = told(cells, [4] * 12 + [3], 6)
+    assert {r["doc"] for r in rows if r["group"] == 5} >= {*range(100, 140), 200}
+    paired = {d for r in rows if r["pspan"] is not None for d in (r["doc"], r["pdoc"])}
+    assert paired >= {*range(100, 140), 200}
+    assert {r["doc"] for r in rows if not r["group"] and r["pspan"] is None} == {*range(200, 209), 300, 301}
+
+
+def test_counts_bound_what_may_be_similar(spark):
+    """No two similar windows are ruled out by their counts."""
+    rng = np.random.default_rng(9)
+    t, base = 12, np.arange(40)
+    docs = []
+    for d in range(30):
+        x = base.copy()
+        x[rng.integers(0, 40, rng.integers(0, 4))] = 100 * d + np.arange(1000, 1000 + 40)[: 1] + rng.integers(0, 3)
+        if d % 3 == 0:
+            x[20:32] = x[20]
+        docs.append(x.astype(np.uint64))
+    windows = []
+    for d, x in enumerate(docs):
+        elsewhere = np.unique(np.concatenate([y for e, y in enumerate(docs) if e != d]))
+        n, u = passages._distinct_counts(x, t), passages.unshared(x, t, elsewhere)
+        for a in range(len(x) - t + 1):
+            own = set(x[a : a + t].tolist())
+            outside = set(elsewhere.tolist()) | set(x[:a].tolist()) | set(x[a + t :].tolist())
+            assert (n[a], u[a]) == (len(own), len(own - outside))
+            windows.append((d, a, own, int(n[a]), int(u[a])))
+    pairs = [(w, v) for w in windows[::7] for v in windows[::5] if w[0] != v[0] and 5 * len(w[2] & v[2]) >= 4 * len(w[2] | v[2])]
+    assert len(pairs) > 50
+    table = spark.createDataFrame([((w[3] << 16) | ((w[3] - w[4]) << 1), (v[3] << 8) | v[4]) for w, v in pairs], "w int, v int")
+    assert table.where(~passages._possible(80)).count() == 0
+
+
+def test_ids_may_be_null_repeat_or_be_strings(spark):
+    rng = random.Random(3)
+    shared = " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
+    ids = ["b", None, "a", "a", None, "c"]
+    table = spark.createDataFrame([(i, shared if n < 4 else " ".join(f"v{rng.randrange(4000)}" for _ in range(60))) for n, i in enumerate(ids)], "doc_id string, text string")
+    got = sorted((r["key"] or "", r["component"] or "", r["members"], len(r["spans"])) for r in passages.near_passages(table).collect())
+    assert got == sorted([("b", "a", 4, 1), ("", "a", 4, 1), ("a", "a", 4, 1), ("a", "a", 4, 1), ("", "", 1, 0), ("c", "c", 1, 0)])
