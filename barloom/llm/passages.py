@@ -38,7 +38,7 @@ from barloom.llm.components import connected_components
 from barloom.llm.lineage import checkpointed, forget, numbered, stored
 from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
 
-WORDS, SHINGLE, BANDS, AT_ONCE = 50, 5, 5, 2
+WORDS, SHINGLE, BANDS, AT_ONCE = 50, 5, 5, 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits below a span's length: how many documents of a batch have its content.
 TIMES = 16
@@ -46,8 +46,6 @@ TIMES = 16
 COVER = np.int64(-(1 << 63))
 #: Rows of one group that are held at a time; its leader stays.
 HELD = 1 << 18
-#: Numbers in one rectangle of a comparison.
-RECTANGLE = 1 << 20
 
 
 def pack(low: np.ndarray, high: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
@@ -335,45 +333,87 @@ def _covered(similar: np.ndarray, t: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + t).tolist(), strict=True))
 
 
-def _repeats(x: np.ndarray, t: int) -> bool:
-    """Whether a token occurs twice in a window."""
-    order = np.argsort(x, kind="stable")
-    same = x[order][1:] == x[order][:-1]
-    return bool((same & (np.diff(order) < t)).any())
+def _close_repeats(codes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a code occurs again within t places, and where it did before."""
+    order = np.argsort(codes, kind="stable")
+    again = np.flatnonzero(codes[order][1:] == codes[order][:-1])
+    before, at = order[again], order[again + 1]
+    close = at - before < t
+    return at[close], before[close]
+
+
+def _window_counts(n: int, t: int, repeats: tuple[np.ndarray, np.ndarray], mark: np.ndarray | None = None) -> np.ndarray:
+    """Of each window of t of n places: how many different codes it has, among the marked."""
+    at, before = repeats
+    if mark is None:
+        counts = np.full(n - t + 1, t, dtype=np.int64)
+    else:
+        total = np.concatenate([[0], np.cumsum(mark)])
+        counts = total[t:] - total[:-t]
+        at, before = at[mark[at]], before[mark[at]]
+    if len(at):
+        extra = np.zeros(len(counts) + 1, dtype=np.int64)
+        np.add.at(extra, np.maximum(0, at - t + 1), 1)
+        np.add.at(extra, np.minimum(len(counts), before + 1), -1)
+        counts -= np.cumsum(extra)[:-1]
+    return counts
+
+
+def _presence(codes: np.ndarray, n: int, t: int) -> np.ndarray:
+    """Which of n codes each window of t places holds; -1 is none of them."""
+    total = np.zeros((len(codes) + 1, n), dtype=np.int32)
+    at = np.flatnonzero(codes >= 0)
+    total[at + 1, codes[at]] = 1
+    np.cumsum(total, axis=0, out=total)
+    return (total[t:] > total[:-t]).astype(np.float32)
+
+
+#: Windows of either side that are compared at a time.
+TILE = 256
 
 
 def similar_both(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """``similar_windows`` of x in y and of y in x. Where no window has a token twice, all pairs of windows are counted at once from sums over rectangles of equal tokens."""
+    """``similar_windows`` of x in y and of y in x, by multiplying what tokens their windows hold. Windows that share too few tokens with all of the other side are left out."""
     if len(x) < t or len(y) < t:
         return [], []
-    # Only windows with enough tokens that the other side has at all can be similar.
-    bounds = []
-    for one, other in ((x, y), (y, x)):
-        at = np.flatnonzero((100 + percent) * _distinct_counts(one, t, np.isin(one, other)) >= percent * (_distinct_counts(one, t) + _distinct_counts(other, t).min()))
-        if not len(at):
-            return [], []
-        bounds.append((int(at[0]), int(at[-1]) + t))
-    (a, b), (c, d) = bounds
-    found = _all_windows(x[a:b], y[c:d], t, percent, None if shift is None else shift + a - c)
-    return tuple([(low + by, high + by) for low, high in ranges] for ranges, by in zip(found, (a, c), strict=True))
-
-
-def _all_windows(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    if _repeats(x, t) or _repeats(y, t):
-        return similar_windows(x, y, t, percent, shift), similar_windows(y, x, t, percent, None if shift is None else -shift)
-    rows, of_y = [], np.zeros(len(y) - t + 1, dtype=bool)
-    step = max(1, RECTANGLE // len(y))
-    for at in range(0, len(x) - t + 1, step):
-        part = x[at : min(at + step, len(x) - t + 1) + t - 1]
-        total = np.zeros((len(part) + 1, len(y) + 1), dtype=np.int32)
-        np.cumsum(np.cumsum(part[:, None] == y[None, :], axis=0, dtype=np.int32), axis=1, out=total[1:, 1:])
-        both = total[t:, t:] - total[t:, :-t] - total[:-t, t:] + total[:-t, :-t]
-        enough = (100 + percent) * both >= 2 * percent * t
-        if shift is not None:
-            enough &= np.abs(np.arange(both.shape[1])[None, :] - (np.arange(both.shape[0]) + at)[:, None] - shift) >= t
-        rows.append(enough.any(axis=1))
-        of_y |= enough.any(axis=0)
-    return _covered(np.concatenate(rows), t), _covered(of_y, t)
+    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+    cx, cy = codes[: len(x)], codes[len(x) :]
+    in_x, in_y = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    in_x[cx] = in_y[cy] = True
+    both = in_x & in_y
+    common = int(both.sum())
+    if not common or (in_x.sum() == len(x) and in_y.sum() == len(y) and (100 + percent) * common < 2 * percent * t):
+        return [], []
+    rx, ry = _close_repeats(cx, t), _close_repeats(cy, t)
+    nx, ny = _window_counts(len(x), t, rx), _window_counts(len(y), t, ry)
+    wx, wy = _window_counts(len(x), t, rx, both[cx]), _window_counts(len(y), t, ry, both[cy])
+    live_x, live_y = np.flatnonzero((100 + percent) * wx >= percent * (nx + ny.min())), np.flatnonzero((100 + percent) * wy >= percent * (ny + nx.min()))
+    of_x, of_y = np.zeros(len(nx), dtype=bool), np.zeros(len(ny), dtype=bool)
+    for rows in _tiles(live_x):
+        a, b = int(rows[0]), int(rows[-1]) + 1
+        held = np.zeros(len(values), dtype=bool)
+        held[cx[a : b + t - 1]] = True
+        near = _window_counts(len(y), t, ry, held[cy]) if len(live_y) > TILE else wy
+        for columns in _tiles(live_y[(100 + percent) * near[live_y] >= percent * (ny[live_y] + nx[a:b].min())]):
+            c, d = int(columns[0]), int(columns[-1]) + 1
+            common = np.unique(cy[c : d + t - 1])
+            common = common[held[common]]
+            place = np.full(len(values), -1)
+            place[common] = np.arange(len(common))
+            shared = _presence(place[cx[a : b + t - 1]], len(common), t) @ _presence(place[cy[c : d + t - 1]], len(common), t).T
+            enough = (100 + percent) * shared >= percent * (nx[a:b, None] + ny[None, c:d])
+            if shift is not None:
+                enough &= np.abs(np.arange(c, d)[None, :] - np.arange(a, b)[:, None] - shift) >= t
+            of_x[a:b] |= enough.any(axis=1)
+            of_y[c:d] |= enough.any(axis=0)
+    return _covered(of_x, t), _covered(of_y, t)
+
+
+def _tiles(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Stretches of places that span ``TILE`` at most, without long gaps."""
+    if len(at):
+        cut = np.flatnonzero((np.diff(at) > TILE) | (np.diff(at // TILE) != 0)) + 1
+        yield from np.split(at, cut)
 
 
 def _slicer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -422,14 +462,14 @@ def _member_tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in chunks(batches, "text"):
             tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
-            docs = piece.column(0).to_numpy()
+            docs, found = piece.column(0).to_numpy(), []
             for i in range(piece.num_rows):
                 low, high = unpack(piece.column(1)[i].values.to_numpy())
                 inside = np.zeros(bounds[i + 1] - bounds[i] + 1, dtype=np.int64)
                 np.add.at(inside, low, 1)
                 np.add.at(inside, high, -1)
-                own = np.unique(tokens[bounds[i] : bounds[i + 1]][np.cumsum(inside)[:-1] > 0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), docs[i])), pa.array(own.view(np.int64))], names=["doc", "token"])
+                found.append(np.unique(tokens[bounds[i] : bounds[i + 1]][np.cumsum(inside)[:-1] > 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, [len(f) for f in found])), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "token"])
 
     return run
 
@@ -476,9 +516,14 @@ def _standing(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch
                 ask = np.where(100 * (n - u) >= percent * n, (n << 16) | ((n - u) << 1) | open_, -1)
                 offer = (n << 8) | u
                 low, high = unpack(span)
-                asks, offers = ([np.unique(v[a : b - t + 1]) for a, b in zip(low.tolist(), high.tolist(), strict=True)] for v in (ask, offer))
-                asks = [a[a >= 0] for a in asks]
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in vs])]), pa.int32()), pa.array(np.concatenate(vs), pa.int32())) for vs in (asks, offers)]
+                times = high - low - t + 1
+                own = np.repeat(np.arange(len(span)), times)
+                window = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[own]
+                lists = []
+                for values in (ask, offer):
+                    marked = np.unique((own[values[window] >= 0] << 32) | values[window][values[window] >= 0])
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(marked >> 32, minlength=len(span)))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marked & 0xFFFFFFFF, pa.int32())))
                 m = len(group)
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(m, piece.column(0)[i].as_py())), pa.array(span), pa.array(np.full(m, piece.column(1)[i].as_py())), *lists], names=["group", "doc", "span", "component", "asks", "offers"])
 
