@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,7 +41,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df``, kept, with a number of its own for each row (``row``); numbers follow ``order``, if given.
 
     The numbers are written once, so they stay the same whatever is lost or computed again.

@@ -6,12 +6,12 @@ one anchor form a run. Runs alike in all their bytes, aligned at their anchors,
 all but the first are repeats. Only where an anchor's gram stands in runs that differ are the strings of each
 first run compared one by one. Equal strings have equal anchors, so no repeat is missed, and no suffixes are sorted.
 
-Strings are compared by 64-bit hashes. Each map task drops repeats within its own batches before anything is shuffled, so a passage that
+Runs are compared by 128 bits, their anchor's hash and their own, strings by 96 bits. Each map task drops repeats within its own batches before anything is shuffled, so a passage that
 many documents share sends one row for each batch. Only the texts of documents that need it are shuffled.
 
-Cases: null texts are empty; texts shorter than ``width`` stay whole; a null id is after all others;
-rows with one id and different texts are one document's, ordered by start; rows alike in id and text share their result. Empty
-tables give no rows. Columns other than id and text are not read.
+Cases: null texts are empty; texts shorter than ``width`` stay whole; a null id is after all others. Each row is a document of its own:
+rows are numbered in the order of their ids, rows with one id in the order of their texts' hashes, so of repeated rows the first stays and the others go. Ids may be of any type that
+can be ordered. Empty tables give no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,21 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.lineage import forget, stored
-from barloom.llm.tokens import BASE, U, chunks, enough_powers, mix64
+from barloom.llm.lineage import forget, numbered, stored
+from barloom.llm.tokens import BASE, BASE2, U, chunks, enough_powers, mix64
 
 WIDTH, GRAM = 100, 32
-LAST = (1 << 63) - 1
 
 
 class Hashed:
     """Hashes of any byte ranges of some texts."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
         self.total = np.zeros(n + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * enough_powers(n, BASE), out=self.total[1:])
-        self.back = enough_powers(n + 1, pow(BASE, -1, 1 << 64))
+        np.cumsum((data.astype(U) + U(1)) * enough_powers(n, base), out=self.total[1:])
+        self.back = enough_powers(n + 1, pow(base, -1, 1 << 64))
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.total) - k
@@ -75,22 +74,20 @@ def _runs(hashed: Hashed, offsets: np.ndarray, width: int, gram: int) -> tuple[n
 
 def _firsts(group: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """For rows of one batch: whether each is the first of its group by id and start."""
-    order = np.lexsort((spans, ids, group))
     out = np.zeros(len(group), dtype=bool)
-    g, i, s = group[order], ids[order], spans[order] >> 32
-    begins = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=bool)
-    # rows that stand at the first one's very place are that document's own duplicate rows
-    at = np.maximum.accumulate(np.where(begins, np.arange(len(g)), 0))
-    out[order] = (i == i[at]) & (s == s[at])
+    if len(group):
+        order = np.lexsort((spans, ids, group))
+        g = group[order]
+        out[order] = np.concatenate([[True], g[1:] != g[:-1]])
     return out
 
 
-def _pack(start: np.ndarray, n: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << 32) | (n.astype(np.int64) << 16) | tag
+def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 32) | (n.astype(np.int64) << 16)
 
 
 def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (id, tag, text): (anchor, run, id, span, repeat). span: start, number of strings and tag; repeat: known as one already."""
+    """For batches of (id, text): (anchor, run, id, span, repeat). span: start and number of strings; repeat: known as one already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +96,8 @@ def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 hashed = Hashed(data)
                 mark, place, low, high, text = _runs(hashed, offsets, width, gram)
                 whole = mix64(hashed.ranges(low, high + width) ^ ((place - low).astype(U) * U(BASE)) ^ mark)
-                ids, tags = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                parts.append((mark.view(np.int64), whole.view(np.int64), ids[text], _pack(low - offsets[text], high - low + 1, tags[text])))
+                ids = piece.column(0).to_numpy()
+                parts.append((mark.view(np.int64), whole.view(np.int64), ids[text], _pack(low - offsets[text], high - low + 1)))
             if not parts:
                 continue
             mark, whole, ids, spans = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -112,25 +109,26 @@ def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def _string_finder(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (id, tag, spans, text): the strings of these spans: (string, id, span, repeat)."""
+    """For batches of (id, spans, text): the strings of these spans: (string, id, span, repeat). span: start and 32 bits more of the string's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for piece, data, offsets in chunks(iter([batch]), "text"):
-                lists = piece.column(2)
+                lists = piece.column(1)
                 spans = lists.flatten().to_numpy()
                 text = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
                 n = (spans >> 16) & 0xFFFF
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 text, start = np.repeat(text, n), np.repeat(spans >> 32, n) + step
-                ids, tags = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                ids = piece.column(0).to_numpy()
                 at = start + offsets[text]
-                parts.append((Hashed(data).ranges(at, at + width).view(np.int64), ids[text], _pack(start, np.ones_like(start), tags[text])))
+                more = (Hashed(data, BASE2).ranges(at, at + width) >> U(32)).astype(np.int64)
+                parts.append((Hashed(data).ranges(at, at + width).view(np.int64), ids[text], (start << 32) | more))
             if not parts:
                 continue
             string, ids, spans = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            first = _firsts(string, ids, spans)
+            first = _firsts(string ^ mix64((spans & 0xFFFFFFFF).view(U)).view(np.int64), ids, spans)
             string = np.where(first, string, mix64(spans.view(U) ^ ids.view(U)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (string, ids, spans, ~first)], names=["string", "id", "span", "repeat"])
 
@@ -138,7 +136,7 @@ def _string_finder(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _covered(spans: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by the strings of the spans."""
+    """Maximal byte ranges covered by the strings of the spans (start and number)."""
     start = np.sort(spans)
     low, high = start >> 32, (start >> 32) + ((start >> 16) & 0xFFFF) - 1 + width
     reach = np.maximum.accumulate(high)
@@ -171,10 +169,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per document: id, n_bytes, removed (array of start, end in bytes), kept (the bytes that stay)."""
     if not 1 <= gram <= width < 1 << 15:
         raise ValueError("gram must not exceed width, nor width 32767")
-    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFF))
-    keyed = docs.select(order.alias("id"), tag.alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).alias("__doc"))
-    texts = keyed.select("id", "tag", "text")
+    keyed = docs.select(F.col(doc_id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = numbered(keyed.withColumn("__hash", F.xxhash64("text")), F.col("key").asc_nulls_last(), "__hash").withColumnRenamed("row", "id")
+    forget()
+    texts = keyed.select("id", "text")
     runs = texts.mapInArrow(_run_finder(width, gram), "anchor long, run long, id long, span long, repeat boolean")
     start = F.shiftright("span", 32)
     first_of = lambda c: F.first(c).over(Window.partitionBy("anchor", "run").orderBy("id", "span"))
@@ -186,17 +184,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     del runs
     forget()
 
-    spans_of = lambda df: df.groupBy("id", F.col("span").bitwiseAND(F.lit(0xFFFF)).alias("tag")).agg(F.collect_list("span").alias("spans"))
-    asked = spans_of(judged.where("not repeat").distinct())
-    strings = asked.join(texts, ["id", "tag"]).select("id", "tag", "spans", "text").dropDuplicates(["id", "tag"])
-    strings = strings.mapInArrow(_string_finder(width), "string long, id long, span long, repeat boolean")
-    first_of = lambda c: F.first(c).over(Window.partitionBy("string").orderBy("id", "span"))
+    spans_of = lambda df: df.groupBy("id").agg(F.collect_list("span").alias("spans"))
+    asked = spans_of(judged.where("not repeat"))
+    strings = asked.join(texts, "id").select("id", "spans", "text")
+    strings = strings.mapInArrow(_string_finder(width), "string long, id long, span long, repeat boolean").withColumn("more", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
+    first_of = lambda c: F.first(c).over(Window.partitionBy("string", "more").orderBy("id", "span"))
     found = strings.withColumns({"first_id": first_of("id"), "first_start": F.shiftright(first_of("span"), 32)})
-    found = stored(found.where(F.col("repeat") | (F.col("id") != F.col("first_id")) | (start != F.col("first_start"))).select("id", "span"))
+    one = F.shiftleft(start, 32).bitwiseOR(F.lit(1 << 16).cast("long")).alias("span")
+    found = stored(found.where(F.col("repeat") | (F.col("id") != F.col("first_id")) | (start != F.col("first_start"))).select("id", one))
     del strings, asked
     forget()
     repeats = spans_of(judged.where("repeat").select("id", "span").unionByName(found))
-    marked = keyed.join(repeats, ["id", "tag"], "left").select(F.col("__doc").alias("key"), "spans", "text")
+    marked = keyed.join(repeats, "id", "left").select("key", "spans", "text")
     kind = marked.schema["key"].dataType.simpleString()
     return marked.mapInArrow(_remover(width), f"key {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 

@@ -305,6 +305,30 @@ def test_substrings_by_brute_force(spark, rows):
     assert substring_dedup.without_repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["null", "one", "string"])
+def test_substrings_of_odd_ids(spark, kind):
+    """3000 texts without ids, with one, or with strings as ids: each row is a document, earlier ones keep what they share."""
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(40)]
+    rows = []
+    for n in range(3000):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 60)))
+        rows.append(({"null": None, "one": 7, "string": f"d{n:05d}"}[kind], own + (rng.choice(shared) if n % 5 == 0 else "".join(rng.choice("ijklm") for _ in range(110)))))
+    table = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(5)
+    got = substring_dedup.without_repeats(table).collect()
+    assert len(got) == 3000
+    shared_texts = {s.encode() for s in shared if any(t.endswith(s) for _, t in rows)}
+    kept = [bytes(r["kept"]) for r in got]
+    assert all(sum(k.count(s) for k in kept) == 1 for s in shared_texts)
+    assert sum(len(r["removed"]) for r in got) == 600 - len(shared_texts)
+    if kind == "string":
+        firsts = {}
+        for i, t in sorted(rows):
+            firsts.setdefault(t[-130:], i)
+        want = {i for i, t in rows if t[-130:] in shared and firsts[t[-130:]] != i}
+        assert {r["key"] for r in got if r["removed"]} == want
+
+
 def test_near_duplicates_in_one_large_family(spark):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(40)]
