@@ -75,7 +75,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select(F.col("id").alias("doc_id"), "mean", "against", "log_weight", "key", "rank", "kept")
+    return found.select(F.col("id").alias("doc_id"), "mean", "against", "grams", "log_weight", "key", "rank", "kept")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,6 +392,43 @@ def test_quality_on_held_out_labels(spark):
     assert quality.resampled(df, table.where("false")).count() == len(texts) and quality.resampled(df.where("false"), table).count() == 0
 
 
+def test_importance_by_brute_force(spark):
+    """Counts, ratios, weights, noise and ranks, one n-gram at a time."""
+    rng = random.Random(12)
+    vocabulary = {0: [f"p{i}" for i in range(60)], 1: [f"g{i}" for i in range(200)], 2: [f"g{i}" for i in range(150)] + ["scum", "scum!"] * 10}
+    texts = [" ".join(rng.choices(vocabulary[i % 3] + vocabulary[1], k=rng.randrange(1, 90))) for i in range(400)] + [None, "", "...", "g1 " * 3000] + ["g1 g2 g3"] * 3
+    labels = {i: (int(i % 3 != 0), int(i % 3 == 2)) for i in range(0, 400, 2)}
+    df = documents(spark, texts).withColumn("key", F.lit("x")).withColumn("rank", F.lit(0))
+    table = spark.createDataFrame([(i, q, t) for i, (q, t) in labels.items()], "doc_id long, quality int, toxic int")
+    buckets = 1 << 12
+    got = {r["id"]: r for r in quality.importance(df, table, buckets=buckets).collect()}
+    held = {r["doc_id"] for r in table.where(F.pmod(F.xxhash64(F.lit(30), F.col("doc_id")), F.lit(4)) == 0).collect()}
+    grams = []
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        found, _ = quality._features(data, np.array([0, len(data)]), buckets)
+        grams.append([f.tolist() for f in found])
+    counts = [Counter(), Counter(), Counter()]
+    for i, g in enumerate(grams):
+        model = 2 if labels.get(i, (0, 0))[1] else labels.get(i, (0, 0))[0]
+        for m in {0, model if i in labels and i not in held else 0}:
+            counts[m].update(x for kind in g for x in kind)
+    total = [[sum(n for x, n in c.items() if x // buckets == k) for k in range(3)] for c in counts]
+    ratio = lambda x: math.log((counts[1][x] + 1) / (counts[0][x] * total[1][x // buckets] / total[0][x // buckets] + 1))
+    for i, (plain, spaced, pairs) in enumerate(grams):
+        own = [ratio(x) for x in spaced + pairs]
+        assert got[i]["grams"] == len(own) and abs(got[i]["mean"] - (sum(own) / len(own) if own else 0)) < 1e-4
+        assert got[i]["against"] <= 0 and (got[i]["against"] < 0 or not any(x.startswith("scum") for x in (texts[i] or "").split()))
+    rows = sorted(got.values(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, len(texts) + 1)) and all(a["key"] >= b["key"] for a, b in zip(rows, rows[1:], strict=False))
+    assert sum(r["kept"] for r in rows) == sum(r["log_weight"] >= 0 for r in rows) and all(r["kept"] == (r["rank"] <= sum(x["kept"] for x in rows)) for r in rows)
+    noise = [r["key"] - r["log_weight"] for r in rows]
+    assert -3.5 < min(noise) and abs(np.mean(noise) - 0.5772) < 0.2  # standard Gumbel
+    assert all(got[i]["kept"] and got[i]["log_weight"] == quality.SAFE for i in (400, 401))
+    limits = {round(r["mean"] - r["log_weight"] / r["grams"], 5) for r in rows if r["grams"] and r["log_weight"] < -3 and r["against"] == 0}
+    assert len(limits) == 1  # the sum of log ratios less one limit for each n-gram
+
+
 def test_chats_come_back_whole(spark):
     rng, alphabet = random.Random(1), ["\\", "<|", "|>", "<\\|", "<|end|>", "é", "\n", "### ", "a", ""]
     data = [(c, rng.choice([None, 0, 1, 2, 2]), rng.choice(["user", "assistant", "<|x", None]), rng.choice([None, "".join(rng.choices(alphabet, k=6))]), 1) for c in range(60) for _ in range(rng.randrange(1, 7))]
