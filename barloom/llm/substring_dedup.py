@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from barloom.llm.lineage import forget, numbered, stored
 from barloom.llm.tokens import BASE, BASE2, U, chunks, enough_powers, mix64
 
-WIDTH, GRAM = 100, 32
+WIDTH, GRAM, PARTS = 100, 32, 2
 
 
 class Hashed:
@@ -108,12 +108,12 @@ def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _string_finder(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (id, spans, text): the strings of these spans: (string, id, span, repeat). span: start and 32 bits more of the string's hash."""
+def _string_finder(width: int, part: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (id, spans, text): the strings of these spans: (string, id, span, repeat). span: start and 32 bits more of the string's hash. Only strings of one part, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            found = []
             for piece, data, offsets in chunks(iter([batch]), "text"):
                 lists = piece.column(1)
                 spans = lists.flatten().to_numpy()
@@ -123,11 +123,14 @@ def _string_finder(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 text, start = np.repeat(text, n), np.repeat(spans >> 32, n) + step
                 ids = piece.column(0).to_numpy()
                 at = start + offsets[text]
+                string = Hashed(data).ranges(at, at + width)
+                own = string % U(parts) == U(part)
+                string, text, start, at = string[own], text[own], start[own], at[own]
                 more = (Hashed(data, BASE2).ranges(at, at + width) >> U(32)).astype(np.int64)
-                parts.append((Hashed(data).ranges(at, at + width).view(np.int64), ids[text], (start << 32) | more))
-            if not parts:
+                found.append((string.view(np.int64), ids[text], (start << 32) | more))
+            if not found:
                 continue
-            string, ids, spans = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            string, ids, spans = (np.concatenate([f[i] for f in found]) for i in range(3))
             first = _firsts(string ^ mix64((spans & 0xFFFFFFFF).view(U)).view(np.int64), ids, spans)
             string = np.where(first, string, mix64(spans.view(U) ^ ids.view(U)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (string, ids, spans, ~first)], names=["string", "id", "span", "repeat"])
@@ -165,8 +168,11 @@ def _remover(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """Per document: id, n_bytes, removed (array of start, end in bytes), kept (the bytes that stay)."""
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
+    """Per document: id, n_bytes, removed (array of start, end in bytes), kept (the bytes that stay).
+
+    parts: in how many passes single strings are compared, each with its share of them, by hash.
+    """
     if not 1 <= gram <= width < 1 << 15:
         raise ValueError("gram must not exceed width, nor width 32767")
     keyed = docs.select(F.col(doc_id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -185,16 +191,17 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forget()
 
     spans_of = lambda df: df.groupBy("id").agg(F.collect_list("span").alias("spans"))
-    asked = spans_of(judged.where("not repeat"))
-    strings = asked.join(texts, "id").select("id", "spans", "text")
-    strings = strings.mapInArrow(_string_finder(width), "string long, id long, span long, repeat boolean").withColumn("more", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)))
     first_of = lambda c: F.first(c).over(Window.partitionBy("string", "more").orderBy("id", "span"))
-    found = strings.withColumns({"first_id": first_of("id"), "first_start": F.shiftright(first_of("span"), 32)})
     one = F.shiftleft(start, 32).bitwiseOR(F.lit(1 << 16).cast("long")).alias("span")
-    found = stored(found.where(F.col("repeat") | (F.col("id") != F.col("first_id")) | (start != F.col("first_start"))).select("id", one))
-    del strings, asked
-    forget()
-    repeats = spans_of(judged.where("repeat").select("id", "span").unionByName(found))
+    again = judged.where("repeat").select("id", "span")
+    for part in range(parts):  # so that shuffle files of one part are there at a time
+        asked = spans_of(judged.where("not repeat")).join(texts, "id").select("id", "spans", "text")
+        strings = asked.mapInArrow(_string_finder(width, part, parts), "string long, id long, span long, repeat boolean").repartition("string")
+        strings = strings.withColumn("more", F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).withColumns({"first_id": first_of("id"), "first_start": F.shiftright(first_of("span"), 32)})
+        again = again.unionByName(stored(strings.where(F.col("repeat") | (F.col("id") != F.col("first_id")) | (start != F.col("first_start"))).select("id", one)))
+        del strings, asked
+        forget()
+    repeats = spans_of(again)
     marked = keyed.join(repeats, "id", "left").select("key", "spans", "text")
     kind = marked.schema["key"].dataType.simpleString()
     return marked.mapInArrow(_remover(width), f"key {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
