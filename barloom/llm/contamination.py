@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Each passage of ``window`` words is known by a fingerprint, the least hash of its k-grams. Fingerprints of
+Of each ``window`` consecutive words the least hash of their k-grams is selected; a selected k-gram, with where it stands, is a fingerprint,
+one for all windows that select it. Fingerprints of
 documents that no benchmark has fall away in a bitmap of fixed size; the rest are joined with the
-benchmark's fingerprints and extended to the whole passage, word for word. A span of ``window`` words has
-at least one k-gram, so no shared span of that length is missed.
+benchmark's and each hit is extended word for word to both sides, as far as a window around it can reach. It counts if ``window`` words or more agree. Equal windows select
+the same k-gram, so no shared span of that length is missed.
 
 Cases: a null or empty text, or one without words, has no words and no hits. An item of fewer than
-``window`` words is one passage; an item without words or without id takes no part. Repeated documents
+``window`` words is one passage, known by the hash of all its words; an item without words or without id takes no part. Equal hashes inside a window go to the first. Repeated documents
 each get their row; repeated items count once. Very long texts are read whole. Empty tables give no
 rows, or rows without hits. Columns other than the two named ones are not read.
 """
@@ -24,71 +25,86 @@ from barloom.llm.bitmap import BITS, bitmap_array
 from barloom.llm.lineage import checkpointed, stored
 from barloom.llm.tokens import ALNUM, U, Words, chunks, cut_words, mix64
 
-FOUND = "array<struct<start:long,n:long,mark:long,words:string>>"
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("words", pa.string())]))
+FOUND = "array<struct<start:long,n:long,mark:long,before:array<string>,words:array<string>>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("before", pa.list_(pa.string())), ("words", pa.list_(pa.string()))]))
+#: Benchmark fingerprints up to which they are sent to every task; more are joined by shuffling.
+SENT = 100_000
 
 
-def _passages(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and fingerprints of all passages of ``window`` words."""
+def _selected(words: Words, window: int, k: int, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the k-grams that any window of these texts selects."""
     grams, at = words.grams(k)
     n = len(words.start) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     dense = np.zeros(len(words.start), dtype=U)
     dense[at] = grams
-    start = np.flatnonzero(words.text[:n] == words.text[window - 1 : window - 1 + n])
-    least = dense[:n].copy()
+    mask = U((1 << int(len(dense)).bit_length()) - 1)
+    order = (dense & ~mask) | np.arange(len(dense), dtype=U)
+    least = order[:n].copy()
     for j in range(1, window - k + 1):
-        np.minimum(least, dense[j : j + n], out=least)
-    return start, least[start]
+        np.minimum(least, order[j : j + n], out=least)
+    start = np.flatnonzero((words.text[:n] == words.text[window - 1 : window - 1 + n]) & long[words.text[:n]])
+    place = np.unique((least[start] & mask).astype(np.int64))
+    return place, dense[place]
 
 
 def _whole(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and fingerprints of all passages of n words, for short items: the hash of all n."""
+    """First words and hashes of all passages of n words, for short items."""
     grams, at = words.grams(n)
     return at, mix64(grams ^ U(n))
 
 
 def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (key, text): (key, n_words, found). Without a bitmap every passage of an item, else the passages of documents whose fingerprint is in it."""
+    """For batches of (key, text): (key, n_words, found). Without a bitmap all fingerprints of items, else those of documents that are in it.
+
+    found: n is 0 for a selected k-gram, ``words`` are then its words and the ``window - k`` after it, ``before`` those before it, nearest first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "text"):
             words = cut_words(data, offsets, ALNUM)
             counts = words.counts
-            found: list[tuple[int, int, int]] = []
-            for n in [window, *(lengths if bitmap is not None else range(1, window))]:
-                start, mark = _passages(words, window, k) if n == window else _whole(words, n)
+            rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for n in [0, *(lengths if bitmap is not None else range(1, window))]:
+                start, mark = _whole(words, n) if n else _selected(words, window, k, counts >= window)
                 if bitmap is not None:
                     hit = bitmap[(mark & U(len(bitmap) - 1)).astype(np.int64)]
                 else:
-                    hit = (counts[words.text[start]] >= window) if n == window else (counts[words.text[start]] == n)
-                found += zip(start[hit].tolist(), [n] * int(hit.sum()), mark[hit].view(np.int64).tolist(), strict=True)
-            rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for start, n, mark in found:
-                text = int(words.text[start])
-                rows[text].append({"start": start - int(words.first[text]), "n": n, "mark": mark, "words": words.strings(start, n)})
+                    hit = counts[words.text[start]] == n if n else np.ones(len(start), dtype=bool)
+                for at, m in zip(start[hit].tolist(), mark[hit].view(np.int64).tolist(), strict=True):
+                    text = int(words.text[at])
+                    low, high = (at, at + n) if n else (max(int(words.first[text]), at - window + k), min(int(words.first[text + 1]), at + window))
+                    around = words.strings(low, high - low).split(" ")
+                    rows[text].append({"start": at - int(words.first[text]), "n": n, "mark": m, "before": around[: at - low][::-1], "words": around[at - low :]})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(rows, _FOUND)], names=["key", "n_words", "found"])
 
     return run
 
 
 def benchmark_passages(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """The distinct passages of a benchmark: mark, n, words, items (sorted distinct item ids)."""
+    """The distinct fingerprints of a benchmark with what stands around them: mark, n, item_before, item_words, items (sorted distinct item ids)."""
     found = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("key"), F.col(text).cast("string").alias("text"))
     kind = found.schema["key"].dataType.simpleString()
     found = found.mapInArrow(_finder(window, k, None, []), f"key {kind}, n_words long, found {FOUND}")
-    return found.select("key", F.inline("found")).groupBy("mark", "n", "words").agg(F.sort_array(F.collect_set("key")).alias("items"))
+    found = found.select("key", F.inline("found")).withColumnsRenamed({"before": "item_before", "words": "item_words"})
+    return found.groupBy("mark", "n", "item_before", "item_words").agg(F.sort_array(F.collect_set("key")).alias("items"))
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many words two lists have in common from their first on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("long"))
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITS
+    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITS, sent: int = SENT
 ) -> DataFrame:
     """For each document: key, n_words, n_hit (words inside benchmark passages), items (sorted distinct ids)."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
     passages = stored(benchmark_passages(items, item_id, item_text, window, k))
-    lengths = sorted(r["n"] for r in passages.where(F.col("n") < window).select("n").distinct().collect())
+    lengths = sorted(r["n"] for r in passages.where(F.col("n") > 0).select("n").distinct().collect())
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_array(passages, "mark", bitmap_bits))
     key = F.col(doc_key) if isinstance(doc_key, str) else doc_key
 
@@ -98,7 +114,11 @@ def contamination(
     texts = docs.select(F.struct(key.alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(doc_text).cast("string").alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
     rows = checkpointed(texts.mapInArrow(find, f"key {kind}, n_words long, found {FOUND}"))
-    hits = rows.where(F.size("found") > 0).select(F.col("key.row").alias("row"), F.inline("found")).join(passages, ["mark", "n", "words"])
+    found = rows.where(F.size("found") > 0).select(F.col("key.row").alias("row"), F.inline("found"))
+    met = found.join(F.broadcast(passages) if passages.count() <= sent else passages, ["mark", "n"])
+    met = met.withColumns({"left": F.when(F.col("n") == 0, _agreeing("before", "item_before")).otherwise(0), "right": _agreeing("words", "item_words")})
+    reached = F.when(F.col("n") == 0, (F.col("right") >= k) & (F.col("left") + F.col("right") >= window)).otherwise(F.col("right") == F.col("n"))
+    hits = met.where(reached).select("row", (F.col("start") - F.col("left")).alias("start"), (F.col("left") + F.col("right")).alias("n"), "items")
     before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("row").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, F.lit(0))))
     per_row = hits.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))

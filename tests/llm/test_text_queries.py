@@ -220,6 +220,35 @@ def test_decontamination_of_odd_rows(spark):
     assert contamination.contamination(docs.where("false"), items).count() == 0 and contamination.decontaminated(docs, items.where("false")).count() == 7
 
 
+def test_decontamination_extends_hits(spark):
+    """Few words, so that k-grams repeat and fingerprints tie: hits and items by brute force, with the benchmark sent or shuffled."""
+    rng = random.Random(21)
+    make = lambda n: [rng.choice("abc") for _ in range(n)]
+    items = [make(rng.choice([0, 3, 6, 9, 12, 30])) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        w = make(rng.randrange(0, 25))
+        if rng.random() < 0.5:
+            source = rng.choice(items)
+            at = rng.randrange(len(source) + 1)
+            w += source[at : at + rng.randrange(4, 16)] + make(5)
+        texts.append(w)
+    docs = documents(spark, [" ".join(t) for t in texts])
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for sent in (0, 1000):
+        got = {r["key"]: r for r in contamination.contamination(docs, table, window=8, k=3, sent=sent).collect()}
+        for i, w in enumerate(texts):
+            hit, names = set(), set()
+            for name, item in enumerate(items):
+                n = min(8, len(item))
+                windows = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)} if n else set()
+                for a in range(len(w) - n + 1):
+                    if tuple(w[a : a + n]) in windows:
+                        hit |= set(range(a, a + n))
+                        names.add(name)
+            assert (got[i]["n_hit"], got[i]["items"]) == (len(hit), sorted(names)), i
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
