@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large stars hang every larger neighbour on a node's least neighbour, small stars every smaller one;
     the number of rounds grows with the logarithm of the number of nodes. Minima are pre-aggregated before each
-    shuffle and a hot node is a skewed join key, which adaptive execution splits. Edges with null ends or between
+    shuffle and kept, so that a hot node is a skewed key of a join of two shuffled tables, which adaptive execution splits. Edges with null ends or between
     a node and itself are left out; without edges the result is empty.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -25,10 +25,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = checkpointed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = checkpointed(small.where("u > v").distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
