@@ -161,11 +161,13 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     model = F.coalesce(F.when(~F.col("held_out"), F.col("label")), F.lit(0)).alias("model")
     counts = marked.select(model, "text").mapInArrow(_counter(buckets), "bucket long, raw long, target long, toxic long").groupBy("bucket").agg(*(F.sum(c) for c in ("raw", "target", "toxic")))
     table = counts.toArrow()  # at most three tables of buckets
-    filled = np.zeros((3, 3 * buckets))
+    filled = np.zeros((3, 3 * buckets), dtype=np.float64)
     for row, column in zip(filled, table.columns[1:], strict=True):
         row[table.column(0).to_numpy()] = column.to_numpy()
+    del table
     model = spark.sparkContext.broadcast(log_ratio(*filled, buckets))
-    del table, filled
+    del filled
+    pa.default_memory_pool().release_unused()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scorer(model, buckets)(batches)
