@@ -7,9 +7,9 @@ the join stands for all passages with the same two min-hashes. Cells of ``bands`
 corpus, ``at_once`` bands at a time, and cells of equal tokens are covered and linked at once. Of the different contents of a group
 the commonest is the leader; the others are compared with its surroundings, token by token.
 
-What is left is found by counting, not by comparing all with all. Tokens that no other document of any group has can't be shared;
-from the numbers of distinct and of unshared tokens follows which windows may be similar at all. Members of one group meet
-if such windows are not covered yet, or if their documents are in different components.
+What is left is found by prefixes, not by comparing all with all. It is the windows of members that are not covered yet, or whose group has
+documents of several components, unless tokens that no other document of any group has rule out that another is similar. Windows
+with the same set of tokens are one; each goes by its rarest tokens, of which two similar windows have one in common, whatever else they hold.
 
 A passage counts if at another place, without overlap, a passage of as many words has at least ``percent`` % of all distinct tokens of both in
 common, confirmed on the tokens themselves, or on 128 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
@@ -30,7 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bitmap import bitmap_parts, in_bitmap
@@ -487,54 +487,125 @@ def unshared(x: np.ndarray, t: int, elsewhere: np.ndarray) -> np.ndarray:
     return np.cumsum(out)[:-1]
 
 
-_STANDING = "group long, doc long, span long, component long, asks array<int>, offers array<int>"
+def _window_sums(values: np.ndarray, t: int, repeats: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each window of t places: the sum, modulo 2^64, of the values in it, equal codes counted once."""
+    total = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values, out=total[1:])
+    sums = total[t:] - total[:-t]
+    at, before = repeats
+    if len(at):
+        extra = np.zeros(len(sums) + 1, dtype=U)
+        np.add.at(extra, np.maximum(0, at - t + 1), values[at])
+        np.subtract.at(extra, np.minimum(len(sums), before + 1), values[at])
+        sums -= np.cumsum(extra, dtype=U)[:-1]
+    return sums
+
+
+def _marked(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of these ranges."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, low, 1)
+    np.add.at(change, high, -1)
+    return np.cumsum(change)[:-1] > 0
+
 
+#: What a window asks for: nothing, similar ones in other components, any similar one.
+NOTHING, LINKS, COVERAGE = 0, 1, 2
+_SETS = "one long, two long, doc long, component long, low long, high long, asks int"
 
-def _standing(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, component, members, have, shared, text): each member with what its windows ask of and offer to another.
 
-    A window with n distinct tokens, u of them unshared, asks (n, n - u and whether it isn't covered: n << 16 | shared << 1 | open) and offers (n << 8 | u).
+def _window_sets(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, component, members, have, shared, text): the members' windows that going by their unshared tokens may resemble another.
+
+    Each row is a run of windows (low: the first one's start, high: the last one's end) of one set of tokens, named by 128 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in chunks(batches, "text"):
             tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            docs, components = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+            parts: list[list[np.ndarray]] = []
             for i in range(piece.num_rows):
                 x = tokens[bounds[i] : bounds[i + 1]]
-                members = piece.column(2)[i].values
-                group, span = members.field("group").to_numpy(), members.field("span").to_numpy()
-                shared = piece.column(4)[i].values
-                n = _distinct_counts(x, t)
-                u = unshared(x, t, np.zeros(0, dtype=U) if shared is None else shared.to_numpy().view(U))
-                covered = np.zeros(len(x) + 1, dtype=np.int64)
-                have = piece.column(3)[i].values
-                if have is not None:
-                    np.add.at(covered, have.field("low").to_numpy(), 1)
-                    np.add.at(covered, have.field("high").to_numpy(), -1)
-                total = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
-                open_ = total[t:] - total[:-t] < t
-                ask = np.where(100 * (n - u) >= percent * n, (n << 16) | ((n - u) << 1) | open_, -1)
-                offer = (n << 8) | u
-                low, high = unpack(span)
-                times = high - low - t + 1
-                own = np.repeat(np.arange(len(span)), times)
-                window = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[own]
-                lists = []
-                for values in (ask, offer):
-                    marked = np.unique((own[values[window] >= 0] << 32) | values[window][values[window] >= 0])
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(marked >> 32, minlength=len(span)))])
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marked & 0xFFFFFFFF, pa.int32())))
-                m = len(group)
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(m, piece.column(0)[i].as_py())), pa.array(span), pa.array(np.full(m, piece.column(1)[i].as_py())), *lists], names=["group", "doc", "span", "component", "asks", "offers"])
+                members, have, shared = (piece.column(c)[i].values for c in (2, 3, 4))
+                low, high = unpack(members.field("span").to_numpy())
+                mixed = members.field("mixed").to_numpy(zero_copy_only=False).astype(bool)
+                windows = len(x) - t + 1
+                repeats = _close_repeats(x, t)
+                n = _window_counts(len(x), t, repeats)
+                u = unshared(x, t, np.zeros(0, dtype=U) if shared is None else shared.field("token").to_numpy().view(U))
+                covered = np.zeros(len(x), dtype=bool) if have is None else _marked(len(x), have.field("low").to_numpy(), have.field("high").to_numpy())
+                total = np.concatenate([[0], np.cumsum(covered)])
+                asks = np.where(_marked(windows, low[mixed], high[mixed] - t + 1), LINKS, NOTHING)
+                asks[total[t:] - total[:-t] < t] = COVERAGE
+                at = np.flatnonzero(_marked(windows, low, high - t + 1) & (100 * (n - u) >= percent * n))
+                if not len(at):
+                    continue
+                one, two = (_window_sums(mix64(x ^ U(c)), t, repeats)[at].view(np.int64) for c in (0, BASE))
+                begins = _begins(one, two, asks[at], at - np.arange(len(at)))
+                first = np.flatnonzero(begins)
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                m = len(first)
+                parts.append([one[first], two[first], np.full(m, docs[i]), np.full(m, components[i]), at[first], at[last] + t, asks[at][first]])
+            if parts:
+                columns = [np.concatenate([p[c] for p in parts]) for c in range(7)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.int32())], names=["one", "two", "doc", "component", "low", "high", "asks"])
 
     return run
 
 
-def _possible(percent: int) -> Column:
-    """Whether windows that ask w and offer v may be similar: at most the shared tokens of either are in both."""
-    n, shared, other = F.shiftright("w", 16), F.shiftright("w", 1).bitwiseAND(F.lit(0x7FFF)), F.shiftright("v", 8)
-    both = F.least(shared, other - F.col("v").bitwiseAND(F.lit(255)))
-    return 100 * both >= percent * (n + other - both)
+def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray, values: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, first start, last start and asks: runs of the windows of x at ``low`` that have the token among their rarest.
+
+    values: x's distinct tokens in order; docs: in how many documents each is. Of two windows of which ``percent`` % of all
+    tokens are common, each has a common token among its rarest n - ceil(percent * n / 100) + 1 of n. Tokens found nowhere else are left out.
+    """
+    code = np.searchsorted(values, x)
+    order = np.lexsort((values, docs))
+    rank = np.empty(len(values), dtype=np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    useful = ((docs > 1) | (np.bincount(code, minlength=len(values)) > 1))[order]
+    views, found = np.lib.stride_tricks.sliding_window_view(rank[code], t), []
+    for a in range(0, len(low), 1 << 14):
+        held = np.sort(views[low[a : a + (1 << 14)]], axis=1)
+        place = np.cumsum(np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1), axis=1)
+        n = place[:, -1:]
+        rare = (place <= n - (percent * n + 99) // 100 + 1) & useful[held]
+        rare[:, 1:] &= place[:, 1:] != place[:, :-1]
+        row, column = np.nonzero(rare)
+        found.append((held[row, column], low[a + row], asks[a + row]))
+    ranks, starts, asked = (np.concatenate([f[i] for f in found]) for i in range(3))
+    by = np.lexsort((starts, asked, ranks))
+    ranks, starts, asked = ranks[by], starts[by], asked[by]
+    begins = _begins(ranks, asked)
+    begins[1:] |= np.diff(starts) > 16
+    first = np.flatnonzero(begins)
+    last = np.concatenate([first[1:], [len(ranks)]]) - 1
+    return values[order][ranks[first]], starts[first], starts[last] if len(first) else starts, asked[first]
+
+
+_RARE = "token long, doc long, component long, span long, asks int"
+
+
+def _rare_tokens(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, component, windows, shared, text): the rare tokens of these windows, and the spans of those that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, data, offsets in chunks(batches, "text"):
+            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            for i in range(piece.num_rows):
+                x = tokens[bounds[i] : bounds[i + 1]]
+                windows, shared = piece.column(2)[i].values, piece.column(3)[i].values
+                values = np.unique(x)
+                docs = np.ones(len(values), dtype=np.int64)
+                if shared is not None:
+                    docs[np.searchsorted(values, shared.field("token").to_numpy().view(U))] = shared.field("docs").to_numpy()
+                token, first, last, asks = prefixes(x, windows.field("low").to_numpy(), windows.field("asks").to_numpy(), docs, values, t, percent)
+                m = len(token)
+                columns = [token.view(np.int64), np.full(m, piece.column(0)[i].as_py()), np.full(m, piece.column(1)[i].as_py()), pack(first, last + t)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32())], names=["token", "doc", "component", "span", "asks"])
+
+    return run
 
 
 def _spans_merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -617,30 +688,40 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     del equal
     forget(similar)
 
-    # Members of groups of three or more whose windows may be similar to another member's, going by counts alone.
+    # Windows of members of groups of three or more that aren't covered yet, or whose group has documents of several components.
     members = pairs.where("group is not null").select("group", "doc", "span").distinct()
-    per_doc = stored(members.groupBy("doc").agg(F.collect_list(F.struct("group", "span")).alias("members")))
-    tokens = with_texts(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(shingle), "doc long, token long")
-    tokens = stored(tokens)
-    known = tokens.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("token")
-    shared = tokens.join(known, "token").groupBy("doc").agg(F.collect_list("token").alias("shared"))
-    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
     named = component.select(F.col("node").alias("doc"), "component")
-    full = with_texts(per_doc.join(have, "doc", "left").join(shared, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "members", "have", "shared"))
-    standing = stored(full.mapInArrow(_standing(t, shingle, percent), _STANDING))
-    del members, known, shared, have, full
+    tagged = stored(members.join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    mixed = tagged.groupBy("group").agg((F.min("component") != F.max("component")).alias("mixed"))
+    per_doc = stored(tagged.join(mixed, "group").groupBy("doc", "component", "span").agg(F.max("mixed").alias("mixed")).groupBy("doc", "component").agg(F.collect_list(F.struct("span", "mixed")).alias("members")))
+    tokens = stored(with_texts(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(shingle), "doc long, token long"))
+    known = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    shared = tokens.join(known, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "docs")).alias("shared"))
+    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
+    full = stored(with_texts(per_doc.join(have, "doc", "left").join(shared, "doc", "left")).select("doc", "component", "members", "have", "shared", "text"))
+    del members, tagged, mixed, known, shared, have
     forget(per_doc, tokens, *rounds)
 
-    mixed = standing.groupBy("group").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("group", F.lit(True).alias("mixed"))
-    asks = standing.join(mixed, "group", "left").select("group", "doc", "span", "component", F.explode("asks").alias("w"), "mixed").where("w % 2 = 1 or mixed").drop("mixed")
-    offers = standing.select("group", F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("component").alias("other"), F.explode("offers").alias("v"))
-    possible = asks.select("group", "w").distinct().join(offers.select("group", "v").distinct(), "group").where(_possible(percent))
-    met = asks.join(possible, ["group", "w"]).join(offers, ["group", "v"])
+    # Windows with the same tokens cover each other; one of each set goes on, and asks for all.
+    sets = stored(full.mapInArrow(_window_sets(t, shingle, percent), _SETS))
+    first = F.min(F.struct("doc", "low", "component")).alias("first")
+    sizes = [F.max("doc").alias("last"), F.min("low").alias("least"), F.max("high").alias("most"), F.max("asks").alias("asks")]
+    classes = stored(sets.groupBy("one", "two").agg(first, *sizes).withColumn("several", (F.col("first.doc") != F.col("last")) | (F.col("most") - F.col("least") >= 2 * t)))
+    alike = sets.join(classes.where("several").select("one", "two", F.col("first.doc").alias("head"), "last"), ["one", "two"])
+    alike = stored(alike.where("asks > 0").select("doc", "low", "high", F.when(F.col("doc") == F.col("head"), F.col("last")).otherwise(F.col("head")).alias("partner")))
+    asks = F.when(F.col("several"), F.least(F.col("asks"), F.lit(LINKS))).otherwise(F.col("asks"))
+    wanted = classes.select(F.col("first.doc").alias("doc"), F.col("first.low").alias("low"), asks.alias("asks")).groupBy("doc").agg(F.collect_list(F.struct("low", "asks")).alias("windows"))
+    rare = stored(wanted.join(full, "doc").select("doc", "component", "windows", "shared", "text").mapInArrow(_rare_tokens(t, shingle, percent), _RARE))
+    asking = rare.where("asks > 0")
+    offers = in_bitmap(rare, F.col("token"), bitmap_parts(asking.select("token"), "token")).select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"))
+    met = asking.join(offers, "token")
     elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(high(F.col("span")) - low(F.col("pspan")), high(F.col("pspan")) - low(F.col("span"))) >= 2 * t)
-    met = met.where(elsewhere & ((F.col("w") % 2 == 1) | (F.col("component") != F.col("other")))).select("doc", "span", "pdoc", "pspan").distinct()
-    more = verified(met)
-    del mixed, asks, offers, possible, met
-    forget(standing)
+    wants = (F.col("asks") == COVERAGE) | (F.col("component") != F.col("other"))
+    once = (F.col("pasks") < F.col("asks")) | ((F.col("pasks") == F.col("asks")) & (F.struct("doc", "span") <= F.struct("pdoc", "pspan")))
+    met = met.where(elsewhere & wants & once).select("doc", "span", "pdoc", "pspan").distinct()
+    more = alike.unionByName(verified(met))
+    del asking, offers, met, wanted
+    forget(full, sets, classes, rare)
     covered = least(covered.unionByName(more))
     new = links_of(more)
     if not new.isEmpty():
