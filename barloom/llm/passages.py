@@ -566,8 +566,8 @@ def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray,
     rank[order] = np.arange(len(values), dtype=np.int32)
     useful = ((docs > 1) | (np.bincount(code, minlength=len(values)) > 1))[order]
     views, found = np.lib.stride_tricks.sliding_window_view(rank[code], t), []
-    for a in range(0, len(low), 1 << 14):
-        held = np.sort(views[low[a : a + (1 << 14)]], axis=1)
+    for a in range(0, len(low), 1 << 12):
+        held = np.sort(views[low[a : a + (1 << 12)]], axis=1)
         place = np.cumsum(np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1), axis=1)
         n = place[:, -1:]
         rare = (place <= n - (percent * n + 99) // 100 + 1) & useful[held]
