@@ -126,7 +126,10 @@ class Kalman(Recurrence):
 
 
 class Trailing(Recurrence):
-    """Stops that only tighten while the close is beyond them. inputs: close, candidate below, candidate above; 0 means unset."""
+    """Stops that only tighten while the close is beyond them. inputs: close, candidate below, candidate above; 0 means unset.
+
+    Without a close the candidates are the stops; without a candidate there is none, and the old ones stay.
+    """
 
     outputs = 2
 
@@ -134,7 +137,7 @@ class Trailing(Recurrence):
         long, short = state or (0.0, 0.0)
         outs = np.full((2, len(close)), np.nan)
         for i, (c, b, a) in enumerate(zip(close.tolist(), below.tolist(), above.tolist(), strict=True)):
-            if math.isnan(b) or math.isnan(a) or math.isnan(c):
+            if math.isnan(b) or math.isnan(a):
                 continue
             long = max(b, long) if long != 0 and c > long else b
             short = min(a, short) if short != 0 and c < short else a
@@ -143,7 +146,7 @@ class Trailing(Recurrence):
 
     def sql(self, at):
         c, b, a = self.inputs
-        none = f"n.{b} IS NULL OR n.{a} IS NULL OR n.{c} IS NULL"
+        none = f"n.{b} IS NULL OR n.{a} IS NULL"
         long = f"CASE WHEN {none} THEN p.{at}l WHEN p.{at}l <> 0 AND n.{c} > p.{at}l THEN greatest(n.{b}, p.{at}l) ELSE n.{b} END"
         short = f"CASE WHEN {none} THEN p.{at}s WHEN p.{at}s <> 0 AND n.{c} < p.{at}s THEN least(n.{a}, p.{at}s) ELSE n.{a} END"
         first = lambda x: f"CASE WHEN {none} THEN 0e0 ELSE n.{x} END"

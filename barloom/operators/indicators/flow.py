@@ -68,8 +68,8 @@ def price_volume(b, p):
 def _oscillator_features(b, h, p):
     macro = p.get("adapt_macro_p", p.slow_len)
     x = b.let(standing(b, h["VO"], macro))
-    bias = b.let(f"{x} - {b.ewm(x, macro, counted=True)}")
-    near = b.ewm(bias, p.get("adapt_micro_p", p.fast_len), counted=True)
+    bias = b.let(f"{x} - {b.ewm(x, macro)}")
+    near = b.ewm(bias, p.get("adapt_micro_p", p.fast_len))
     return axis(b, "feat_vo_position", x, *THREE) | axis(b, "feat_vo_bias", bias, (-1.0, 1.0), (-3.0, 3.0)) | axis(b, "feat_vo_momentum", s.guarded(f"{bias} - {near}", f"abs({near})", E), *MOMENTUM) | axis(b, "feat_vo_volatility", b.ewm(f"abs({h['VO']}) / 100e0", p.get("adapt_vol_p", p.slow_len), counted=True), (0.0, 1.0), (0.0, 3.0))
 
 

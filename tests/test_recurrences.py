@@ -78,6 +78,13 @@ def test_kalman_supertrend_and_stops_by_pieces():
         assert long[i] == (max(below[i], long[i - 1]) if close[i] > long[i - 1] else below[i])
 
 
+def test_stops_without_a_close_are_the_candidates():
+    gap = float("nan")
+    long, short = through(rec.Trailing(("c", "b", "a"), ()), [[9.0, gap, 9.0, 9.0], [5.0, 4.0, 3.0, gap], [12.0, 13.0, 14.0, 15.0]], [2])
+    np.testing.assert_array_equal(long, [5, 4, 4, gap])
+    np.testing.assert_array_equal(short, [12, 13, 13, gap])
+
+
 def test_order_zone():
     sets, edge, low = [0, 1, 0, 0, 0, 1, 0], [0, 5, 0, 0, 0, 4, 0], [9, 6, 6, 4, 9, 3, 4]
     got = through(rec.OrderZone(("s", "e", "v"), (1.0,)), [sets, edge, low], [2])[0]
