@@ -53,9 +53,10 @@ def single(indicator: str, **params) -> FeaturePlan:
     return FeaturePlan(((indicator, indicator),), {indicator: params})
 
 
-def columns_of(plan: FeaturePlan, raw: bool = True, features: bool = True) -> tuple[Columns, dict[str, str]]:
+def columns_of(plan: FeaturePlan, raw: bool = True, features: bool = True, taken: Iterable[str] = ()) -> tuple[Columns, dict[str, str]]:
     """All columns of a plan by name: raw values as <id>__<value>, features under their own names, with the id before them where ids and indicators differ."""
     b, out = Columns(), {}
+    b.apart_from(taken)
     for entry, name in plan.entries:
         ind, p = INDICATORS[name], plan.params_of(entry, name)
         h = {k: b.let(v) for k, v in ind.raw(b, p).items()}
@@ -79,7 +80,7 @@ def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features
 
     Filters on time belong after this, or on a range widened by the warm-up: windows need the rows before.
     """
-    b, out = columns_of(plan, raw, features)
+    b, out = columns_of(plan, raw, features, tuple(bars.columns))
     keep = bars.columns if keep is None else list(keep)
     for entry, name in plan.entries:
         if INDICATORS[name].tables:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from barloom.functions import sql as s
 from barloom.functions.recurrences import KEYS, ORDER, Recurrence, Smoothed, Weighted, scan_series
 
-WORD = re.compile(r"\bc_\d+(?:_\d)?\b")
+WORD = re.compile(r"\bc+_\d+(?:_\d)?\b")
 
 
 @dataclass
@@ -31,6 +31,12 @@ class Node:
 class Columns:
     nodes: dict[str, Node] = field(default_factory=dict)
     known: dict[object, tuple[str, ...]] = field(default_factory=dict)
+    prefix: str = "c_"
+
+    def apart_from(self, taken: Iterable[str]) -> None:
+        """Gives the columns to come names that none of these can be."""
+        while any(name.lower().startswith(self.prefix) for name in taken):
+            self.prefix = f"c{self.prefix}"
 
     def _deps(self, node: Node) -> list[str]:
         return [x for x in (node.scan.inputs if node.scan else WORD.findall(node.text)) if x in self.nodes]
@@ -40,7 +46,7 @@ class Columns:
         if re.fullmatch(r"\w+", text):
             return text
         if text not in self.known:
-            node = Node(text, names=(name := f"c_{len(self.known)}",))
+            node = Node(text, names=(name := f"{self.prefix}{len(self.known)}",))
             below = [self.nodes[x].level for x in self._deps(node)]
             depth = max((r for r, _ in below), default=0)
             node.level = depth, max((k + 1 for r, k in below if r == depth), default=0)
@@ -51,7 +57,7 @@ class Columns:
         scan = kind(tuple(self.let(f"CAST({x} AS DOUBLE)") for x in inputs), tuple(params))
         key = (kind, scan.inputs, scan.params)
         if key not in self.known:
-            names = tuple(f"c_{len(self.known)}_{i}" for i in range(kind.outputs))
+            names = tuple(f"{self.prefix}{len(self.known)}_{i}" for i in range(kind.outputs))
             node = Node(scan=scan, names=names, level=(max(self.nodes[x].level[0] for x in scan.inputs) + 1, 0))
             self.nodes |= dict.fromkeys(names, node)
             self.known[key] = names
