@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter
+from barloom.llm import chat, contamination, filter_audit, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, text = F.col("words"), F.col("text")
+    filters = {
+        "A": F.size(words) < 200,
+        "B": F.size(F.array_distinct(words)).cast("long") * 100 < F.size(words).cast("long") * 50,
+        "C": F.regexp_count(text, F.lit("[A-Z]")).cast("long") * 100 > F.length(text).cast("long") * 3,
+        "D": text.rlike("[#$%&*|]"),
+    }
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), filters, marks, repeats="E")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4_SQL = rf"""
@@ -136,6 +148,30 @@ FROM n GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 200) AS a, (100 * len(list_distinct(w)) < 50 * len(w)) AS b, (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text)) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+  count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+t AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1 : step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own,
+  sum(CASE WHEN translate(fails, before || own, '') = fails THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, own) THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN translate(fails, before, '') <> fails AND contains(fails, own) THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, own) THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, own) THEN toxic ELSE 0 END) AS toxic_lost
+FROM c, t GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
 def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
     """The same rules, models and threshold, with one pair of common table expressions for each order."""
     fits = []
@@ -169,8 +205,8 @@ def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_filter_audit": op11_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_url_filter": _op5_sql(), "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_url_filter": _op5_sql(), "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL, "op11_filter_audit": OP11_SQL}
