@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, filter_audit, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter
+from barloom.llm import chat, contamination, filter_audit, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), filters, marks, repeats="E")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select(F.col("id").alias("vec_id"), vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4_SQL = rf"""
@@ -172,6 +177,28 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 """
 
 
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every distance to every entry, with three common table expressions for each round."""
+    ctes = [
+        f"v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS ints FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(embedding) > 0)",
+        f"p AS MATERIALIZED (SELECT row, part, ints[part * (len(ints) // {parts}) + 1 : (part + 1) * (len(ints) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x AS c FROM p WHERE row <= {entries})",
+    ]
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT row, p.part, entry, {far} AS d FROM p JOIN b{k} USING (part)) GROUP BY ALL)")
+        if k < rounds:
+            floor = "CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END"
+            ctes.append(f"s{k} AS (SELECT part, entry, list(CAST({floor} AS BIGINT) ORDER BY place) AS c FROM (SELECT part, entry, place, sum(z) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS z, unnest(range(len(x))) AS place FROM a{k} JOIN p USING (row, part)) GROUP BY ALL) GROUP BY ALL)")
+            ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN s{k} USING (part, entry))")
+    return (
+        "WITH " + ",\n".join(ctes) + f""",
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT row, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (row), books"""
+    )
+
+
 def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
     """The same rules, models and threshold, with one pair of common table expressions for each order."""
     fits = []
@@ -205,8 +232,8 @@ def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_filter_audit": op11_filter_audit}
+    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_filter_audit": op11_filter_audit, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_url_filter": _op5_sql(), "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_url_filter": _op5_sql(), "op8_minhash": OP8_SQL, "op10_chat": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_vector_codes": _op13_sql()}
