@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, contamination, filter_audit, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter, vector_codes
+from barloom.llm import chat, contamination, filter_audit, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, token_files, url_filter, vector_codes
+from barloom.llm.lineage import checkpointed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +107,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), filters, marks, repeats="E")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest, folder = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = checkpointed(token_files.read(manifest, folder))
+    token_files.delete(spark, folder)
+    return found
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, codebooks = vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
     return coded.select(F.col("id").alias("vec_id"), vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
@@ -232,7 +242,7 @@ def _op5_sql(order: int = 5, alphabet: int = 256) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_filter_audit": op11_filter_audit, "op13_vector_codes": op13_vector_codes}
+    return {"op1_neighbours": op1_neighbours, "op2_mixing": op2_mixing, "op3_passages": op3_passages, "op4_decontamination": op4_decontamination, "op5_url_filter": op5_url_filter, "op6_pii": op6_pii, "op7_substring_dedup": op7_substring_dedup, "op8_minhash": op8_minhash, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_filter_audit": op11_filter_audit, "op12_token_files": op12_token_files, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
