@@ -41,11 +41,11 @@ def masked(docs: DataFrame, filters: Mapping[str, Column], part: str = "lang", d
     if repeats is None:
         return stored(rows.select("doc_id", "part", mask))
     own = stored(rows.select("doc_id", "part", mask, F.unhex(F.sha2("text", 256)).alias("digest")))
-    # partial minima shrink a group of copies before the shuffle; the join may be split where a group is large
-    first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # partial minima shrink a group of copies before the shuffle; kept, they meet plain rows in a join that may be split where a group is large
+    first = stored(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     out = stored(own.join(first, "digest", "left").select("doc_id", "part", (F.col("mask") + F.when(later, 1 << len(filters)).otherwise(0)).alias("mask")))
-    forget(own)
+    forget(own, first)
     return out
 
 
