@@ -8,8 +8,8 @@ Documents are dealt out by ranges of their ids and sorted, so file follows file
 own, and only the names that successful tasks return are ever read: what a lost or repeated task has left is ignored. Files go through
 pyarrow's file systems, so the folder may be in any store they know; it must be shared by all executors.
 
-Texts are encoded by the given tokenizer. Where its pieces never reach over a single blank between two visible characters, as with byte-level BPE, texts are
-cut there and each different piece of a block is encoded once; otherwise whole texts are.
+Texts are encoded by the given tokenizer. With byte-level BPE, whose tokens never reach from one word to the next, texts are cut into words and each
+different one is encoded once while it is remembered; otherwise whole texts are.
 
 Cases: a null text is empty and has the end id alone. Documents without id come first; repeated ids follow each other, ordered by their text. Ids must be
 integers. A very long text is cut into blocks of pieces, where it may be cut. An empty table gives no files and no rows. Columns other than the named ones are
@@ -19,6 +19,7 @@ not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -41,8 +42,8 @@ MAGIC = b"IDSEF001"
 #: magic, bytes of an id, documents, ids, documents without id, smallest id, bytes of both coded sequences
 _TRAILER = struct.Struct("<BQQQqQQ8s")
 FILE_IDS = 1 << 25
-BLOCK_PIECES = 1 << 19
-CACHED_PIECES = 1 << 18
+BLOCK_PIECES, CHUNK_BYTES = 3 << 19, 6 << 20
+CACHED_PIECES = 400_000
 MANIFEST = "path string, task long, seq long, n_docs long, n_ids long"
 
 
@@ -53,21 +54,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.cuts = not whole and cuts_at_blanks(json.loads(config))
+        self.cuts = not whole and cuts_in_pieces(json.loads(config))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, int] = {}
+        self.flat, self.n, self.blocks_seen = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Keeps of the known pieces those that stood in two blocks or more. Of each: its number, how many ids it has and in how many blocks it stood; the ids, piece by piece."""
+        kept = [p for p, i in self.known.items() if self.blocks_seen[i] > 1] if len(self.known) else []
+        if len(kept) > CACHED_PIECES // 2:
+            kept = []
+        at = np.fromiter(map(self.known.__getitem__, kept), dtype=np.int64, count=len(kept))
+        self.flat, self.n, self.blocks_seen = self._ids(at).values.to_numpy(), self.n[at], self.blocks_seen[at] - 1
+        self.known = dict(zip(kept, range(len(kept)), strict=True))
+
+    def _ids(self, at: np.ndarray) -> pa.ListArray:
+        """The ids of pieces by their numbers."""
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.n)), pa.int32()), pa.array(self.flat)).take(pa.array(at))
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For blocks of pieces: their ids, and how many each text has in the block, from the first to the last text."""
         if not self.cuts:
             for i in range(len(offsets) - 1):
-                (ids,) = self._encode([data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")])
+                (ids,) = self._encode([data[offsets[i] : offsets[i + 1]].tobytes()])
                 n = np.zeros(len(offsets) - 1, dtype=np.int64)
                 n[i] = len(ids)
-                yield ids, n
+                yield np.array(ids, dtype=np.uint32), n
             return
         start = pieces(data, offsets)
         for at in range(0, len(start), BLOCK_PIECES):
@@ -75,48 +90,84 @@ class Encoder:
             end = start[at + BLOCK_PIECES] if at + BLOCK_PIECES < len(start) else len(data)
             bounds = np.append(own, end) - own[0]
             spread = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data[own[0] : end].tobytes())]).dictionary_encode()
-            found = self._ids(spread.dictionary.to_pylist())
-            codes = spread.indices.to_numpy(zero_copy_only=False)
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            flat, first = np.concatenate(found), np.cumsum(sizes) - sizes
-            n = sizes[codes]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1])]
-            text = np.searchsorted(offsets, own, side="right") - 1
-            yield ids, np.bincount(text, weights=n, minlength=len(offsets) - 1).astype(np.int64)
-
-    def _ids(self, wanted: list[bytes]) -> list[np.ndarray]:
-        fresh = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            self.known, fresh = {}, wanted
-        self.known.update(zip(fresh, self._encode([p.decode("utf-8", "replace") for p in fresh]), strict=True))
-        return [self.known[p] for p in wanted]
-
-
-def cuts_at_blanks(config: dict) -> bool:
-    """Whether a text may be encoded in pieces that begin with a single blank between two visible characters: byte-level BPE with its own pattern, nothing that joins or trims."""
+            piece = self._numbers(spread.dictionary.to_pylist())
+            self.blocks_seen[piece] += 1
+            found = self._ids(piece).take(spread.indices)
+            ends = found.offsets.to_numpy()  # of each piece in the block, after its first
+            inside = np.searchsorted(own, offsets)  # pieces before each text
+            yield found.values.to_numpy(), np.diff(ends[inside])
+
+    def _numbers(self, wanted: list[bytes]) -> np.ndarray:
+        """The numbers of different pieces; unknown ones are encoded, all plain ones as lines of one text."""
+        known = self.known
+        fresh = [p for p in wanted if p not in known]
+        if len(known) + len(fresh) > CACHED_PIECES:
+            self._forget()
+            known = self.known
+            fresh = [p for p in wanted if p not in known]
+        plain = [p for p in fresh if not (p[1:] if p[0] == 32 and len(p) > 1 else p).translate(None, PLAIN)]
+        if len(plain) > 1:
+            ids, end = np.array(self._encode([b"\n".join(plain)])[0], dtype=np.uint32), self._encode([b"\n"])[0]
+            cut = np.flatnonzero(ids == end[0])
+            if len(end) == 1 and len(cut) == len(plain) - 1:
+                self._learn(plain, np.delete(ids, cut), np.diff(cut, prepend=-1, append=len(ids)) - 1)
+                fresh = [p for p in fresh if p not in known]
+        if fresh:
+            found = self._encode(fresh)
+            self._learn(fresh, np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64))
+        return np.fromiter(map(self.known.__getitem__, wanted), dtype=np.int64, count=len(wanted))
+
+    def _learn(self, found: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(found, range(len(self.n), len(self.n) + len(found)), strict=True))
+        self.n, self.flat = np.concatenate([self.n, n.astype(np.int32)]), np.concatenate([self.flat, ids])
+        self.blocks_seen = np.concatenate([self.blocks_seen, np.zeros(len(found), dtype=np.int32)])
+
+
+def cuts_in_pieces(config: dict) -> bool:
+    """Whether texts may be encoded in ``pieces``: byte-level BPE with its own pattern, nothing that joins or trims."""
     pre, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
-    plain = all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] for t in config.get("added_tokens") or ())
+    plain = all(ADDED.fullmatch(t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] for t in config.get("added_tokens") or ())
     return not config.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout") and plain
 
 
-#: Bytes after which, and before which, a blank may begin a piece: none that could belong to a blank beyond ASCII.
-_LEFT, _RIGHT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-_LEFT[33:127] = _RIGHT[33:127] = True
-_LEFT[0x80:0xC0] = True
-_LEFT[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
-_RIGHT[0xC3:0xF5] = True
-_RIGHT[[0xE1, 0xE2, 0xE3]] = False
+#: Added tokens that pieces leave whole, see ``pieces``.
+ADDED = re.compile(r"<\|[a-z]+\|>")
+#: Bytes of pieces that may be encoded as lines of one text, but for a blank at the beginning: none that could belong to another blank.
+PLAIN = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xE0), *range(0xE4, 0xF5)])
+#: Kinds of bytes: visible for certain at a word's end and at its beginning; letters; digits; marks but for the apostrophe and what added tokens hold.
+_LAST, _FIRST, _LETTER, _DIGIT, _MARK = (np.zeros(256, dtype=bool) for _ in range(5))
+_LAST[33:127] = _FIRST[33:127] = _MARK[33:127] = True
+_LAST[0x80:0xC0] = True
+_LAST[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False  # may end a blank beyond ASCII
+_FIRST[0xC3:0xF5] = True
+_FIRST[[0xE1, 0xE2, 0xE3]] = False  # may begin one
+_LETTER[65:91] = _LETTER[97:123] = _DIGIT[48:58] = True
+_MARK[_LETTER | _DIGIT] = False
+_MARK[list(b"'<|>")] = False
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces of the texts begin; empty texts have none."""
-    begins = np.zeros(len(data) + 1, dtype=bool)
-    if len(data) > 2:
-        begins[1:-2] = (data[1:-1] == 32) & _LEFT[data[:-2]] & _RIGHT[data[2:]]
-    begins[offsets[1:-1] - 1] = False  # a last byte that is a blank has what follows in another text
+    """Where pieces of the texts begin; empty texts have none.
+
+    Byte-level BPE first parts a text into contractions, runs of letters, of digits and of other marks, each with at most one blank before it, and runs
+    of blanks, of which the last goes with what follows. So no token reaches over these places: before a single blank or a line end between
+    visible characters, after such a line end, and between letters, digits and marks (letters of Latin-1 included, apostrophes not). That holds at a text's edges too, whatever the texts beside it are.
+    """
+    n = len(data)
+    begins = np.zeros(n + 1, dtype=bool)
+    if n > 2:
+        left, here, right = data[:-2], data[1:-1], data[2:]
+        after, line, before = _LAST[left], here == 10, _FIRST[right]
+        begins[1 : n - 1] = after & (((here == 32) & before) | line)
+        begins[2:n] |= after & line & before
+        latin = np.zeros(n, dtype=bool)  # last bytes of Latin-1's letters
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter, digit, mark = _LETTER[data] | latin, _DIGIT[data], _MARK[data]
+        letter_next = _LETTER[data]
+        letter_next[:-1] |= latin[1:]
+        begins[1:n] |= (letter[:-1] & (digit | mark)[1:]) | (digit[:-1] & (letter_next | mark)[1:]) | (mark[:-1] & (letter_next | digit)[1:])
     begins[offsets] = True
-    return np.flatnonzero(begins[: len(data)])
+    return np.flatnonzero(begins[:n])
 
 
 @lru_cache(maxsize=2)
@@ -227,7 +278,7 @@ def write(docs: DataFrame, tokenizer: str | Path, end_id: int, folder: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for batch, data, offsets in chunks(batches, "text", 4 << 20):
+        for batch, data, offsets in chunks(batches, "text", CHUNK_BYTES):
             encoder = _encoder(config.value)
             if out is None:
                 out = Writer(address, TaskContext.get().partitionId(), 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4, file_ids)
@@ -268,7 +319,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     What stands before each file is a running sum over the manifest, which has a row for some 64 MB of ids.
     """
     before = F.sum("n_ids").over(Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition("path")
+    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(max(1, manifest.count()))  # a number, so that few bytes don't end up in few tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
