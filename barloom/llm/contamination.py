@@ -3,8 +3,8 @@
 Of each ``window`` consecutive words the least hash of their k-grams is selected; a selected k-gram, with where it stands, is a fingerprint,
 one for all windows that select it. Fingerprints of
 documents that no benchmark has fall away in a bitmap of fixed size; the rest are joined with the
-benchmark's and each hit is extended word for word to both sides, as far as a window around it can reach. It counts if ``window`` words or more agree. Equal windows select
-the same k-gram, so no shared span of that length is missed.
+benchmark's and each hit is extended word for word to both sides, as far as a window around it can reach. It counts if ``window`` words or more agree. Whole hashes are
+compared, the leftmost of equal ones is taken: what a window selects depends on its words alone, so no shared span of that length is missed.
 
 Cases: a null or empty text, or one without words, has no words and no hits. An item of fewer than
 ``window`` words is one passage, known by the hash of all its words; an item without words or without id takes no part. Equal hashes inside a window go to the first. Repeated documents
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.bitmap import BITS, bitmap_array
 from barloom.llm.lineage import checkpointed, stored
-from barloom.llm.tokens import ALNUM, U, Words, chunks, cut_words, mix64
+from barloom.llm.tokens import ALNUM, U, Words, chunks, cut_words, mix64, window_least
 
 FOUND = "array<struct<start:long,n:long,mark:long,before:array<string>,words:array<string>>>"
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("before", pa.list_(pa.string())), ("words", pa.list_(pa.string()))]))
@@ -31,21 +31,17 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("mark",
 SENT = 100_000
 
 
-def _selected(words: Words, window: int, k: int, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the k-grams that any window of these texts selects."""
+def _selected(words: Words, window: int, k: int, long: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the k-grams that any window of these texts selects: the least hash, the leftmost of equal ones. Which is selected depends on the window alone."""
     grams, at = words.grams(k)
     n = len(words.start) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     dense = np.zeros(len(words.start), dtype=U)
-    dense[at] = grams
-    mask = U((1 << int(len(dense)).bit_length()) - 1)
-    order = (dense & ~mask) | np.arange(len(dense), dtype=U)
-    least = order[:n].copy()
-    for j in range(1, window - k + 1):
-        np.minimum(least, order[j : j + n], out=least)
+    dense[at] = grams >> U(64 - bits)
+    _, least = window_least(dense[: n + window - k], window - k + 1)
     start = np.flatnonzero((words.text[:n] == words.text[window - 1 : window - 1 + n]) & long[words.text[:n]])
-    place = np.unique((least[start] & mask).astype(np.int64))
+    place = np.unique(least[start]).astype(np.int64)
     return place, dense[place]
 
 
@@ -55,7 +51,7 @@ def _whole(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix64(grams ^ U(n))
 
 
-def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For batches of (key, text): (key, n_words, found). Without a bitmap all fingerprints of items, else those of documents that are in it.
 
     found: n is 0 for a selected k-gram, ``words`` are then its words and the ``window - k`` after it, ``before`` those before it, nearest first.
@@ -67,7 +63,7 @@ def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int])
             counts = words.counts
             rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for n in [0, *(lengths if bitmap is not None else range(1, window))]:
-                start, mark = _whole(words, n) if n else _selected(words, window, k, counts >= window)
+                start, mark = _whole(words, n) if n else _selected(words, window, k, counts >= window, bits)
                 if bitmap is not None:
                     hit = bitmap[(mark & U(len(bitmap) - 1)).astype(np.int64)]
                 else:
@@ -82,11 +78,11 @@ def _finder(window: int, k: int, bitmap: np.ndarray | None, lengths: list[int])
     return run
 
 
-def benchmark_passages(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+def benchmark_passages(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5, hash_bits: int = 64) -> DataFrame:
     """The distinct fingerprints of a benchmark with what stands around them: mark, n, item_before, item_words, items (sorted distinct item ids)."""
     found = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("key"), F.col(text).cast("string").alias("text"))
     kind = found.schema["key"].dataType.simpleString()
-    found = found.mapInArrow(_finder(window, k, None, []), f"key {kind}, n_words long, found {FOUND}")
+    found = found.mapInArrow(_finder(window, k, None, [], hash_bits), f"key {kind}, n_words long, found {FOUND}")
     found = found.select("key", F.inline("found")).withColumnsRenamed({"before": "item_before", "words": "item_words"})
     return found.groupBy("mark", "n", "item_before", "item_words").agg(F.sort_array(F.collect_set("key")).alias("items"))
 
@@ -98,18 +94,21 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITS, sent: int = SENT
+    docs: DataFrame, items: DataFrame, doc_key: Column | str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, bitmap_bits: int = BITS, sent: int = SENT, hash_bits: int = 64
 ) -> DataFrame:
-    """For each document: key, n_words, n_hit (words inside benchmark passages), items (sorted distinct ids)."""
-    if not 1 <= k <= window:
-        raise ValueError("k must lie between 1 and window")
-    passages = stored(benchmark_passages(items, item_id, item_text, window, k))
+    """For each document: key, n_words, n_hit (words inside benchmark passages), items (sorted distinct ids).
+
+    ``hash_bits``: of the hashes that choose fingerprints; results are the same for any number, but fewer meet in vain the more there are.
+    """
+    if not 1 <= k <= window or not 1 <= hash_bits <= 64:
+        raise ValueError("k must lie between 1 and window, hash_bits between 1 and 64")
+    passages = stored(benchmark_passages(items, item_id, item_text, window, k, hash_bits))
     lengths = sorted(r["n"] for r in passages.where(F.col("n") > 0).select("n").distinct().collect())
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_array(passages, "mark", bitmap_bits))
     key = F.col(doc_key) if isinstance(doc_key, str) else doc_key
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _finder(window, k, bitmap.value, lengths)(batches)
+        yield from _finder(window, k, bitmap.value, lengths, hash_bits)(batches)
 
     texts = docs.select(F.struct(key.alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(doc_text).cast("string").alias("text"))
     kind = texts.schema["key"].dataType.simpleString()

@@ -1,7 +1,7 @@
 """Exact substring deduplication: every byte covered by a ``width``-byte string that also starts earlier goes.
 
 Not by merging shard Burrows-Wheeler transforms, as planned: the README says why, with figures. Each string of ``width`` bytes has an
-anchor, the place of the least hash among its ``gram``-byte grams, which depends on the string alone. Consecutive strings with
+anchor, the place of the least hash among its ``gram``-byte grams, the leftmost of equal ones, which depends on the string alone. Consecutive strings with
 one anchor form a run. Runs alike in all their bytes, aligned at their anchors, are compared first: all strings of
 all but the first are repeats. Only where an anchor's gram stands in runs that differ are the strings of each
 first run compared one by one. Equal strings have equal anchors, so no repeat is missed, and no suffixes are sorted.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.lineage import forget, numbered, stored
-from barloom.llm.tokens import BASE, BASE2, U, chunks, enough_powers, mix64
+from barloom.llm.tokens import BASE, BASE2, U, chunks, enough_powers, mix64, window_least
 
 WIDTH, GRAM, PARTS = 100, 32, 2
 
@@ -46,25 +46,16 @@ class Hashed:
         return mix64(((self.total[end] - self.total[start]) * self.back[start]) ^ (end - start).astype(U))
 
 
-def _window_least(values: np.ndarray, w: int) -> np.ndarray:
-    size = 1
-    while size * 2 <= w:
-        values = np.minimum(values[:-size], values[size:])
-        size *= 2
-    return np.minimum(values[: len(values) - (w - size)], values[w - size :]) if size < w else values
-
-
-def _runs(hashed: Hashed, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+def _runs(hashed: Hashed, offsets: np.ndarray, width: int, gram: int, bits: int = 64) -> tuple[np.ndarray, ...]:
     """Of all runs of strings with one anchor: the anchor's hash and place, the first and the last start, the text."""
-    grams = hashed.grams(gram)
+    grams = hashed.grams(gram) >> U(64 - bits)
     if len(grams) < width - gram + 1:
         return tuple(np.zeros(0, dtype=t) for t in (U, np.int64, np.int64, np.int64, np.int64))
-    mask = U((1 << int(len(grams)).bit_length()) - 1)
-    least = _window_least((grams & ~mask) | np.arange(len(grams), dtype=U), width - gram + 1)
+    _, least = window_least(grams, width - gram + 1)
     start = np.arange(len(least))
     text = np.searchsorted(offsets, start, side="right") - 1
     start = start[start + width <= offsets[text + 1]]
-    place = (least[start] & mask).astype(np.int64)
+    place = least[start].astype(np.int64)
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1)) + 1
     first = np.concatenate([[0], cut]) if len(start) else cut
     last = np.concatenate([cut, [len(start)]]) - 1 if len(start) else cut
@@ -72,13 +63,14 @@ def _runs(hashed: Hashed, offsets: np.ndarray, width: int, gram: int) -> tuple[n
     return grams[place], place, start[first], start[last], text[start[first]]
 
 
-def _firsts(group: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """For rows of one batch: whether each is the first of its group by id and start."""
-    out = np.zeros(len(group), dtype=bool)
-    if len(group):
-        order = np.lexsort((spans, ids, group))
-        g = group[order]
-        out[order] = np.concatenate([[True], g[1:] != g[:-1]])
+def _firsts(groups: tuple[np.ndarray, np.ndarray], ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """For rows of one batch: whether each is the first by id and start of those equal in both columns of ``groups``."""
+    a, b = groups
+    out = np.zeros(len(a), dtype=bool)
+    if len(a):
+        order = np.lexsort((spans, ids, b, a))
+        a, b = a[order], b[order]
+        out[order] = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     return out
 
 
@@ -86,7 +78,7 @@ def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 32) | (n.astype(np.int64) << 16)
 
 
-def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _run_finder(width: int, gram: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For batches of (id, text): (anchor, run, id, span, repeat). span: start and number of strings; repeat: known as one already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +86,14 @@ def _run_finder(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], I
             parts = []
             for piece, data, offsets in chunks(iter([batch]), "text"):
                 hashed = Hashed(data)
-                mark, place, low, high, text = _runs(hashed, offsets, width, gram)
+                mark, place, low, high, text = _runs(hashed, offsets, width, gram, bits)
                 whole = mix64(hashed.ranges(low, high + width) ^ ((place - low).astype(U) * U(BASE)) ^ mark)
                 ids = piece.column(0).to_numpy()
                 parts.append((mark.view(np.int64), whole.view(np.int64), ids[text], _pack(low - offsets[text], high - low + 1)))
             if not parts:
                 continue
             mark, whole, ids, spans = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            first = _firsts(whole, ids, spans)
+            first = _firsts((mark, whole), ids, spans)
             mark = np.where(first, mark, mix64(spans.view(U) ^ ids.view(U)).view(np.int64))  # known repeats travel alone
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark, whole, ids, spans, ~first)], names=["anchor", "run", "id", "span", "repeat"])
 
@@ -131,7 +123,7 @@ def _string_finder(width: int, part: int, parts: int) -> Callable[[Iterator[pa.R
             if not found:
                 continue
             string, ids, spans = (np.concatenate([f[i] for f in found]) for i in range(3))
-            first = _firsts(string ^ mix64((spans & 0xFFFFFFFF).view(U)).view(np.int64), ids, spans)
+            first = _firsts((string, spans & 0xFFFFFFFF), ids, spans)
             string = np.where(first, string, mix64(spans.view(U) ^ ids.view(U)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (string, ids, spans, ~first)], names=["string", "id", "span", "repeat"])
 
@@ -168,18 +160,18 @@ def _remover(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, parts: int = PARTS, hash_bits: int = 64) -> DataFrame:
     """Per document: id, n_bytes, removed (array of start, end in bytes), kept (the bytes that stay).
 
-    parts: in how many passes single strings are compared, each with its share of them, by hash.
+    parts: in how many passes single strings are compared, each with its share of them, by hash. hash_bits: of the hashes that choose anchors; any number gives the same result.
     """
-    if not 1 <= gram <= width < 1 << 15:
-        raise ValueError("gram must not exceed width, nor width 32767")
+    if not 1 <= gram <= width < 1 << 15 or not 1 <= hash_bits <= 64:
+        raise ValueError("gram must not exceed width, nor width 32767; hash_bits lie between 1 and 64")
     keyed = docs.select(F.col(doc_id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = numbered(keyed.withColumn("__hash", F.xxhash64("text")), F.col("key").asc_nulls_last(), "__hash").withColumnRenamed("row", "id")
     forget()
     texts = keyed.select("id", "text")
-    runs = texts.mapInArrow(_run_finder(width, gram), "anchor long, run long, id long, span long, repeat boolean")
+    runs = texts.mapInArrow(_run_finder(width, gram, hash_bits), "anchor long, run long, id long, span long, repeat boolean")
     start = F.shiftright("span", 32)
     first_of = lambda c: F.first(c).over(Window.partitionBy("anchor", "run").orderBy("id", "span"))
     whole = Window.partitionBy("anchor").orderBy("run").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -108,6 +108,25 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bo
     return Words(LOWER[data] if lower else data, start, end, text, first)
 
 
+def window_least(values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each w consecutive values, and the leftmost place that holds it: nothing but these values decides."""
+    place, size = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
+    if len(values) < w:
+        return values[:0], place[:0]
+
+    def least(step: int, n: int) -> None:
+        nonlocal values, place
+        right = values[step : step + n] < values[:n]
+        values, place = np.where(right, values[step : step + n], values[:n]), np.where(right, place[step : step + n], place[:n])
+
+    while size * 2 <= w:
+        least(size, len(values) - size)
+        size *= 2
+    if size < w:
+        least(w - size, len(values) - (w - size))
+    return values, place
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and the offsets of its texts."""
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom.llm import chat, contamination, minhash, mixing, neighbours, passages, pii, quality, substring_dedup, url_filter
 from barloom.llm.components import connected_components
+from barloom.llm.tokens import window_least
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,8 +236,8 @@ def test_decontamination_extends_hits(spark):
         texts.append(w)
     docs = documents(spark, [" ".join(t) for t in texts])
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    for sent in (0, 1000):
-        got = {r["key"]: r for r in contamination.contamination(docs, table, window=8, k=3, sent=sent).collect()}
+    for sent, bits in ((0, 64), (1000, 64), (1000, 2), (1000, 1)):  # two bits and one: most windows have several least hashes
+        got = {r["key"]: r for r in contamination.contamination(docs, table, window=8, k=3, sent=sent, hash_bits=bits).collect()}
         for i, w in enumerate(texts):
             hit, names = set(), set()
             for name, item in enumerate(items):
@@ -249,6 +250,25 @@ def test_decontamination_extends_hits(spark):
             assert (got[i]["n_hit"], got[i]["items"]) == (len(hit), sorted(names)), i
 
 
+def test_selection_does_not_depend_on_what_is_around(spark):
+    """An item at the end of texts that fill chunks of their own; two of its k-grams' hashes agree in many high bits."""
+    item = "w9571x w10050x w8783x w5489x w13456x w15666x w9056x w4604x w11089x w428x"
+    long = " ".join(f"v{i % 99991}" for i in range(2_200_000))
+    docs = documents(spark, [item, f"{long} {item}", f"{item} {long}", long])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["key"]: (r["n_words"], r["n_hit"]) for r in contamination.contamination(docs, items).collect()}
+    assert got == {0: (10, 10), 1: (2_200_010, 10), 2: (2_200_010, 10), 3: (2_200_000, 0)}
+
+
+@pytest.mark.parametrize("w", [1, 2, 3, 5, 8, 69])
+def test_window_least_is_the_leftmost(w):
+    values = np.random.default_rng(w).integers(0, 4, 200).astype(np.uint64)
+    least, place = window_least(values, w)
+    assert place.tolist() == [i + values[i : i + w].tolist().index(min(values[i : i + w])) for i in range(201 - w)]
+    assert least.tolist() == values[place].tolist()
+    assert not len(window_least(values[:1], w + 1)[0])
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
@@ -334,6 +354,28 @@ def test_substrings_by_brute_force(spark, rows):
     assert substring_dedup.without_repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 64])
+def test_substrings_whose_anchors_tie(spark, bits):
+    """Few letters and few bits of hash: many places in a string hold its least hash."""
+    rng = random.Random(bits)
+    make = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    shared = [make(40) for _ in range(6)] + ["ab" * 30, "a" * 70]
+    texts = [make(rng.randrange(0, 30)) + rng.choice(shared) + make(rng.randrange(0, 20)) + rng.choice(shared) for _ in range(60)]
+    got = {r["key"]: r for r in substring_dedup.without_repeats(documents(spark, texts), width=24, gram=5, hash_bits=bits).collect()}
+    for i, (data, gone) in enumerate(brute_removed(texts, 24)):
+        assert bytes(got[i]["kept"]) == bytes(b for p, b in enumerate(data) if p not in gone), i
+
+
+def test_substrings_after_a_text_that_fills_a_chunk(spark):
+    """A repeat is found whatever stands before it, and however long that is."""
+    rng = np.random.default_rng(5)
+    repeat = bytes(rng.integers(97, 123, 100, dtype=np.uint8)).decode()
+    filler = bytes(rng.integers(97, 123, 17_000_000, dtype=np.uint8)).decode()
+    df = documents(spark, [repeat, filler[:1000] + repeat, filler + repeat])
+    got = {r["key"]: [tuple(x) for x in r["removed"]] for r in substring_dedup.without_repeats(df).select("key", "removed").collect()}
+    assert got[0] == [] and got[1] == [(1000, 1100)] and (17_000_000, 17_000_100) in got[2] and (0, 1000) in got[2]
+
+
 @pytest.mark.parametrize("kind", ["null", "one", "string"])
 def test_substrings_of_odd_ids(spark, kind):
     """3000 texts without ids, with one, or with strings as ids: each row is a document, earlier ones keep what they share."""
