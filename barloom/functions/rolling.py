@@ -20,6 +20,10 @@ class Windowed(Recurrence):
     def width(self) -> int:
         return int(self.params[0])
 
+    @property
+    def reach(self) -> int:
+        return self.width - 1 + self.shift
+
     def of(self, *windows: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 

@@ -78,11 +78,62 @@ def test_kalman_supertrend_and_stops_by_pieces():
         assert long[i] == (max(below[i], long[i - 1]) if close[i] > long[i - 1] else below[i])
 
 
-def test_stops_without_a_close_are_the_candidates():
-    gap = float("nan")
-    long, short = through(rec.Trailing(("c", "b", "a"), ()), [[9.0, gap, 9.0, 9.0], [5.0, 4.0, 3.0, gap], [12.0, 13.0, 14.0, 15.0]], [2])
-    np.testing.assert_array_equal(long, [5, 4, 4, gap])
-    np.testing.assert_array_equal(short, [12, 13, 13, gap])
+def stops(rows):
+    """Stops by their definition: what is null compares with nothing, and a null candidate is the stop."""
+    long, short, out = 0.0, 0.0, []
+    for c, b, a in rows:
+        long = max(b, long) if None not in (b, long, c) and long != 0 and c > long else b
+        short = min(a, short) if None not in (a, short, c) and short != 0 and c < short else a
+        out.append((long, short))
+    return out
+
+
+def test_stops_with_nulls_by_the_loop():
+    rng = random.Random(8)
+    for _ in range(300):
+        price, rows = 50.0, []
+        for _ in range(60):
+            price += rng.uniform(-2, 2)
+            c, b, a = price, price - rng.uniform(0, 3), price + rng.uniform(0, 3)
+            rows.append(tuple(None if rng.random() < 0.1 else x for x in (c, b, a)))
+        got = through(rec.Trailing(("c", "b", "a"), ()), [none_to_nan(x) for x in zip(*rows, strict=True)], [13, 40])
+        want = stops(rows)
+        for i in range(2):
+            np.testing.assert_array_equal(got[i], none_to_nan([w[i] for w in want]))
+
+
+KINDS = [(rec.Smoothed, (0.3,)), (rec.Smoothed, (1.0,)), (rec.Weighted, (0.2, 0.0)), (rec.Weighted, (0.2, 1.0)), *[(rec.Running, (float(k),)) for k in range(4)], (rec.Kalman, (0.01, 0.3)), (rec.Trailing, ()), (rec.Flipping, ()), (rec.OrderZone, (1.0,)), (rec.OrderZone, (-1.0,))]
+
+
+@pytest.mark.parametrize("kind,params", KINDS)
+@pytest.mark.parametrize("gaps", [0.0, 0.15, 1.0])
+def test_summaries_of_blocks_lead_to_the_same_states(kind, params, gaps):
+    """Blocks of any lengths, summed up apart and combined in order, end where one pass over all rows does."""
+    rng = np.random.default_rng(len(params))
+    for trial in range(120):
+        m = int(rng.integers(0, 100))
+        base = np.cumsum(rng.normal(size=m)) + (50 if trial % 3 else 0)
+        base = np.round(base) if trial % 4 == 0 else base
+        wide = rng.integers(1, 5) * rng.random((2, m))
+        xs = {rec.Trailing: [base, base - wide[0], base + wide[1]], rec.Flipping: [base, base - wide[0], base + wide[1]], rec.OrderZone: [(rng.random(m) < 0.1).astype(float), base, base + wide[0] - wide[1]]}.get(kind, [base])
+        xs = [np.round(x) if trial % 4 == 0 else x.copy() for x in xs]
+        for x in xs[kind is rec.OrderZone :]:
+            x[rng.random(m) < gaps] = NAN
+        scan, state, want = kind(tuple("abc"[: len(xs)]), params), None, None
+        cuts = sorted(rng.integers(0, m + 1, 3).tolist())
+        for a, b in zip([0, *cuts], [*cuts, m], strict=True):
+            if a == b:
+                continue
+            part = [x[a:b] for x in xs]
+            state = scan.after(scan.unpacked(scan.packed(state)), [float(v) for v in scan.summary(*part)])
+            want = scan.run(want, *part)[1]
+            np.testing.assert_allclose(scan.packed(state), scan.packed(want), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_what_becomes_of_a_stop_has_few_pieces():
+    price = np.cumsum(np.random.default_rng(1).normal(size=20_000)) + 500
+    assert len(rec.Trailing(("c", "b", "a"), ()).summary(price, price - 3, price + 3)) < 200
+    assert len(rec.Flipping(("c", "b", "a"), ()).summary(price, price - 3, price + 3)) < 200
 
 
 def test_order_zone():
