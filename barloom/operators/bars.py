@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.buckets import SPAN, carried, ranked
+
 KEYS, ORDER = ("symbol", "timeframe"), "datetime"
 PRICES = ("open", "high", "low", "close")
 #: Reason codes of the missingness channel.
@@ -69,9 +71,10 @@ def bars_from_ticks(ticks: DataFrame, timeframe: str, symbol: str, at: str, pric
 
 
 def drop_unclosed(bars: DataFrame) -> DataFrame:
-    """Without each symbol's latest bar, which may still change. The latest by time, not by arrival."""
-    latest = Window.partitionBy(*KEYS)
-    return bars.withColumn("__latest", F.max(ORDER).over(latest)).where(F.col(ORDER) < F.col("__latest")).drop("__latest")
+    """Without each symbol's latest bar, which may still change. The latest by time, not by arrival; one row for each series is joined back."""
+    latest = bars.groupBy(*(F.col(k).alias(f"__{k}") for k in KEYS)).agg(F.max(ORDER).alias("__latest"))
+    own = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS]
+    return bars.join(latest, [*own, F.col(ORDER) < F.col("__latest")], "left_semi")
 
 
 def _carried(name: str) -> Column:
@@ -133,18 +136,17 @@ def daily_track(bars: DataFrame) -> DataFrame:
     return with_close_time(bars.withColumns({"features_mask": F.col("close").isNotNull() & (F.coalesce("volume", F.lit(0.0)) > 0), "features_reason": F.when(F.col("close").isNull(), MISSING).otherwise(PRESENT).cast("tinyint")}), "1d")
 
 
-def latest_closed(base: DataFrame, other: DataFrame, prefix: str, columns: tuple[str, ...] = (*PRICES, "volume")) -> DataFrame:
+def latest_closed(base: DataFrame, other: DataFrame, prefix: str, columns: tuple[str, ...] = (*PRICES, "volume"), span: str = SPAN) -> DataFrame:
     """Each base bar beside the last wider bar of its symbol that had closed when the base bar did: columns with ``prefix``.
 
-    Both sides run in one order of close times, wider bars first, and the last one seen is carried on: one shuffle, no
-    join of ranges.
+    Both sides run in one order of close times, wider bars first, and the last one seen is carried on, through a bucket of ``span`` and from
+    bucket to bucket: no join of ranges, and a symbol is as many tasks as it has buckets.
     """
     picked = F.struct("close_time", *columns)
     empty = F.lit(None).cast(other.select(picked.alias("x")).schema["x"].dataType)
     left = base.select("symbol", F.struct(*base.columns).alias("row"), F.col("close_time").alias("at"), F.lit(1).alias("side"), empty.alias("wide"))
     right = other.select("symbol", F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.col("close_time").alias("at"), F.lit(0).alias("side"), picked.alias("wide"))
-    seen = F.last("wide", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    rows = left.unionByName(right).withColumn("seen", seen).where("side = 1")
+    rows = carried(left.unionByName(right), ["symbol"], "at", {"seen": "wide"}, ["side"], span).where("side = 1")
     return rows.select("row.*", *(F.col(f"seen.{c}").alias(f"{prefix}{c}") for c in ("close_time", *columns)))
 
 
@@ -157,9 +159,9 @@ def beside(bars: DataFrame, base: str, others: dict[str, str], column: str = "cl
     return out
 
 
-def after_warmup(df: DataFrame, rows: int = 300) -> DataFrame:
+def after_warmup(df: DataFrame, rows: int = 300, span: str = SPAN) -> DataFrame:
     """Without each series' first rows, in which long windows aren't full yet."""
-    return df.withColumn("__row", F.row_number().over(Window.partitionBy(*KEYS).orderBy(ORDER))).where(F.col("__row") > rows).drop("__row")
+    return ranked(df, KEYS, ORDER, "__row", span).where(F.col("__row") >= rows).drop("__row")
 
 
 def sliced(bars: DataFrame, rows: int, halo: int) -> DataFrame:

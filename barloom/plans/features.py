@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.recurrences import KEYS, ORDER
-from barloom.operators.bars import after_warmup
+from barloom.operators.buckets import ranked
 from barloom.operators.indicators import INDICATORS
+from barloom.plans import blocks
 from barloom.plans.frame import Columns
 
 BARS = ("open", "high", "low", "close", "volume")
@@ -73,22 +74,25 @@ def rounded(x: str, digits: int = 6) -> str:
     return f"CASE WHEN abs({x}) < 1e6 THEN round({x}, {digits}) ELSE round({x}, 0) END"
 
 
-def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features: bool = True, keep: Iterable[str] | None = None, digits: int | None = None) -> DataFrame:
+def feature_table(bars: DataFrame, plan: FeaturePlan, raw: bool = True, features: bool = True, keep: Iterable[str] | None = None, digits: int | None = None, block_rows: int | None = None) -> DataFrame:
     """The bars' keys, the columns in ``keep`` (None: all) and the plan's columns. Only what the plan asks for is computed.
 
-    ``digits``: all of the plan's columns become doubles, rounded, for comparisons between engines.
+    ``digits``: all of the plan's columns become doubles, rounded, for comparisons between engines. ``block_rows``: series are cut into blocks of so many rows
+    and worked on in parallel, see ``plans.blocks``; otherwise each series is one task at a time.
 
     Filters on time belong after this, or on a range widened by the warm-up: windows need the rows before.
     """
     b, out = columns_of(plan, raw, features, tuple(bars.columns))
     keep = bars.columns if keep is None else list(keep)
+    if plan.warmup_bars:  # counted before the plan, which then runs once
+        bars, keep = ranked(bars, KEYS, ORDER, "__nth"), [*keep, "__nth"]
     for entry, name in plan.entries:
         if INDICATORS[name].tables:
             bars = INDICATORS[name].tables(bars, plan.params_of(entry, name))
-    df = b.add_to(bars, out, keep)
+    df = b.add_to(bars, out, keep) if block_rows is None else blocks.add_to(b, bars, out, keep, block_rows)
     if digits is not None:
         df = df.selectExpr(*(f"{rounded(f'CAST(`{c}` AS DOUBLE)', digits)} AS `{c}`" if c in out else f"`{c}`" for c in df.columns))
-    return after_warmup(df, plan.warmup_bars) if plan.warmup_bars else df
+    return df.where(F.col("__nth") >= plan.warmup_bars).drop("__nth") if plan.warmup_bars else df
 
 
 def without_constants(df: DataFrame, marker: str = "feat_") -> DataFrame:
