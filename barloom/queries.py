@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from barloom.functions import series, sql
 from barloom.operators import bars as ops
 from barloom.operators import encoders, transitions
 from barloom.operators.indicators import INDICATORS
-from barloom.plans.features import FeaturePlan, feature_sql, feature_table, rounded, single
+from barloom.plans import blocks
+from barloom.plans.features import FeaturePlan, columns_of, feature_sql, feature_table, plan_from, rounded, single
 from barloom.plans.frame import Columns
 from barloom.sources import lake
-from barloom.streaming import live
+from barloom.sources.shared import kept, scratch
+from barloom.streaming import features as live_plans
+from barloom.streaming import grids, live, sessions
+from barloom.streaming.ordered import state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,14 +34,6 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
     return ops.bars_from_ticks(_table(spark, sf_dir, "events"), timeframe, "event_type", "ts", "value", "event_id")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under the checkpoint folder where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='barloom-')}/lake-{uuid.uuid4().hex}"
-
-
 _STEP = {"1m": "1 minute", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "60m": "1 hour", "4h": "4 hours", "1d": "1 day"}
 
 
@@ -80,7 +75,7 @@ _LAKE_COLUMNS = ["symbol", "timeframe", ops.ORDER, *ops.PRICES, "volume", "featu
 def lake_round_trip(spark, sf_dir):
     """The continuous lake written and read again: partitions, column types and values survive."""
     raw = bars(spark, sf_dir).drop("timeframe")
-    path = _scratch(spark)
+    path = scratch(spark)
     lake.write_lake(lake.continuous_lake(raw, ("4h", "1d"), "1h"), path)
     return lake.read_lake(spark, path, timeframe="4h").select(_LAKE_COLUMNS)
 
@@ -254,8 +249,9 @@ def _encoded(kind: str) -> Query:
 
 def _streamed(source: DataFrame, transform: Callable[[DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
     """Runs a stream over what ``source`` reads now, and returns what it wrote to the shared folder."""
-    folder = _scratch(spark)
-    query = transform(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    folder = scratch(spark)
+    with state_store(spark):
+        query = transform(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
@@ -273,7 +269,7 @@ def _stream_sql() -> str:
 
 def stream_rsi(spark, sf_dir):
     """The strength index as kept by a stream over written bars."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     made = bars(spark, sf_dir)
     made.write.parquet(f"{folder}/bars")
     source = spark.readStream.schema(made.schema).parquet(f"{folder}/bars")
@@ -287,6 +283,184 @@ def _stream_rsi_sql() -> str:
     return f"SELECT symbol, datetime, round(close, 6) AS close, round(rsi, 6) AS rsi FROM ({inner})"
 
 
+#: How late the streams below allow bars to be, beyond the bar that starts last.
+_LATE = "4 hours"
+
+
+def _in_parts(made: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], folder: str) -> None:
+    """Runs a stream over bars that come in two parts, a new run for each: some of the first part's last bars come with the second."""
+    spark = made.sparkSession
+    ends = made.agg(F.min(ops.ORDER).alias("first"), F.max(ops.ORDER).alias("last")).first()
+    if ends["first"] is None:
+        made.write.parquet(f"{folder}/bars")
+        return
+    middle = ends["first"] + (ends["last"] - ends["first"]) / 2
+    held_back = F.col(ops.ORDER).between(F.lit(middle) - F.expr("INTERVAL 3 HOURS"), F.lit(middle)) & (F.xxhash64("symbol", ops.ORDER) % 2 == 0)
+    made = kept(made.withColumn("part", F.when((F.col(ops.ORDER) > F.lit(middle)) | held_back, 1).otherwise(0)))
+    for part in range(2):
+        made.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/bars")
+        start(spark.readStream.schema(made.drop("part").schema).parquet(f"{folder}/bars"), folder).awaitTermination()
+
+
+def _appended(transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str], StreamingQuery]:
+    def start(stream: DataFrame, folder: str) -> StreamingQuery:
+        with state_store(stream.sparkSession):
+            return transform(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+
+    return start
+
+
+def stream_missingness(spark, sf_dir):
+    """Hourly bars of a stream, with those that are missing up to the watermark."""
+    folder = scratch(spark)
+    _in_parts(bars(spark, sf_dir), _appended(lambda s: grids.live_grid(s, "1h", _LATE)), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _stream_missingness_sql() -> str:
+    passed = f"(SELECT max(datetime) - INTERVAL {_LATE} FROM ({_bars_sql()}))"
+    return _filled_sql(_bars_sql(), "1h").replace("generate_series(min(datetime), max(datetime), ", f"generate_series(min(datetime), {passed}, ")
+
+
+def _taipei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15-minute bars of events, those within the hours of a market in Taipei."""
+    raw = ops.bars_from_ticks(_table(spark, sf_dir, "events"), "15m", "event_type", "ts", "value", "event_id")
+    return raw.where(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Taipei"), F.col(ops.ORDER)), "HH:mm").between("09:00", "13:15"))
+
+
+def stream_sessions(spark, sf_dir):
+    """Full sessions of a stream: those that are over by the watermark."""
+    folder = scratch(spark)
+    _in_parts(_taipei(spark, sf_dir), _appended(lambda s: grids.live_sessions(s, lateness=_LATE)), folder)
+    return ops.with_close_time(spark.read.parquet(f"{folder}/out"), "15m").select(_LAKE_COLUMNS)
+
+
+def _stream_sessions_sql() -> str:
+    raw = f"SELECT * FROM ({_bars_sql('15m')}) WHERE strftime(datetime + INTERVAL 8 HOUR, '%H:%M') BETWEEN '09:00' AND '13:15'"
+    whole = _session_sql().replace(" QUALIFY datetime < max(datetime) OVER (PARTITION BY symbol, timeframe)", "")
+    return f"SELECT * FROM ({whole}) WHERE CAST(CAST(datetime + INTERVAL 8 HOUR AS DATE) AS TIMESTAMP) + INTERVAL 315 MINUTE <= (SELECT max(datetime) - INTERVAL {_LATE} FROM ({raw}))"
+
+
+#: State machines and filters, kept by streams as a few numbers.
+LEVELS = FeaturePlan(tuple((n, n) for n in ("SuperTrend", "Chandelier_Exit", "Kalman_Filter", "Order_Block")))
+
+
+def _streamed_plan(plan: FeaturePlan, raw: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch(spark)
+        _in_parts(bars(spark, sf_dir), lambda s, f: live_plans.start_features(s, plan, f"{f}/out", f"{f}/state", _LATE, raw, ()), folder)
+        found = live_plans.features(spark, f"{folder}/out")
+        return found.selectExpr(*(c if c in (*ops.KEYS, ops.ORDER) else f"{rounded(f'CAST(`{c}` AS DOUBLE)')} AS `{c}`" for c in found.columns))
+
+    return run
+
+
+def _streamed_plan_sql(plan: FeaturePlan, raw: bool) -> str:
+    """The same plan over all bars, without those that the watermark hasn't passed or that wait for bars after them."""
+    b, out = columns_of(plan, raw)
+    _, ahead = blocks.reaches(blocks.steps(b, out.values()), out)
+    return f"SELECT * EXCLUDE (back) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS back FROM ({feature_sql(_bars_sql(), plan, raw)}) WHERE datetime <= (SELECT max(datetime) - INTERVAL {_LATE} FROM ({_bars_sql()}))) WHERE back > {ahead}"
+
+
+def stream_vwap(spark, sf_dir):
+    """Average prices by volume of the running day, from a stream."""
+    folder = scratch(spark)
+    _in_parts(bars(spark, sf_dir), _appended(lambda s: sessions.live_vwap(s, lateness=_LATE)), folder)
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select(*ops.KEYS, ops.ORDER, *(F.expr(rounded(c)).alias(f"vwap__{c.lower()}") for c in found.columns[4:]))
+
+
+def _stream_vwap_sql() -> str:
+    return f"SELECT * FROM ({feature_sql(_bars_sql(), single('VWAP'), features=False)}) WHERE datetime <= (SELECT max(datetime) - INTERVAL {_LATE} FROM ({_bars_sql()}))"
+
+
+def stream_profiles(spark, sf_dir):
+    """Volume profiles of the days of a stream that are over by the watermark."""
+    folder = scratch(spark)
+    _in_parts(bars(spark, sf_dir), _appended(lambda s: sessions.live_profiles(s, lateness=_LATE)), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15-minute bars of all events together."""
+    ticks = _table(spark, sf_dir, "events").withColumn("all", F.lit("all"))
+    return ops.bars_from_ticks(ticks, "15m", "all", "ts", "value", "event_id")
+
+
+def plan_blocks(spark, sf_dir):
+    """The light plan over one long series, cut into blocks that are worked on apart."""
+    return feature_table(_one_series(spark, sf_dir), LITE, raw=False, keep=(), digits=6, block_rows=500)
+
+
+_PLAN_BLOCKS_SQL = feature_sql(_bars_sql("15m").replace("SELECT event_type AS symbol", "SELECT 'all' AS symbol"), LITE, raw=False)
+
+
+def local_bars(spark, sf_dir):
+    """A vendor's table of daily prices: headers in capitals, times on a clock in Taipei."""
+    vendor = bars(spark, sf_dir, "1d").select(F.col("symbol").alias("SYMBOL"), F.col(ops.ORDER).alias("DateTime"), *(F.col(c).alias(c.capitalize()) for c in ops.PRICES), F.col("volume").alias("VOLUME"))
+    return lake.read_wall_clock(vendor, "Asia/Taipei")
+
+
+_LOCAL_SQL = f"SELECT symbol, datetime - INTERVAL 8 HOUR AS datetime, open, high, low, close, volume FROM ({_bars_sql('1d')})"
+
+
+def _two_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session lake of a market in Taipei: intraday frames, and days as they are. Symbols whose bars contradict themselves are set aside."""
+    day = bars(spark, sf_dir, "1d")
+    broken = day.where("symbol = 'click'").withColumns({"symbol": F.lit("broken"), "low": F.col("high") + 1})
+    sound, _ = lake.usable(day.unionByName(broken).drop("timeframe"))
+    return lake.session_lake(_taipei(spark, sf_dir).drop("timeframe"), sound)
+
+
+def session_lake(spark, sf_dir):
+    return _two_tracks(spark, sf_dir)
+
+
+def session_lake_epochs(spark, sf_dir):
+    """The session lake as written with times in epoch milliseconds, and read again."""
+    path = scratch(spark)
+    lake.write_lake(_two_tracks(spark, sf_dir), path, epochs=True)
+    return lake.read_lake(spark, path).select(_LAKE_COLUMNS)
+
+
+def _session_lake_sql(times: Callable[[str], str] = lambda c: c) -> str:
+    frames = " UNION ALL ".join([f"SELECT * FROM ({_session_sql()})", *(f"SELECT * FROM ({_closed_sql(_resampled_sql(_session_sql(), t), t)})" for t in ("30m", "60m", "4h")), f"SELECT * FROM ({_daily_sql()})"])
+    return f"SELECT symbol, timeframe, {times('datetime')} AS datetime, open, high, low, close, volume, features_mask, features_reason, {times('close_time')} AS close_time FROM ({frames})"
+
+
+def missing_shares(spark, sf_dir):
+    """How much of each series stands for missing bars."""
+    return lake.missing_share(filled_bars(spark, sf_dir)).select("symbol", "timeframe", F.round("missing_share", 9).alias("missing_share"))
+
+
+_SHARES_SQL = f"SELECT symbol, timeframe, round(avg(CASE WHEN features_reason = 3 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS missing_share FROM ({_filled_sql(_bars_sql(), '1h')}) GROUP BY symbol, timeframe"
+
+#: A plan as its file holds it.
+PLAN_FILE = """
+timeframes: [1h]
+phase1_window: {warmup_bars: 100}
+indicator_default_params:
+  RSI: {period: 21}
+  Bollinger_Bands: {period: 30}
+meta_features_plan:
+  - {id: FAST, indicator: RSI, params: {period: 7}}
+  - {id: SLOW, indicator: RSI}
+  - {id: BANDS, indicator: Bollinger_Bands}
+"""
+
+
+def plan_file(spark, sf_dir):
+    """A plan read from YAML: parameters by indicator and by entry, two entries of one indicator, a warm-up."""
+    import yaml
+
+    return feature_table(bars(spark, sf_dir), plan_from(yaml.safe_load(PLAN_FILE)), keep=(), digits=6)
+
+
+def _plan_file_sql() -> str:
+    plan = FeaturePlan((("FAST", "RSI"), ("SLOW", "RSI"), ("BANDS", "Bollinger_Bands")), {"RSI": {"period": 21}, "FAST": {"period": 7}, "Bollinger_Bands": {"period": 30}})
+    return f"SELECT * FROM ({feature_sql(_bars_sql(), plan)}) QUALIFY row_number() OVER ({_W}) > 100"
+
+
 _PLAIN: dict[str, tuple[Query, str | None]] = {
     "bars_1h": (bars, _bars_sql()),
     "missingness": (filled_bars, _filled_sql(_bars_sql(), "1h")),
@@ -306,6 +480,18 @@ _PLAIN: dict[str, tuple[Query, str | None]] = {
     **{f"encoder_{k}": (_encoded(k), None) for k in ("lstm", "tcn", "patchtst", "mamba")},
     "stream_bars": (stream_bars, _stream_sql()),
     "stream_rsi": (stream_rsi, _stream_rsi_sql()),
+    "stream_missingness": (stream_missingness, _stream_missingness_sql()),
+    "stream_sessions": (stream_sessions, _stream_sessions_sql()),
+    "stream_plan": (_streamed_plan(LITE, False), _streamed_plan_sql(LITE, False)),
+    "stream_levels": (_streamed_plan(LEVELS, True), _streamed_plan_sql(LEVELS, True)),
+    "stream_vwap": (stream_vwap, _stream_vwap_sql()),
+    "stream_profiles": (stream_profiles, None),
+    "plan_blocks": (plan_blocks, _PLAN_BLOCKS_SQL),
+    "plan_file": (plan_file, _plan_file_sql()),
+    "local_bars": (local_bars, _LOCAL_SQL),
+    "session_lake": (session_lake, _session_lake_sql()),
+    "session_lake_epochs": (session_lake_epochs, _session_lake_sql(lambda c: f"epoch_us({c}) // 1000")),
+    "missing_shares": (missing_shares, _SHARES_SQL),
 }
 #: Session profiles, factors and windowed kernels have no SQL; tests hold them against plain loops.
 _NO_SQL = {"Volume_Profile", "PCA", "Hurst", "Spectral", "Volume_Profile_Geometry"}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.bars import ORDER, PRICES, interval, with_close_time
+from barloom.operators.bars import KEYS, ORDER, PRICES, interval, with_close_time
+from barloom.operators.buckets import seconds
+from barloom.streaming.ordered import AT, Ordered, frames, in_state, timed
 
 
 def live_bars(ticks: DataFrame, timeframe: str, symbol: str, at: str, price: str, tie: str, lateness: str = "5 minutes") -> DataFrame:
@@ -25,33 +26,45 @@ def live_bars(ticks: DataFrame, timeframe: str, symbol: str, at: str, price: str
     return with_close_time(bars.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("bar.start").cast(kind).alias(ORDER), *PRICES, "volume"), timeframe)
 
 
-_STATE = "last double, gain double, loss double, seen long"
+class Strength(Ordered):
+    """The strength index bar by bar; of a series, four numbers are kept."""
 
+    def __init__(self, period: int, forget: int):
+        super().__init__({"close": "double"}, forget)
+        self.period = period
 
-def _strength(period: int):
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, gain, loss, seen = state.get if state.exists else (None, 0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(ORDER)
-        out, a = [], 1.0 / period
-        for close in rows["close"].tolist():
+    def init(self, handle):
+        super().init(handle)
+        self.moves = handle.getValueState("moves", "last double, gain double, loss double, seen long")
+
+    def release(self, key, bars, passed) -> Iterator[pd.DataFrame]:
+        if not bars:
+            return
+        last, gain, loss, seen = self.moves.get() if self.moves.exists() else (None, 0.0, 0.0, 0)
+        out, a = [], 1.0 / self.period
+        for at, close in bars:
             move = 0.0 if last is None or close is None else close - last
             up, down = max(move, 0.0), max(-move, 0.0)
             gain, loss = (up, down) if seen == 0 else (gain + a * (up - gain), loss + a * (down - loss))
             seen += 1
             last = close if close is not None else last
-            out.append(100.0 - 100.0 / (1.0 + gain / (loss + 1e-9)))
-        state.update((last, gain, loss, seen))
-        yield pd.DataFrame({"symbol": key[0], ORDER: rows[ORDER], "close": rows["close"], "rsi": out})
+            out.append((at, close, 100.0 - 100.0 / (1.0 + gain / (loss + 1e-9))))
+        self.moves.update((last, gain, loss, seen))
+        yield from frames(key, out, [AT, "close", "rsi"])
+
+    def forgotten(self):
+        self.moves.clear()
 
-    return run
 
+def live_rsi(bars: DataFrame, period: int = 14, lateness: str = "0 seconds", forget: str = "90 days") -> DataFrame:
+    """The strength index of each bar that the watermark has passed, in order whatever micro-batch it came in: the batch value on the same bars.
 
-def live_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    """The strength index of each bar as it closes; the state of a symbol is four numbers. Equal to the batch value on the same bars."""
+    Series without bars for ``forget`` begin anew. Start the stream within ``ordered.state_store``.
+    """
     if period < 1:
         raise ValueError("a period is at least 1")
-    schema = f"symbol string, {ORDER} {bars.schema[ORDER].dataType.simpleString()}, close double, rsi double"
-    return bars.select("symbol", ORDER, "close").groupBy("symbol").applyInPandasWithState(_strength(period), schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows, _ = in_state(bars.select(*KEYS, ORDER, "close"), lateness)
+    return timed(rows.groupBy(*KEYS).transformWithStateInPandas(Strength(period, seconds(forget)), f"symbol string, timeframe string, {AT} long, close double, rsi double", "Append", "eventTime"), bars)
 
 
 def live_freeze(matrix: Column, open_: Column, states: int) -> Column:

@@ -50,7 +50,7 @@ def compare(spark, duck, name):
         assert same.all(), (name, c, got[c][~same].head(), want[c][~same].head())
 
 
-@pytest.mark.parametrize("name", ["bars_1h", "missingness", "resample", "session_grid", "daily_track", "asof_align", "epoch_times", "warmup", "lake_round_trip", "primitives", "transition_static", "stream_bars", "stream_rsi", "plan_lite"])
+@pytest.mark.parametrize("name", ["bars_1h", "missingness", "resample", "session_grid", "daily_track", "asof_align", "epoch_times", "warmup", "lake_round_trip", "primitives", "transition_static", "stream_bars", "stream_rsi", "plan_lite", "plan_blocks", "plan_file", "local_bars", "session_lake", "session_lake_epochs", "missing_shares", "stream_missingness", "stream_sessions", "stream_levels", "stream_vwap"])
 def test_queries_agree_with_sql(spark, duck, name):
     compare(spark, duck, name)
 
