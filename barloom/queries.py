@@ -16,7 +16,7 @@ from barloom.operators.indicators import INDICATORS
 from barloom.plans import blocks
 from barloom.plans.features import FeaturePlan, columns_of, feature_sql, feature_table, plan_from, rounded, single
 from barloom.plans.frame import Columns
-from barloom.sources import lake
+from barloom.sources import lake, paged
 from barloom.sources.shared import kept, scratch
 from barloom.streaming import features as live_plans
 from barloom.streaming import grids, live, sessions
@@ -461,6 +461,31 @@ def _plan_file_sql() -> str:
     return f"SELECT * FROM ({feature_sql(_bars_sql(), plan)}) QUALIFY row_number() OVER ({_W}) > 100"
 
 
+def _endpoint(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Minute bars of events as files of an endpoint, with times in milliseconds."""
+    made = bars(spark, sf_dir, "1m").select("symbol", ops.to_millis(ops.ORDER).alias("timestamp"), *ops.PRICES, "volume")
+    made.write.mode("append").parquet(f"{folder}/endpoint")
+    spark.dataSource.register(paged.PagedBars)
+    return made
+
+
+def _pull(spark: SparkSession, folder: str) -> dict[str, str]:
+    return {"client": "barloom.sources.paged:folder_client", "path": lake.qualified(spark, f"{folder}/endpoint"), "symbols": "click,error,purchase,signup,view", "wait": "0", "fail_every": "3", "pages": "5"}
+
+
+_SINCE, _UNTIL = 1_704_412_800_000, 1_705_708_800_000  # 2024-01-05 and 2024-01-20
+
+
+def paged_bars(spark, sf_dir):
+    """Fifteen days of minute bars pulled page by page, of which a third fail at first."""
+    folder = scratch(spark)
+    _endpoint(spark, sf_dir, folder)
+    return spark.read.format("paged_bars").options(**_pull(spark, folder), start=str(_SINCE), end=str(_UNTIL)).load()
+
+
+_PAGED_SQL = f"SELECT symbol, epoch_ms(datetime) AS timestamp, open, high, low, close, volume FROM ({_bars_sql('1m')}) WHERE epoch_ms(datetime) >= {_SINCE} AND epoch_ms(datetime) < {_UNTIL} AND symbol IN ('click', 'error', 'purchase', 'signup', 'view')"
+
+
 _PLAIN: dict[str, tuple[Query, str | None]] = {
     "bars_1h": (bars, _bars_sql()),
     "missingness": (filled_bars, _filled_sql(_bars_sql(), "1h")),
@@ -491,6 +516,7 @@ _PLAIN: dict[str, tuple[Query, str | None]] = {
     "local_bars": (local_bars, _LOCAL_SQL),
     "session_lake": (session_lake, _session_lake_sql()),
     "session_lake_epochs": (session_lake_epochs, _session_lake_sql(lambda c: f"epoch_us({c}) // 1000")),
+    "paged_bars": (paged_bars, _PAGED_SQL),
     "missing_shares": (missing_shares, _SHARES_SQL),
 }
 #: Session profiles, factors and windowed kernels have no SQL; tests hold them against plain loops.

@@ -23,6 +23,13 @@ def read_wall_clock(df: DataFrame, zone: str, at: str = "datetime", symbol: str
     return low.withColumnRenamed(symbol.lower(), "symbol").withColumn(ORDER, to_utc(at.lower(), zone))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as readers outside Spark want it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    address = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{address[5:]}" if address.startswith("file:/") and not address.startswith("file://") else address
+
+
 def write_lake(bars: DataFrame, path: str, by: Iterable[str] = KEYS, epochs: bool = False, mode: str = "overwrite") -> None:
     """One folder for each symbol and timeframe. ``epochs``: times become epoch milliseconds.
 
