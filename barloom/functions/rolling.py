@@ -27,23 +27,33 @@ class Windowed(Recurrence):
     def of(self, *windows: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def along(self, whole: np.ndarray, *xs: np.ndarray) -> np.ndarray:
+        """The values of the windows of a stretch of rows that ``whole`` picks; kinds whose windows share work do it here."""
+        return self.of(*(np.lib.stride_tricks.sliding_window_view(x, self.width)[whole] for x in xs))
+
     def run(self, state, *xs):
         w, n = self.width, len(xs[0])
         before = state if state is not None else tuple(np.empty(0) for _ in xs)
         joined = [np.concatenate(pair) for pair in zip(before, xs, strict=True)]
         out = np.full(n, self.empty)
         first = max(0, w - 1 + self.shift - len(before[0]))  # first row with a full window
-        views = [np.lib.stride_tricks.sliding_window_view(x, w) for x in joined] if len(joined[0]) >= w else []
         for at in range(first, n, ROWS):
             to = min(at + ROWS, n)
             start = at + len(before[0]) - self.shift - w + 1
-            parts = [v[start : start + to - at] for v in views]
-            whole = ~np.any([np.isnan(p).any(axis=1) for p in parts], axis=0)
+            parts = [x[start : start + to - at + w - 1] for x in joined]
+            holes = np.any([np.isnan(p) for p in parts], axis=0)
+            passed = np.concatenate([[0], np.cumsum(holes)])
+            whole = passed[w:] == passed[:-w]
             if whole.any():
-                out[at:to][whole] = self.of(*(p[whole] for p in parts))
+                out[at:to][whole] = self.along(whole, *parts)
         return (out,), tuple(x[max(0, len(x) - (w - 1 + self.shift)) :] for x in joined)
 
 
+def _slope(n, sx, sy, sxx, sxy) -> np.ndarray:
+    """The slope of a line through points, from 0 to 1; none for less than two."""
+    return np.clip(np.divide(n * sxy - sx * sy, n * sxx - sx * sx, out=np.full(len(n), np.nan), where=n >= 2), 0.0, 1.0)
+
+
 class HurstExponent(Windowed):
     """Slope of rescaled range over length, in logarithms, of the differences in each window. params: window, shortest and longest part; parts double in length."""
 
@@ -63,10 +73,33 @@ class HurstExponent(Windowed):
             y, lx = np.log(np.where(used, mean, 1.0)), np.log(lengths)
             sums += np.where(used, 1.0, 0.0) * np.stack([np.ones(len(d)), np.full(len(d), lx), y, np.full(len(d), lx * lx), lx * y])
             lengths *= 2
-        n, sx, sy, sxx, sxy = sums
-        den = n * sxx - sx * sx
-        slope = np.divide(n * sxy - sx * sy, den, out=np.full(len(d), np.nan), where=n >= 2)
-        return np.clip(slope, 0.0, 1.0)
+        return _slope(*sums)
+
+
+    def along(self, whole, x):
+        """A part's rescaled range is the same in every window that has the part: each is found once, and windows add up those that end where theirs do."""
+        d = np.diff(np.nan_to_num(x))
+        ends = np.flatnonzero(whole) + self.width - 2  # the last difference of each window
+        length, longest, sums = int(self.params[1]), int(self.params[2]), np.zeros((5, len(ends)))
+        while length <= min(longest, self.width - 1):
+            parts = np.lib.stride_tricks.sliding_window_view(d, length)
+            walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
+            wide = parts.std(axis=1)
+            moves = wide > 1e-12
+            ratio = np.divide(walk.max(axis=1) - walk.min(axis=1), wide, out=np.zeros_like(wide), where=moves)
+            own = [ends - length + 1 - k * length for k in range((self.width - 1) // length)]
+            total, count = sum(ratio[i] for i in own), sum(moves[i].astype(int) for i in own)
+            mean = np.divide(total, count, out=np.zeros(len(ends)), where=count > 0)
+            used = mean > 0
+            y, lx = np.log(np.where(used, mean, 1.0)), np.log(length)
+            sums += np.where(used, 1.0, 0.0) * np.stack([np.ones(len(ends)), np.full(len(ends), lx), y, np.full(len(ends), lx * lx), lx * y])
+            length *= 2
+        return _slope(*sums)
+
+
+def _longest(power: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The first of the strongest periods: what differs by rounding is equal, as after a single move all are."""
+    return (power >= top[:, None] * (1 - 1e-9)).argmax(axis=1)
 
 
 class DominantPeriod(Windowed):
@@ -79,12 +112,31 @@ class DominantPeriod(Windowed):
         if not len(allowed):
             return np.full(len(x), np.nan)
         power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1))[:, 1 : w // 2 + 1] ** 2
-        best = power[:, allowed].argmax(axis=1)
         top = power[:, allowed].max(axis=1)
+        best = _longest(power[:, allowed], top)
         scale = np.maximum(1.0, np.abs(x).max(axis=1)) * w
         return np.where(top > (1e-12 * scale) ** 2, periods[allowed][best], np.nan)
 
 
+    def along(self, whole, x):
+        """Of each period, one turning sum along the rows; a window's transform is the difference of two of its values. Sums begin anew with each stretch of rows."""
+        w = self.width
+        turns = np.arange(1, w // 2 + 1)
+        turns = turns[(w / turns >= self.params[1]) & (w / turns <= self.params[2])]
+        start = np.flatnonzero(whole)
+        if not len(turns):
+            return np.full(len(start), np.nan)
+        level = x[start[0]]  # periods don't see the level; without it, sums of flat stretches stay small
+        moved = np.where(np.isnan(x), 0.0, x - level)
+        phase = np.exp(-2j * np.pi * (np.outer(np.arange(len(x)), turns) % w) / w)
+        sums = np.concatenate([np.zeros((1, len(turns))), np.cumsum(moved[:, None] * phase, axis=0)])
+        power = np.abs(sums[start + w] - sums[start]) ** 2
+        top = power.max(axis=1)
+        best = _longest(power, top)
+        largest = np.lib.stride_tricks.sliding_window_view(np.abs(np.nan_to_num(x)), w)[whole].max(axis=1)
+        return np.where(top > (1e-12 * np.maximum(1.0, largest) * w) ** 2, (w / turns)[best], np.nan)
+
+
 def value_area(profile: np.ndarray, share: float) -> tuple[int, int, int]:
     """Where most volume is, and the first and last bin of the area around it with ``share`` of all volume; the lower neighbour wins ties."""
     low = high = top = int(profile.argmax())

@@ -19,7 +19,7 @@ from barloom.plans.frame import Columns
 from barloom.sources import lake, paged
 from barloom.sources.shared import kept, scratch
 from barloom.streaming import features as live_plans
-from barloom.streaming import grids, live, sessions
+from barloom.streaming import grids, live, scores, sessions
 from barloom.streaming.ordered import state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,14 @@ def _encoded(kind: str) -> Query:
     return run
 
 
+def selective_scores(spark, sf_dir):
+    """The last state of the selective state-space encoder for windows of 32 bars."""
+    config = encoders.EncoderConfig("mamba", value_channels=5, metadata_dim=2, embedding_dim=32)
+    df = encoders.windows(filled_bars(spark, sf_dir), [*ops.PRICES, "volume"], 32)
+    scored = encoders.score(df, config, encoders.random_weights(config, scan=True))
+    return scored.select("symbol", ops.ORDER, F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
+
+
 def _streamed(source: DataFrame, transform: Callable[[DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
     """Runs a stream over what ``source`` reads now, and returns what it wrote to the shared folder."""
     folder = scratch(spark)
@@ -362,6 +370,14 @@ def _streamed_plan_sql(plan: FeaturePlan, raw: bool) -> str:
     return f"SELECT * EXCLUDE (back) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS back FROM ({feature_sql(_bars_sql(), plan, raw)}) WHERE datetime <= (SELECT max(datetime) - INTERVAL {_LATE} FROM ({_bars_sql()}))) WHERE back > {ahead}"
 
 
+def stream_scores(spark, sf_dir):
+    """The recurrent encoder bar by bar over a stream: each vector sees all bars of its series so far."""
+    folder = scratch(spark)
+    config = encoders.EncoderConfig("lstm", value_channels=5, metadata_dim=2, embedding_dim=32, layers=2)
+    _in_parts(bars(spark, sf_dir), _appended(lambda s: scores.live_scores(s, [*ops.PRICES, "volume"], config, encoders.random_weights(config), _LATE)), folder)
+    return spark.read.parquet(f"{folder}/out").select("symbol", ops.ORDER, F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
+
+
 def stream_vwap(spark, sf_dir):
     """Average prices by volume of the running day, from a stream."""
     folder = scratch(spark)
@@ -511,11 +527,13 @@ _PLAIN: dict[str, tuple[Query, str | None]] = {
     "stream_levels": (_streamed_plan(LEVELS, True), _streamed_plan_sql(LEVELS, True)),
     "stream_vwap": (stream_vwap, _stream_vwap_sql()),
     "stream_profiles": (stream_profiles, None),
+    "stream_scores": (stream_scores, None),
     "plan_blocks": (plan_blocks, _PLAN_BLOCKS_SQL),
     "plan_file": (plan_file, _plan_file_sql()),
     "local_bars": (local_bars, _LOCAL_SQL),
     "session_lake": (session_lake, _session_lake_sql()),
     "session_lake_epochs": (session_lake_epochs, _session_lake_sql(lambda c: f"epoch_us({c}) // 1000")),
+    "encoder_selective": (selective_scores, None),
     "paged_bars": (paged_bars, _PAGED_SQL),
     "missing_shares": (missing_shares, _SHARES_SQL),
 }

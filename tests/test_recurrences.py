@@ -155,6 +155,76 @@ def test_hurst_and_period_of_known_series():
     assert np.isnan(still).all()
 
 
+def hurst_loop(window, shortest, longest):
+    """Rescaled ranges of parts that end where the window does, averaged by length; the slope of their logarithms."""
+    d = [b - a for a, b in zip(window, window[1:], strict=False)]
+    points, length = [], shortest
+    while length <= min(longest, len(d)):
+        found = []
+        for k in range(len(d) // length):
+            part = d[len(d) - (k + 1) * length : len(d) - k * length]
+            mean = sum(part) / length
+            walk, at = [], 0.0
+            for v in part:
+                at += v - mean
+                walk.append(at)
+            wide = math.sqrt(sum((v - mean) ** 2 for v in part) / length)
+            if wide > 1e-12:
+                found.append((max(walk) - min(walk)) / wide)
+        if found and sum(found) > 0:
+            points.append((math.log(length), math.log(sum(found) / len(found))))
+        length *= 2
+    if len(points) < 2:
+        return NAN
+    mx, my = (sum(p[i] for p in points) / len(points) for i in range(2))
+    return min(1.0, max(0.0, sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)))
+
+
+def period_loop(window, shortest, longest):
+    """The period with most power by the plain transform of the window less its mean."""
+    w, mean = len(window), sum(window) / len(window)
+    found = []
+    for k in range(1, w // 2 + 1):
+        if shortest <= w / k <= longest:
+            re, im = (sum((v - mean) * f(2 * math.pi * k * j / w) for j, v in enumerate(window)) for f in (math.cos, math.sin))
+            found.append((re * re + im * im, w / k))
+    top = max(power for power, _ in found)
+    return max(p for power, p in found if power >= top * (1 - 1e-9)) if top > (1e-12 * max(1.0, *map(abs, window)) * w) ** 2 else NAN
+
+
+def stretches(seed, n=260):
+    """A walk with a gap, a flat stretch and a wave."""
+    rng, xs, at = random.Random(seed), [], 20.0
+    for i in range(n):
+        at += 0.0 if 90 <= i < 150 else rng.uniform(-1, 1)
+        xs.append(None if i in (30, 31, 200) else at + (3 * math.sin(i / 2) if i > 150 else 0.0))
+    return xs
+
+
+@pytest.mark.parametrize("cuts", [[], [1, 39, 40, 41, 150]])
+def test_hurst_and_period_by_the_loops(cuts):
+    xs = stretches(4)
+    hurst = through(HurstExponent(("x",), (40, 5, 20)), [none_to_nan(xs)], cuts)[0]
+    period = through(DominantPeriod(("x",), (40, 4, 20)), [none_to_nan(xs)], cuts)[0]
+    for i in range(len(xs)):
+        window = xs[i - 39 : i + 1] if i >= 39 else [None]
+        if None in window:
+            assert math.isnan(hurst[i]) and math.isnan(period[i])
+            continue
+        np.testing.assert_allclose(hurst[i], hurst_loop(window, 5, 20), rtol=1e-9, atol=1e-9, equal_nan=True)
+        np.testing.assert_allclose(period[i], period_loop(window, 4, 20), equal_nan=True)
+
+
+def test_shared_work_gives_what_single_windows_do():
+    """Over 100 000 rows, and in a fraction of the time that windows on their own take."""
+    x = np.cumsum(np.random.default_rng(2).normal(size=100_000)) + 1000
+    x[50_000:50_400], x[70_000] = x[50_000], NAN
+    for kind, params in ((HurstExponent, (200, 10, 80)), (DominantPeriod, (100, 10, 50))):
+        scan = kind(("x",), params)
+        alone = type("Alone", (kind,), {"along": lambda self, whole, *xs: super(kind, self).along(whole, *xs)})(("x",), params)
+        np.testing.assert_allclose(scan.run(None, x)[0][0], alone.run(None, x)[0][0], rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
 def test_profile_shape_against_the_loop():
     bars = plain.walk(60, seed=9)
     high, low, volume = ([b[i] for b in bars] for i in (4, 5, 7))

@@ -31,7 +31,7 @@ class Feed:
         self.states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
 
     def out(self):
-        return self.spark.read.parquet(f"{self.folder}/out").drop("batch")
+        return self.spark.read.parquet(f"{self.folder}/out").drop("batch")  # parts of plans
 
 
 def appended(transform):
