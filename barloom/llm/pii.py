@@ -121,7 +121,11 @@ def _spans(df: DataFrame, text: str, kind: str) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5, as_name: str = "spans") -> DataFrame:
-    """Adds ``as_name``: array of (start, order, kind, end, score, match), sorted, of all spans found in ``text``. Its other columns must not be named like the kinds."""
+    """Adds ``as_name``: array of (start, order, kind, end, score, match), sorted, of all spans found in ``text``. Other columns stay, but for one of that name."""
+    if set(KINDS) & {c.lower() for c in docs.columns}:  # columns named like the kinds are put aside
+        inner = docs.select(F.struct(*docs.columns).alias("__kept"), F.col(text).alias("__own"))
+        found = personal_data(inner, "__own", threshold, "__found")
+        return found.select(*(F.col("__kept")[c].alias(c) for c in docs.columns if c != as_name), F.col("__found").alias(as_name))
     for kind in KINDS:
         docs = _spans(docs, text, kind)
     sure = [F.col(k) if i < BASE_KINDS else F.filter(F.col(k), lambda s: s["score"] >= threshold) for i, k in enumerate(KINDS)]

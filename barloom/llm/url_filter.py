@@ -94,12 +94,14 @@ def log_ratios(wanted: DataFrame, learned: DataFrame, order: int) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", accepted: DataFrame | None = None, rejected: DataFrame | None = None, order: int = ORDER) -> DataFrame:
-    """Adds host, path, rule, score, threshold and verdict (allow or block).
+    """Adds host, path, rule, score, threshold and verdict (allow or block); columns of ``pages`` with these names are replaced, the url's own too.
 
     accepted, rejected: tables of one column ``url`` to learn from. By default the models learn from the pages whose verdict a rule
     decides, all of them.
     """
     named, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    pages = pages.withColumn("__url", F.col(url)).drop("host", "path", "rule", "score", "threshold", "verdict")
+    url = "__url"
     judged = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))}).withColumns({"rule": named, "__ruled": verdict})
     if accepted is None or rejected is None:
         labelled = judged.where(F.col(url).isNotNull() & F.col("__ruled").isNotNull()).select(F.col(url).alias("url"), (F.col("__ruled") == "allow").cast("int").alias("yes"), (F.col("__ruled") == "block").cast("int").alias("no"))
@@ -122,4 +124,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     scores = scored.select(F.col("digest").alias("__digest"), (F.col("score") if both else F.lit(0.0)).alias("score"))
     out = judged.withColumn("__digest", F.unhex(F.md5(F.col(url)))).join(scores, "__digest", "left").withColumn("threshold", F.lit(float(threshold)))
     method = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return out.withColumn("verdict", F.coalesce("__ruled", method)).drop("__digest", "__ruled")
+    return out.withColumn("verdict", F.coalesce("__ruled", method)).drop("__digest", "__ruled", "__url")

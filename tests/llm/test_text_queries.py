@@ -315,6 +315,22 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.redacted(df.where("false")).count() == 0
 
 
+def test_clashing_columns_of_urls_and_personal_data(spark):
+    texts = spark.createDataFrame([(1, "a@b.co 4111 1111 1111 1111", "mine", 5), (2, None, "x", None)], "doc_id long, text string, email string, Card int")
+    got = {r["doc_id"]: r for r in pii.personal_data(texts, threshold=0.5).collect()}
+    assert (got[1]["email"], got[1]["Card"], got[2]["email"]) == ("mine", 5, "x") and [s["kind"] for s in got[1]["spans"]] == ["email", "card"]
+    assert {r["email"] for r in pii.redacted(texts).collect()} == {"mine", "x"}
+    assert pii.personal_data(texts.select("doc_id", F.col("text").alias("email")), "email").columns == ["doc_id", "email", "spans"]
+    rules = (("org/", "allow"), ("example.org/es/", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+    urls = ["http://example.org/en/a", "http://example.org/en/a", "http://x.example.org/es/b", "https://shop.com/fr/1", "https://shop.com/de/1", "http://unknown.net/fr/1", None, "http://example.org/en/" + "long/" * 20_000]
+    pages = spark.createDataFrame([(i, u, "s", 1, "h", "r", "t", "v") for i, u in enumerate(urls)], "page_id long, path string, score string, other int, host string, rule string, threshold string, verdict string")
+    found = url_filter.filter_urls(pages, rules, url="path")
+    assert found.columns == ["page_id", "other", "host", "path", "rule", "score", "threshold", "verdict"]
+    got = {r["page_id"]: r.asDict() for r in found.collect()}
+    assert [got[i]["verdict"] for i in (0, 1, 2, 3, 4, 7)] == ["allow", "allow", "block", "allow", "block", "allow"] and got[0] | {"page_id": 1} == got[1]
+    assert (got[2]["host"], got[2]["path"], got[2]["rule"], got[6]["host"]) == ("x.example.org", "/es/b", "example.org/es/", "") and got[3]["score"] > got[4]["score"]
+
+
 def test_urls(spark):
     urls = ["http://a.org/x", "https://Example.ORG/es/page?q", "http://example.org/en/1x", "http://m.com/fr/", "http://com/de/1", None, "nothing", "://h", "http://x.net/p", "http://bücher.net/é\n#f"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
