@@ -86,13 +86,13 @@ def session_profiles(bars: DataFrame, bins: int = BINS, share: float = SHARE) ->
 
 def _with_profiles(bars: DataFrame, p) -> DataFrame:
     """The finished day's profile stands at every bar of the day, so it looks ahead within the day."""
-    days = session_profiles(bars).withColumnsRenamed({"poc": "t_poc", "vah": "t_vah", "val": "t_val"})
-    return bars.withColumn("session", F.to_date("datetime")).join(days, [*KEYS, "session"], "left").drop("session")
+    days = session_profiles(bars).withColumnsRenamed({"session": "__session", "poc": "__t_poc", "vah": "__t_vah", "val": "__t_val"})
+    return bars.withColumn("__session", F.to_date("datetime")).join(days, [*KEYS, "__session"], "left").drop("__session")
 
 
 @indicator("Volume_Profile", "level", "feat_vp", channel("feat_vp", "VAL", "VAH", lambda h: h["POC"], 5, ((0.0, 1.0), (-1.0, 2.0)), ((0.0, 0.1), (0.0, 0.3)), ((-0.05, 0.05), (-0.15, 0.15))), _with_profiles)
 def volume_profile(b, p):
-    return {"POC": "t_poc", "VAH": "t_vah", "VAL": "t_val"}
+    return {"POC": "__t_poc", "VAH": "__t_vah", "VAL": "__t_val"}
 
 
 def _factor_columns(b: Columns, p) -> dict[str, str]:
@@ -103,7 +103,7 @@ def _factor_columns(b: Columns, p) -> dict[str, str]:
     d = change(b, p.rsi_source)
     gain, loss = (b.smoothed(f"coalesce({x}, 0e0)", 2 / (p.rsi_period + 1)) for x in (f"greatest({d}, 0e0)", f"-least({d}, 0e0)"))
     strength = b.let(f"coalesce(100e0 - 100e0 / (1e0 + {s.div(gain, loss)}), 100e0)")
-    return {f"t_f{i}": b.forward(x) for i, x in enumerate((swing, money, strength))}
+    return {f"__t_f{i}": b.forward(x) for i, x in enumerate((swing, money, strength))}
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
@@ -119,22 +119,23 @@ def _loadings(matrix: pd.Series) -> pd.Series:
 
 
 def with_factors(bars: DataFrame, p) -> DataFrame:
-    """Adds t_pc1, t_pc2, t_pc3: principal components of oscillator, money flow and strength, each scaled over the whole series.
+    """Adds __t_pc1, __t_pc2, __t_pc3: principal components of oscillator, money flow and strength, each scaled over the whole series.
 
     Only sums meet: nine numbers for each series. The fit sees the whole series, and so looks ahead. Rows in which a
     feature has no value yet, and series of fewer rows than components, have nulls.
     """
-    names = [f"t_f{i}" for i in range(3)]
+    names = [f"__t_f{i}" for i in range(3)]
     b = Columns()
+    b.apart_from(bars.columns)
     df = b.add_to(bars, _factor_columns(b, p))
     whole = F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull() & F.col(names[2]).isNotNull()
-    stats = df.where(whole).groupBy(*KEYS).agg(F.count("*").alias("t_n"), *(F.avg(x).alias(f"t_m{i}") for i, x in enumerate(names)), *(F.stddev_pop(x).alias(f"t_s{i}") for i, x in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"t_c{i}{j}") for i in range(3) for j in range(i, 3)))
-    scale = lambda i: F.when(F.col(f"t_s{i}") > 0, F.col(f"t_s{i}")).otherwise(1.0)
-    matrix = F.array(*[F.col(f"t_c{min(i, j)}{max(i, j)}") / (scale(i) * scale(j)) for i in range(3) for j in range(3)])
-    fits = stats.select(*KEYS, "t_n", *(F.col(f"t_m{i}") for i in range(3)), *(scale(i).alias(f"t_s{i}") for i in range(3)), _loadings(matrix).alias("t_load"))
-    z = [(F.col(x) - F.col(f"t_m{i}")) / F.col(f"t_s{i}") for i, x in enumerate(names)]
-    part = lambda k: F.when(whole & (F.col("t_n") >= p.n_components), sum((z[i] * F.get(F.get("t_load", k), i) for i in range(1, 3)), z[0] * F.get(F.get("t_load", k), 0)))
-    return df.join(fits, [*KEYS], "left").select(*bars.columns, *(part(k).alias(f"t_pc{k + 1}") for k in range(3)))
+    stats = df.where(whole).groupBy(*KEYS).agg(F.count("*").alias("__t_n"), *(F.avg(x).alias(f"__t_m{i}") for i, x in enumerate(names)), *(F.stddev_pop(x).alias(f"__t_s{i}") for i, x in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"__t_c{i}{j}") for i in range(3) for j in range(i, 3)))
+    scale = lambda i: F.when(F.col(f"__t_s{i}") > 0, F.col(f"__t_s{i}")).otherwise(1.0)
+    matrix = F.array(*[F.col(f"__t_c{min(i, j)}{max(i, j)}") / (scale(i) * scale(j)) for i in range(3) for j in range(3)])
+    fits = stats.select(*KEYS, "__t_n", *(F.col(f"__t_m{i}") for i in range(3)), *(scale(i).alias(f"__t_s{i}") for i in range(3)), _loadings(matrix).alias("__t_load"))
+    z = [(F.col(x) - F.col(f"__t_m{i}")) / F.col(f"__t_s{i}") for i, x in enumerate(names)]
+    part = lambda k: F.when(whole & (F.col("__t_n") >= p.n_components), sum((z[i] * F.get(F.get("__t_load", k), i) for i in range(1, 3)), z[0] * F.get(F.get("__t_load", k), 0)))
+    return df.join(fits, [*KEYS], "left").select(*bars.columns, *(part(k).alias(f"__t_pc{k + 1}") for k in range(3)))
 
 
 def _factor_features(b, h, p):
@@ -148,4 +149,4 @@ def _factor_features(b, h, p):
 def pca(b, p):
     if not 1 <= p.n_components <= 3:
         raise ValueError("n_components must be 1, 2 or 3")
-    return {f"PC{i}": f"t_pc{i}" for i in range(1, p.n_components + 1)}
+    return {f"PC{i}": f"__t_pc{i}" for i in range(1, p.n_components + 1)}

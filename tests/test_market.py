@@ -153,11 +153,11 @@ def test_session_profiles_by_the_loop(spark):
 def test_factors_are_scaled_and_uncorrelated(spark):
     p = Params(INDICATORS["PCA"].defaults | {"n_components": 3})
     df = with_factors(spark.createDataFrame(plain.walk(300, 2) + plain.flat(10), plain.BARS), p)
-    pcs = np.array([[r[f"t_pc{k}"] for k in (1, 2, 3)] for r in df.where("symbol = 'a' AND t_pc1 IS NOT NULL").collect()])
+    pcs = np.array([[r[f"__t_pc{k}"] for k in (1, 2, 3)] for r in df.where("symbol = 'a' AND __t_pc1 IS NOT NULL").collect()])
     assert len(pcs) == 300 - 33
     cov = np.cov(pcs.T, bias=True)
     assert abs(cov - np.diag(np.diag(cov))).max() < 1e-9 and math.isclose(np.trace(cov), 3.0, rel_tol=1e-9) and cov[0, 0] >= cov[1, 1] >= cov[2, 2]
-    assert df.where("symbol = 'f' AND t_pc1 IS NOT NULL").count() == 0
+    assert df.where("symbol = 'f' AND __t_pc1 IS NOT NULL").count() == 0
 
 
 def test_grid_sessions_and_unclosed_bar(spark):
