@@ -205,6 +205,17 @@ def full_features(spark, sf_dir):
     return feature_table(bars(spark, sf_dir), FULL, raw=False, keep=(), digits=6)
 
 
+#: Session profiles, factors and windowed kernels have no SQL; tests hold them against plain loops.
+_NO_SQL = {"Volume_Profile", "PCA", "Hurst", "Spectral", "Volume_Profile_Geometry"}
+#: The full plan without these.
+WIDE = FeaturePlan(tuple(x for x in FULL.entries if x[1] not in _NO_SQL))
+
+
+def wide_features(spark, sf_dir):
+    """The wide table of all single-series indicators that SQL can express, by blocks of series."""
+    return feature_table(bars(spark, sf_dir), WIDE, raw=False, keep=(), digits=6, block_rows=300)
+
+
 def static_transitions(spark, sf_dir):
     """One matrix for all bars, the identity at bars that are missing."""
     df = filled_bars(spark, sf_dir)
@@ -516,6 +527,7 @@ _PLAIN: dict[str, tuple[Query, str | None]] = {
     "primitives": (primitives, _primitives_sql()),
     "plan_lite": (lite_features, feature_sql(_bars_sql(), LITE, raw=False)),
     "plan_full": (full_features, None),
+    "plan_wide": (wide_features, feature_sql(_bars_sql(), WIDE, raw=False)),
     "transition_static": (static_transitions, _static_sql()),
     "transition_dynamic": (dynamic_transitions, None),
     **{f"encoder_{k}": (_encoded(k), None) for k in ("lstm", "tcn", "patchtst", "mamba")},
@@ -537,8 +549,6 @@ _PLAIN: dict[str, tuple[Query, str | None]] = {
     "paged_bars": (paged_bars, _PAGED_SQL),
     "missing_shares": (missing_shares, _SHARES_SQL),
 }
-#: Session profiles, factors and windowed kernels have no SQL; tests hold them against plain loops.
-_NO_SQL = {"Volume_Profile", "PCA", "Hurst", "Spectral", "Volume_Profile_Geometry"}
 
 
 def queries() -> dict[str, Query]:
