@@ -4,18 +4,19 @@ Vectors that are equal are one node. Each node begins with random neighbours. In
 both directions, meet: joins bring their vectors together by the node they have in common, pairs with a new member
 are scored, and each keeps its best. Rounds go on until few lists change. A search keeps a beam of the best nodes
 found, expands the best ones not yet expanded by a join with the graph, and stops after ``hops`` rounds. Graph and beam use
-half precision; the last candidates are scored in double precision on the original vectors.
+half precision, scaled so that the largest component fits; the last candidates are scored in double precision on the original vectors.
 
 Reverse lists are sampled (``reverse`` expected for each node), as is usual for NN-descent; the index holds every row.
 
 Cases: vectors that are null, zero, of another length than most, or with null or non-finite components take no
-part, nor do null ids. Rows with equal vectors are all found; equal scores go by id; repeated ids are rows of their own as
-candidates. Fewer than k candidates give shorter lists; no candidates none. Empty tables give no rows.
+part, nor do null ids. Rows with equal vectors are all found; equal scores go by id; repeated ids are rows of their own, as queries and as
+candidates of each other. Fewer than k candidates give shorter lists; no candidates none. Empty tables give no rows.
 Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,14 @@ def valid_vectors(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("vector") == (size["n"] if size else 0))
 
 
-def _half(vector: str) -> Column:
-    return F.transform(vector, lambda x: x.cast("float"))
+def _scale(rows: DataFrame, vector: str = "vector") -> float:
+    """A power of two that brings the largest component to between 1 and 2, so that none is beyond half precision; orders stay the same."""
+    largest = rows.agg(F.max(F.aggregate(vector, F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x))))).first()[0]
+    return 2.0 ** (1 - math.frexp(largest)[1]) if largest else 1.0
+
+
+def _half(vector: str, scale: float) -> Column:
+    return F.transform(vector, lambda x: (x * scale).cast("float")).alias("half")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +268,7 @@ def nearest(rows: DataFrame, queries: Column, row_id: str = "vec_id", vector: st
     distinct = checkpointed(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")))
     count = distinct.count()
     index = stored(global_rank(distinct, [F.col("members")[0], F.col("vector")], "node", count).withColumn("node", F.col("node").cast("long") - 1))
-    packed = checkpointed(index.select("node", _half("vector")).mapInArrow(_pack, "node long, packed binary"))
+    packed = checkpointed(index.select("node", _half("vector", _scale(index))).mapInArrow(_pack, "node long, packed binary"))
     graph_options = {n: options.pop(n) for n in ("reverse", "learn", "rounds", "enough", "seed") if n in options}
     graph = neighbour_graph(packed, count, **({"k": options.pop("degree")} if "degree" in options else {}), **graph_options)
     asked = rows.where(queries).select(F.col("id").alias("query_id"), "vector").join(index.select("vector", "node"), "vector").select("query_id", "node")
@@ -270,8 +277,10 @@ def nearest(rows: DataFrame, queries: Column, row_id: str = "vec_id", vector: st
     found = greedy_search(graph, packed, wanted, count, **options)
     last = found.select("query", F.explode(F.slice("ids", 1, finalists)).alias("node"))
     exact = last.join(index.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query").join(index, "node")
-    scored = exact.select("query", F.explode("members").alias("id"), inner_product("asked", "vector").alias("score"))
+    scored = exact.select("query", (F.col("node") == F.col("query")).alias("same"), F.explode("members").alias("id"), inner_product("asked", "vector").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    lists = scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score"))).alias("found"))
-    own = asked.join(lists, asked["node"] == lists["query"]).select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
+    lists = scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score", "same"))).alias("found"))
+    # the query itself goes, once: rows that share its id, or all of it, stay
+    itself = F.array_position(F.transform("found", lambda x: x["same"] & (x["id"] == F.col("query_id"))), True)
+    own = asked.join(lists, asked["node"] == lists["query"]).withColumn("itself", itself).select("query_id", F.slice(F.filter("found", lambda x, i: i + 1 != F.col("itself")), 1, k).alias("found"))
     return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))

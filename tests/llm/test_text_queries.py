@@ -93,6 +93,29 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.where("false"), F.col("id") % 20 == 0, k=3).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-9, 1.0, 1e9])
+def test_neighbours_that_share_an_id(spark, size):
+    """Twin rows, alike or not, are candidates of each other; components beyond half precision keep their order."""
+    rng = np.random.default_rng(9)
+    a, b, c = ((rng.normal(size=4) * size).tolist() for _ in range(3))
+    data = [(20, a), (20, a), (20, b), (40, c), (7, a), (8, b), (9, c)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0, k=10).collect():
+        got[r["query_id"], r["rank"]].append((r["id"], r["score"]))
+    want = defaultdict(list)
+    for i, (q, v) in enumerate(data):
+        if q % 20 == 0:
+            others = sorted(((float(np.dot(v, w)), x) for j, (x, w) in enumerate(data) if j != i), key=lambda t: (-t[0], t[1]))
+            for rank, (score, x) in enumerate(others, 1):
+                want[q, rank].append((x, score))
+    assert set(got) == set(want)
+    for key in want:
+        found, due = sorted(got[key]), sorted(want[key])
+        assert [x for x, _ in found] == [x for x, _ in due], key
+        np.testing.assert_allclose([s for _, s in found], [s for _, s in due], rtol=1e-9)
+
+
 def test_mix_meets_its_targets_and_reruns_agree(spark, rows):
     got = {r["doc_id"]: r for r in entry.queries()["op2_mixing"](spark, SF).collect()}
     again = {r["doc_id"]: r["taken"] for r in entry.queries()["op2_mixing"](spark, SF).collect()}
