@@ -456,8 +456,8 @@ def _runs(batch: pa.RecordBatch) -> tuple[list[int], list[tuple]]:
 
 def scan_series(df: DataFrame, scans: dict[tuple[str, ...], Recurrence]) -> DataFrame:
     """``df`` with the outputs of each recurrence, named by the keys of ``scans``."""
-    for name in {x for scan in scans.values() for x in scan.inputs}:
-        df = df.withColumn(name, df[name].cast("double"))
+    inputs = {x for scan in scans.values() for x in scan.inputs}
+    df = df.withColumns({x: df[x].cast("double") for x in sorted(inputs) if df.schema[x].dataType.simpleString() != "double"})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for names in scans for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from barloom.functions import sql as s
 from barloom.functions.recurrences import KEYS
 from barloom.functions.rolling import DominantPeriod, HurstExponent, ProfileShape
-from barloom.functions.series import change, rolling_sum
+from barloom.functions.series import change
 from barloom.operators.indicators.registry import around, axis, channel, from_mean, indicator, relative, rough
 from barloom.plans.frame import Columns
 

@@ -8,7 +8,6 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barloom.operators.bars import KEYS, MISSING, ORDER, PRESENT, PRICES, interval
 from barloom.operators.buckets import seconds

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators.bars import KEYS, ORDER
-from barloom.operators.buckets import seconds
 
 AT, BATCH_ROWS = "at_micros", 10_000  # names of inputs must not begin with an underscore
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
