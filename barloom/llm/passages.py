@@ -10,6 +10,7 @@ the commonest is the leader; the others are compared with its surroundings, toke
 What is left is found by prefixes, not by comparing all with all. It is the windows of members that are not covered yet, or whose group has
 documents of several components, unless tokens that no other document of any group has rule out that another is similar. Windows
 with the same set of tokens are one; each goes by its rarest tokens, of which two similar windows have one in common, whatever else they hold.
+Pairs that meet on such a token are dropped in the join if bits of their tokens show that they differ in too many.
 
 A passage counts if at another place, without overlap, a passage of as many words has at least ``percent`` % of all distinct tokens of both in
 common, confirmed on the tokens themselves, or on 128 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
@@ -30,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bitmap import bitmap_parts, in_bitmap
@@ -39,7 +40,6 @@ from barloom.llm.lineage import checkpointed, forget, numbered, stored
 from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
 
 WORDS, SHINGLE, BANDS, AT_ONCE = 50, 5, 5, 3
-WORD = r"[^\x20\x09-\x0D]+"
 #: Bits below a span's length: how many documents of a batch have its content.
 TIMES = 16
 #: Marks rows that carry what is covered already.
@@ -81,7 +81,9 @@ def compact_windows(order: np.ndarray, bounds: np.ndarray, text: np.ndarray, lea
         values = np.minimum(values[: len(values) - (least - size)], values[least - size :])
     inside = text[: n - least + 1] == text[least - 1 :]
     mask = U((1 << int(n).bit_length()) - 1)
-    centre = np.unique((values[inside] & mask).astype(np.int64))
+    least_somewhere = np.zeros(n, dtype=bool)
+    least_somewhere[(values[inside] & mask).astype(np.int64)] = True
+    centre = np.flatnonzero(least_somewhere)
     low = order[centre]
     own = text[centre]
     ends = []
@@ -140,6 +142,8 @@ def contents(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.nda
 
     Equal cells of different documents, or of one without overlap, cover each other. A member is the first of its content, or lacks an equal one.
     """
+    if not len(key):
+        return np.zeros(0, dtype=bool), span, np.zeros(0, dtype=bool), doc
     run_begins = _begins(key, content)
     first = np.flatnonzero(run_begins)
     run = np.cumsum(run_begins) - 1
@@ -147,8 +151,8 @@ def contents(key: np.ndarray, content: np.ndarray, doc: np.ndarray, span: np.nda
     several = (doc[last] != doc[first])[run]
     low = unpack(span)[0]
     tied = ~run_begins & (several | (low - low[first][run] >= t))
-    covered = tied | (run_begins & np.logical_or.reduceat(tied, first)[run]) if len(key) else tied
-    times = np.add.reduceat(span & 0xFFFF, first) if len(key) else first
+    covered = tied | (run_begins & np.logical_or.reduceat(tied, first)[run])
+    times = np.add.reduceat(span & 0xFFFF, first)
     one, other = doc[first][run], doc[last][run]
     return ~tied, np.where(run_begins, times[run], 1), covered, np.where(doc != one, one, other)
 
@@ -182,13 +186,20 @@ def _cell_finder(words: int, k: int, bands: range) -> Callable[[Iterator[pa.Reco
             if not parts:
                 continue
             rows = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            order = np.lexsort(rows[::-1])
+            parts.clear()
+            order = np.argsort(rows[0])
+            begins = _begins(rows[0][order])
+            again = ~begins
+            again[:-1] |= ~begins[1:]
+            single, order = order[~again], order[again]
+            single, order = np.sort(single), order[np.lexsort([r[order] for r in rows[::-1]])]
             key, content, doc, span = (r[order] for r in rows)
             member, times, covered, partner = contents(key, content, doc, span, t)
             low, high = unpack(span)
             docs, partners, lows, highs = joined(doc[covered], partner[covered], low[covered], high[covered])
             alone = mix64(docs.view(U) ^ mix64(lows.view(U))).view(np.int64)  # dealt out evenly
-            columns = zip((key[member], content[member], doc[member], pack(low[member], high[member], times[member])), (alone, partners, docs, pack(lows, highs) | COVER), strict=True)
+            members = (key[member], content[member], doc[member], pack(low[member], high[member], times[member]))
+            columns = zip((r[single] for r in rows), members, (alone, partners, docs, pack(lows, highs) | COVER), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "content", "doc", "span"])
 
     return run
@@ -389,16 +400,63 @@ def similar_both(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int
     wx, wy = _window_counts(len(x), t, rx, both[cx]), _window_counts(len(y), t, ry, both[cy])
     live_x, live_y = np.flatnonzero((100 + percent) * wx >= percent * (nx + ny.min())), np.flatnonzero((100 + percent) * wy >= percent * (ny + nx.min()))
     of_x, of_y = np.zeros(len(nx), dtype=bool), np.zeros(len(ny), dtype=bool)
+    _along_diagonals(cx, cy, nx, ny, rx[0], t, percent, shift, of_x, of_y)
+    # what isn't settled on either side meets all of the other
+    open_x = live_x[~of_x[live_x]]
+    _compare(cx, cy, nx, ny, wy, ry, open_x, live_y, len(values), t, percent, shift, of_x, of_y)
+    open_y = live_y[~of_y[live_y]]
+    _compare(cx, cy, nx, ny, wy, ry, np.setdiff1d(live_x, open_x, assume_unique=True), open_y, len(values), t, percent, shift, of_x, of_y)
+    return _covered(of_x, t), _covered(of_y, t)
+
+
+#: Distances between two passages' places at which windows are compared place by place.
+DIAGONALS = 3
+
+
+def _along_diagonals(cx: np.ndarray, cy: np.ndarray, nx: np.ndarray, ny: np.ndarray, again: np.ndarray, t: int, percent: int, shift: int | None, of_x: np.ndarray, of_y: np.ndarray) -> None:
+    """Marks windows of x and y that already are similar by what they hold at equal distances, at the commonest distances of equal codes.
+
+    again: places of x whose code also stands within t places before. They don't count, so no code counts twice and what is marked is right.
+    """
+    size = max(int(cx.max()), int(cy.max())) + 1
+    place = np.full(size, -1)
+    place[cy[::-1]] = np.arange(len(cy) - 1, -1, -1)
+    found = place[cx]
+    at = np.flatnonzero(found >= 0)
+    times = np.bincount(found[at] - at + len(cx))
+    counted = np.ones(len(cx), dtype=bool)
+    counted[again] = False
+    for _ in range(DIAGONALS):
+        d = int(times.argmax())
+        if (100 + percent) * times[d] < percent * (int(nx.min()) + int(ny.min())):
+            break
+        times[d] = 0
+        d -= len(cx)
+        if shift is not None and abs(d - shift) < t:
+            continue
+        a, b = max(0, -d), min(len(cx), len(cy) - d)
+        if b - a < t:
+            continue
+        total = np.concatenate([[0], np.cumsum((cx[a:b] == cy[a + d : b + d]) & counted[a:b])])
+        enough = (100 + percent) * (total[t:] - total[:-t]) >= percent * (nx[a : b - t + 1] + ny[a + d : b + d - t + 1])
+        of_x[a : b - t + 1] |= enough
+        of_y[a + d : b + d - t + 1] |= enough
+
+
+def _compare(cx: np.ndarray, cy: np.ndarray, nx: np.ndarray, ny: np.ndarray, wy: np.ndarray, ry: tuple[np.ndarray, np.ndarray], live_x: np.ndarray, live_y: np.ndarray, size: int, t: int, percent: int, shift: int | None, of_x: np.ndarray, of_y: np.ndarray) -> None:
+    """Marks the windows of x and of y that are similar to one at the other side's places, tile by tile."""
+    if not len(live_y):
+        return
     for rows in _tiles(live_x):
         a, b = int(rows[0]), int(rows[-1]) + 1
-        held = np.zeros(len(values), dtype=bool)
+        held = np.zeros(size, dtype=bool)
         held[cx[a : b + t - 1]] = True
-        near = _window_counts(len(y), t, ry, held[cy]) if len(live_y) > TILE else wy
+        near = _window_counts(len(cy), t, ry, held[cy]) if len(live_y) > TILE else wy
         for columns in _tiles(live_y[(100 + percent) * near[live_y] >= percent * (ny[live_y] + nx[a:b].min())]):
             c, d = int(columns[0]), int(columns[-1]) + 1
             common = np.unique(cy[c : d + t - 1])
             common = common[held[common]]
-            place = np.full(len(values), -1)
+            place = np.full(size, -1)
             place[common] = np.arange(len(common))
             shared = _presence(place[cx[a : b + t - 1]], len(common), t) @ _presence(place[cy[c : d + t - 1]], len(common), t).T
             enough = (100 + percent) * shared >= percent * (nx[a:b, None] + ny[None, c:d])
@@ -406,7 +464,6 @@ def similar_both(x: np.ndarray, y: np.ndarray, t: int, percent: int, shift: int
                 enough &= np.abs(np.arange(c, d)[None, :] - np.arange(a, b)[:, None] - shift) >= t
             of_x[a:b] |= enough.any(axis=1)
             of_y[c:d] |= enough.any(axis=0)
-    return _covered(of_x, t), _covered(of_y, t)
 
 
 def _tiles(at: np.ndarray) -> Iterator[np.ndarray]:
@@ -584,7 +641,31 @@ def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray,
     return values[order][ranks[first]], starts[first], starts[last] if len(first) else starts, asked[first]
 
 
-_RARE = "token long, doc long, component long, span long, asks int"
+#: 128 bits of the tokens that all windows of a run hold, and of those that any holds.
+SKETCHES = ("all0", "all1", "any0", "any1")
+_RARE = "token long, doc long, component long, span long, asks int, " + ", ".join(f"{name} long" for name in SKETCHES)
+
+
+def sketches(tokens: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two numbers for each range first..end - 1 of the tokens: a bit set for each token in it. Empty ranges have none."""
+    bit = mix64(tokens) >> U(57)
+    level = np.zeros((len(tokens), 2), dtype=U)
+    level[np.arange(len(tokens)), (bit >> U(6)).astype(np.int64)] = U(1) << (bit & U(63))
+    out, size = np.zeros((len(first), 2), dtype=U), 1
+    length = end - first
+    while True:
+        now = np.flatnonzero((length >= size) & (length < 2 * size))
+        out[now] = level[first[now]] | level[end[now] - size]
+        if not (length >= 2 * size).any():
+            return out
+        level = level[:-size] | level[size:]
+        size *= 2
+
+
+def apart_at_least(one: str, other: str) -> Column:
+    """Tokens that any window of a run lacks of any window of another run, counted on both sides: never more than there are."""
+    lacking = [F.bit_count(F.col(f"{a}all{i}").bitwiseAND(F.bitwise_not(f"{b}any{i}"))) for a, b in ((one, other), (other, one)) for i in (0, 1)]
+    return lacking[0] + lacking[1] + lacking[2] + lacking[3]
 
 
 def _rare_tokens(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -593,6 +674,7 @@ def _rare_tokens(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in chunks(batches, "text"):
             tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            parts: list[list[np.ndarray]] = []
             for i in range(piece.num_rows):
                 x = tokens[bounds[i] : bounds[i + 1]]
                 windows, shared = piece.column(2)[i].values, piece.column(3)[i].values
@@ -602,12 +684,57 @@ def _rare_tokens(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                     docs[np.searchsorted(values, shared.field("token").to_numpy().view(U))] = shared.field("docs").to_numpy()
                 token, first, last, asks = prefixes(x, windows.field("low").to_numpy(), windows.field("asks").to_numpy(), docs, values, t, percent)
                 m = len(token)
-                columns = [token.view(np.int64), np.full(m, piece.column(0)[i].as_py()), np.full(m, piece.column(1)[i].as_py()), pack(first, last + t)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32())], names=["token", "doc", "component", "span", "asks"])
+                parts.append([token.view(np.int64), np.full(m, piece.column(0)[i].as_py()), np.full(m, piece.column(1)[i].as_py()), first, last, np.full(m, bounds[i]), asks])
+            token, doc, component, first, last, base, asks = (np.concatenate([p[c] for p in parts]) for c in range(7))
+            held = np.hstack([sketches(tokens, base + last, np.maximum(base + last, base + first + t)), sketches(tokens, base + first, base + last + t)]).view(np.int64)
+            columns = [token, doc, component, pack(first, last + t)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in held.T)], names=["token", "doc", "component", "span", "asks", *SKETCHES])
 
     return run
 
 
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (id, text): the same with the number of words."""
+    for piece, data, offsets in chunks(batches, "text"):
+        inside = SPACED[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        at = offsets[:-1][offsets[:-1] < len(data)]
+        begins[at] = inside[at]
+        total = np.concatenate([[0], np.cumsum(begins)])
+        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["id", "text", "n_words"])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ranges in order of doc, low, high and partner: those that touch as one, with the least partner of each range. A document's rows wait for its last."""
+    kept = [np.zeros(0, dtype=np.int64) for _ in range(4)]
+
+    def told(doc: np.ndarray, low: np.ndarray, high: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(_begins(doc, low, high))
+        doc, low, high, partner = doc[at], low[at], high[at], partner[at]
+        cut = _begins(doc)
+        reach = np.maximum.accumulate((np.cumsum(cut) << 32) | high) & 0xFFFFFFFF
+        cut[1:] |= low[1:] > reach[:-1]
+        first = np.flatnonzero(cut)
+        run = np.cumsum(cut) - 1
+        by = np.lexsort((partner, run))
+        own = by[np.flatnonzero(_begins(run[by], partner[by]))]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(run[own], minlength=len(first)))])
+        partners = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(partner[own]))
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(low[first]), pa.array(np.maximum.reduceat(high, first)), partners], names=["doc", "low", "high", "partners"])
+
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(kept)]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        kept = [r[last:] for r in rows]
+        if last:
+            yield told(*(r[:last] for r in rows))
+    if len(kept[0]):
+        yield told(*kept)
+
+
 def _spans_merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For batches of (key, n_words, found, component, members): (key, n_words, spans in words, partners, component, members)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -639,7 +766,9 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     if not 1 <= shingle < words or words - shingle + 1 > 255:
         raise ValueError("a passage must be longer than a shingle, and have 255 shingles at most")
     t = words - shingle + 1
-    rows = numbered(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long")))
+    named = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = named.schema["id"].dataType.simpleString()
+    rows = numbered(named.mapInArrow(_word_counter, f"id {kind}, text string, n_words long"))
     texts = rows.where(F.col("n_words") >= words).select(F.col("row").alias("doc"), "text")
 
     rounds = []
@@ -678,26 +807,29 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         forget(asked, slices)
         return out
 
-    least = lambda df: df.groupBy("doc", "low", "high").agg(F.min("partner").alias("partner"))  # noqa: E731  # a popular passage has one row in the end; links are taken before
+    # a popular passage has one row in the end; links are taken before
+    stretched = lambda df: df.select("doc", "low", "high", "partner").repartition("doc").sortWithinPartitions("doc", "low", "high", "partner").mapInArrow(_stretches, "doc long, low long, high long, partners array<long>")
     links_of = lambda df: df.where("doc <> partner").select(F.greatest("doc", "partner").alias("a"), F.least("doc", "partner").alias("b")).distinct()
     equal = pairs.where("group is null and pspan is null").select("doc", low(F.col("span")).alias("low"), high(F.col("span")).alias("high"), F.col("pdoc").alias("partner"))
     similar = verified(pairs.where("pspan is not null").select("doc", "span", "pdoc", "pspan"))
-    covered = stored(least(equal.unionByName(similar)))
+    covered = stored(stretched(equal.unionByName(similar)))
     links = stored(links_of(equal.unionByName(similar)))
     component = checkpointed(connected_components(links))
     del equal
     forget(similar)
 
     # Windows of members of groups of three or more that aren't covered yet, or whose group has documents of several components.
+    # Groups of covered members of one component have nothing to ask.
     members = pairs.where("group is not null").select("group", "doc", "span").distinct()
-    named = component.select(F.col("node").alias("doc"), "component")
-    tagged = stored(members.join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    mixed = tagged.groupBy("group").agg((F.min("component") != F.max("component")).alias("mixed"))
+    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
+    named = component.select(F.col("node").alias("doc"), "component").join(have, "doc", "full")
+    within = F.exists("have", lambda r: (r["low"] <= low(F.col("span"))) & (r["high"] >= high(F.col("span"))))
+    tagged = stored(members.join(named, "doc", "left").select("group", "doc", "span", F.coalesce("component", "doc").alias("component"), (~F.coalesce(within, F.lit(False))).alias("open")))
+    mixed = tagged.groupBy("group").agg((F.min("component") != F.max("component")).alias("mixed"), F.max("open").alias("any")).where("mixed or any").select("group", "mixed")
     per_doc = stored(tagged.join(mixed, "group").groupBy("doc", "component", "span").agg(F.max("mixed").alias("mixed")).groupBy("doc", "component").agg(F.collect_list(F.struct("span", "mixed")).alias("members")))
     tokens = stored(with_texts(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(shingle), "doc long, token long"))
     known = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     shared = tokens.join(known, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "docs")).alias("shared"))
-    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
     full = stored(with_texts(per_doc.join(have, "doc", "left").join(shared, "doc", "left")).select("doc", "component", "members", "have", "shared", "text"))
     del members, tagged, mixed, known, shared, have
     forget(per_doc, tokens, *rounds)
@@ -713,16 +845,18 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     wanted = classes.select(F.col("first.doc").alias("doc"), F.col("first.low").alias("low"), asks.alias("asks")).groupBy("doc").agg(F.collect_list(F.struct("low", "asks")).alias("windows"))
     rare = stored(wanted.join(full, "doc").select("doc", "component", "windows", "shared", "text").mapInArrow(_rare_tokens(t, shingle, percent), _RARE))
     asking = rare.where("asks > 0")
-    offers = in_bitmap(rare, F.col("token"), bitmap_parts(asking.select("token"), "token")).select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"))
+    offers = in_bitmap(rare, F.col("token"), bitmap_parts(asking.select("token"), "token"))
+    offers = offers.select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"), *(F.col(name).alias(f"p{name}") for name in SKETCHES))
     met = asking.join(offers, "token")
     elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(high(F.col("span")) - low(F.col("pspan")), high(F.col("pspan")) - low(F.col("span"))) >= 2 * t)
     wants = (F.col("asks") == COVERAGE) | (F.col("component") != F.col("other"))
     once = (F.col("pasks") < F.col("asks")) | ((F.col("pasks") == F.col("asks")) & (F.struct("doc", "span") <= F.struct("pdoc", "pspan")))
-    met = met.where(elsewhere & wants & once).select("doc", "span", "pdoc", "pspan").distinct()
+    near = apart_at_least("", "p") <= 2 * t * (100 - percent) // (100 + percent)
+    met = met.where(elsewhere & wants & once & near).select("doc", "span", "pdoc", "pspan").distinct()
     more = alike.unionByName(verified(met))
     del asking, offers, met, wanted
     forget(full, sets, classes, rare)
-    covered = least(covered.unionByName(more))
+    covered = covered.unionByName(stretched(more))
     new = links_of(more)
     if not new.isEmpty():
         component = checkpointed(connected_components(links.unionByName(new)))
@@ -730,10 +864,10 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ids = rows.select(F.col("row").alias("doc"), "id", "n_words")
     sized = component.join(ids.select(F.col("doc").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members"))
     component = component.join(sized, "component").select(F.col("node").alias("doc"), "least", "members")
-    named = covered.join(ids.select(F.col("doc").alias("partner"), F.col("id").alias("pid")), "partner")
-    ranges = named.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("found"), F.sort_array(F.collect_set("pid")).alias("partners"))
-    kind = rows.schema["id"].dataType.simpleString()
+    ranges = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    named = covered.select("doc", F.explode(F.array_distinct("partners")).alias("partner")).join(ids.select(F.col("doc").alias("partner"), F.col("id").alias("pid")), "partner")
+    partners = named.groupBy("doc").agg(F.sort_array(F.collect_set("pid")).alias("partners"))
     none = F.expr(f"cast(array() as array<{kind}>)")
-    marked = ids.join(ranges, "doc", "left").join(component, "doc", "left")
+    marked = ids.join(ranges, "doc", "left").join(partners, "doc", "left").join(component, "doc", "left")
     marked = marked.select(F.col("id").alias("key"), "n_words", "found", F.coalesce("partners", none).alias("partners"), F.coalesce("least", "id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
     return marked.mapInArrow(_spans_merged(words, shingle), f"key {kind}, n_words long, spans array<struct<start:long,end:long>>, partners array<{kind}>, component {kind}, members long")

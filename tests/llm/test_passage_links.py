@@ -113,3 +113,56 @@ def test_ids_may_be_null_repeat_or_be_strings(spark):
     table = spark.createDataFrame([(i, shared if n < 4 else " ".join(f"v{rng.randrange(4000)}" for _ in range(60))) for n, i in enumerate(ids)], "doc_id string, text string")
     got = sorted((r["key"] or "", r["component"] or "", r["members"], len(r["spans"])) for r in passages.near_passages(table).collect())
     assert got == sorted([("b", "a", 4, 1), ("", "a", 4, 1), ("a", "a", 4, 1), ("a", "a", 4, 1), ("", "", 1, 0), ("c", "c", 1, 0)])
+
+
+def test_sketches_never_rule_out_similar_windows():
+    """What two runs' sketches say they lack of each other is never more than any two of their windows do; a range's bits are its tokens' bits."""
+    rng = np.random.default_rng(11)
+    t, bits = 12, lambda a: [int(v).bit_count() for v in a]
+    x = rng.integers(0, 30, 400).astype(np.uint64)
+    first = rng.integers(0, 300, 200)
+    last = first + rng.integers(0, 20, 200)
+    every, some = passages.sketches(x, last, np.maximum(last, first + t)), passages.sketches(x, first, last + t)
+    single = {int(v): passages.sketches(np.array([v]), np.array([0]), np.array([1]))[0] for v in np.unique(x)}
+    for i in range(0, 200, 3):
+        for held, a, b in ((every, last[i], first[i] + t), (some, first[i], last[i] + t)):
+            assert held[i].tolist() == np.bitwise_or.reduce([single[int(v)] for v in x[a:b]] or [np.zeros(2, np.uint64)]).tolist()
+        for j in range(1, 200, 7):
+            told = sum(bits(every[i] & ~some[j]) + bits(every[j] & ~some[i]))
+            for a in range(first[i], last[i] + 1, 4):
+                for b in range(first[j], last[j] + 1, 4):
+                    assert told <= len(set(x[a : a + t].tolist()) ^ set(x[b : b + t].tolist()))
+
+
+def test_a_common_rare_token_does_not_pair_all_its_windows(spark):
+    """Variants of one text, each with a word of every eight replaced: they have tokens in common, but no two are similar, and few pairs are compared."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"x{rng.randrange(10**9)}" if (i + d) % 8 == 0 else w for i, w in enumerate(base)) for d in range(60)]
+    rows = []
+    for d, text in enumerate(texts):
+        w = words(text)
+        grams = np.array([hash(tuple(w[i : i + 5])) & (2**64 - 1) for i in range(56)], np.uint64)
+        rows.append((d, *passages.sketches(grams, np.array([10]), np.array([46])).view(np.int64)[0].tolist(), *passages.sketches(grams, np.array([0]), np.array([56])).view(np.int64)[0].tolist()))
+    a = spark.createDataFrame(rows, "doc long, all0 long, all1 long, any0 long, any1 long")
+    b = a.select(*(a[c].alias(f"p{c}") for c in a.columns))
+    near = a.join(b, a.doc % 8 != b.pdoc % 8).where(passages.apart_at_least("", "p") <= 10).count()
+    assert near <= 0.05 * 60 * 60
+    got = passages.near_passages(documents(spark, texts)).collect()
+    assert [r["members"] for r in got] == [brute_components(texts, 46, 5, 80).count(c) for c in brute_components(texts, 46, 5, 80)]
+
+
+def told_stretches(rows, cuts):
+    batches, at = [], 0
+    for n in cuts:
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + n]], pa.int64()) for c in range(4)], names=["doc", "low", "high", "partner"]))
+        at += n
+    return [tuple(r.values()) for b in passages._stretches(iter(batches)) for r in b.to_pylist()]
+
+
+def test_stretches_do_not_depend_on_batches():
+    """Ranges that touch are one row, with the least partner of each range, however they come."""
+    rows = sorted([(1, 0, 46, 9), (1, 0, 46, 5), (1, 3, 49, 7), (1, 49, 95, 5), (1, 200, 246, 2), (2, 0, 46, 1), (3, 5, 60, 1), (3, 10, 20, 4)])
+    want = [(1, 0, 95, [5, 7]), (1, 200, 246, [2]), (2, 0, 46, [1]), (3, 5, 60, [1, 4])]
+    for cuts in ([8], [1] * 8, [0, 3, 5], [5, 1, 2]):
+        assert told_stretches(rows, cuts) == want
