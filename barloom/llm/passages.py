@@ -27,6 +27,7 @@ rows. Very long texts are read whole. Columns other than id and text are not rea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from barloom.llm.bitmap import bitmap_parts, in_bitmap
 from barloom.llm.components import connected_components
 from barloom.llm.lineage import checkpointed, forget, numbered, stored
-from barloom.llm.tokens import BASE, SPACED, U, Words, chunks, cut_words, enough_powers, mix64
+from barloom.llm.tokens import BASE, BASE2, CHUNK_BYTES, SPACED, U, Words, chunks, cut_words, enough_powers, mix64, text_bytes
 
 WORDS, SHINGLE, BANDS, AT_ONCE = 50, 5, 5, 3
 #: Bits below a span's length: how many documents of a batch have its content.
@@ -64,6 +65,21 @@ def tokens_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(words.text[at], np.arange(len(words.first)))
 
 
+Chunks = Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]
+
+
+def text_chunks(k: int, batches: Iterator[pa.RecordBatch]) -> Chunks:
+    """Pieces of batches with a column ``text``, the tokens of all their texts, and where each text's begin."""
+    for piece, data, offsets in chunks(batches, "text"):
+        yield piece, *tokens_of(cut_words(data, offsets, SPACED), k)
+
+
+def token_chunks(batches: Iterator[pa.RecordBatch]) -> Chunks:
+    """The same for batches whose column ``tokens`` has the tokens as bytes."""
+    for piece, data, offsets in chunks(batches, "tokens"):
+        yield piece, data.view(U), offsets >> 3
+
+
 def compact_windows(order: np.ndarray, bounds: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre, first and last place of each compact window of ``least`` tokens or more.
 
@@ -168,18 +184,139 @@ def joined(doc: np.ndarray, partner: np.ndarray, low: np.ndarray, high: np.ndarr
     return doc[at], partner[at], low[at], np.maximum.reduceat(high, at) if len(at) else high
 
 
+#: Of a token's 64 bits: those left out when tokens are counted, and how many of the rest name the bucket.
+UNUSED, BUCKETED = 20, 12
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values[ends[i]:ends[i + 1]] as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows one after the other with the same number in this column."""
+    at = np.flatnonzero(_begins(batch.column(column).to_numpy())).tolist()
+    for a, b in zip(at, [*at[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+_PRINTS = "bucket int, chunk long, prints binary"
+
+
+def _prints(read: Callable[[Iterator[pa.RecordBatch]], Chunks], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (chunk, doc, what is read): the first bits of each chunk's distinct tokens, by bucket."""
+    for batch in batches:
+        for part in _runs(batch, 0):
+            tokens = np.concatenate([t for _, t, _ in read(iter([part]))])
+            values = np.unique(tokens >> U(UNUSED))
+            bucket = (values >> U(32)).astype(np.int32)
+            first = np.flatnonzero(_begins(bucket))
+            blobs = _binaries(values.astype(np.uint32), np.append(first, len(values)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.full(len(first), part.column(0)[0].as_py())), blobs], names=["bucket", "chunk", "prints"])
+
+
+def _met_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of these prints, in order of bucket: those that several chunks have. The last bucket of a batch waits for the next."""
+    kept: pa.RecordBatch | None = None
+
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(rows.column(2))
+        values, ends = data.view(np.uint32), offsets >> 2
+        bucket = rows.column(0).to_numpy()
+        whole = (np.repeat(bucket, np.diff(ends)).astype(U) << U(32)) | values
+        order = np.argsort(whole)
+        begins = _begins(whole[order])
+        again = ~begins
+        again[:-1] |= ~begins[1:]
+        several = np.zeros(len(values), dtype=bool)
+        several[order[again]] = True
+        ends = np.concatenate([[0], np.cumsum(several)])[ends]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _binaries(values[several], ends)], names=["bucket", "chunk", "prints"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        last = int(np.searchsorted(batch.column(0).to_numpy(), batch.column(0)[batch.num_rows - 1].as_py()))
+        kept = batch.slice(last)
+        if last:
+            yield told(batch.slice(0, last))
+    if kept is not None:
+        yield told(kept)
+
+
+_PIECES = "doc long, low long, one long, two long, tokens binary"
+
+
+def live_pieces(tokens: np.ndarray, bounds: np.ndarray, several: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and end of each range covered by windows of t tokens of which no more occur nowhere else than a similar window may lack."""
+    n = len(tokens) - t + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    total = np.concatenate([[0], np.cumsum(~several)])
+    at = np.flatnonzero((text[:n] == text[t - 1 :]) & (100 * (t - total[t:] + total[:-t]) >= percent * t))
+    cut = _begins(text[at])
+    cut[1:] |= np.diff(at) > t
+    first = np.flatnonzero(cut)
+    return at[first], at[np.append(first[1:], len(at)) - 1] + t if len(first) else at
+
+
+def _live(read: Callable[[Iterator[pa.RecordBatch]], Chunks], t: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a chunk's rows (chunk, doc, what is read) and its prints found in other chunks: the pieces that may be similar to something.
+
+    Tokens found nowhere else are odd, all others even. one, two: 128 bits of the even tokens and the places of the odd ones.
+    """
+
+    def run(rows: pa.Table, met: pa.Table) -> pa.Table:
+        doc, parts = rows.column(1).to_numpy(), list(read(iter(rows.combine_chunks().to_batches())))
+        tokens = np.concatenate([np.zeros(0, dtype=U), *(p[1] for p in parts)])
+        bounds = np.cumsum(np.concatenate([[0], *(np.diff(p[2]) for p in parts)])).astype(np.int64)
+        prints = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32))]
+        for batch in met.to_batches():
+            data, offsets = text_bytes(batch.column(2))
+            prints.append((np.repeat(batch.column(0).to_numpy(), np.diff(offsets) >> 2), data.view(np.uint32)))
+        elsewhere = (np.concatenate([p[0] for p in prints]).astype(U) << U(32)) | np.concatenate([p[1] for p in prints])
+        values, inverse, times = np.unique(tokens >> U(UNUSED), return_inverse=True, return_counts=True)
+        several = ((times > 1) | np.isin(values, elsewhere))[inverse]
+        first, end = live_pieces(tokens, bounds, several, t, percent)
+        tokens = (tokens & ~U(1)) | (~several).astype(U)
+        shown = np.where(several, tokens, U(0))
+        back = enough_powers(len(tokens) + 1, pow(BASE, -1, 1 << 64))
+        names = []
+        for seed in (U(0), U(BASE2)):
+            total = np.zeros(len(tokens) + 1, dtype=U)
+            np.cumsum(mix64(shown ^ seed) * enough_powers(len(tokens), BASE), out=total[1:])
+            names.append(mix64(((total[end] - total[first]) * back[first]) ^ (end - first).astype(U)).view(np.int64))
+        text = np.searchsorted(bounds, first, side="right") - 1
+        blobs = _binaries(tokens[np.repeat(first - np.cumsum(end - first) + (end - first), end - first) + np.arange((end - first).sum())], np.concatenate([[0], np.cumsum(end - first)]))
+        return pa.Table.from_arrays([pa.array(doc[text]), pa.array(first - bounds[text]), *(pa.array(c) for c in names), blobs], names=["doc", "low", "one", "two", "tokens"])
+
+    return run
+
+
+def _twins(t: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (node, tokens): what of a piece has a similar passage in another that has other tokens in place of the odd ones."""
+    for piece, tokens, bounds in token_chunks(batches):
+        out: list[tuple[int, int, int]] = []
+        for i, node in enumerate(piece.column(0).to_pylist()):
+            x = tokens[bounds[i] : bounds[i + 1]]
+            out += [(node, a, b) for a, b in similar_both(x, np.where(x & U(1) > 0, x ^ U(BASE2 - 1), x), t, percent)[0]]
+        columns = np.array(out, dtype=np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[:, i]) for i in range(3)], names=["node", "low", "high"])
+
+
 _CELL = "key long, content long, doc long, span long"
 
 
-def _cell_finder(words: int, k: int, bands: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (row, text): the members of each key in the batch, and what equal cells in it cover (content is the partner then)."""
+def _cell_finder(t: int, bands: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, tokens): the members of each key among some of them, and what equal cells there cover (content is the partner then)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = words - k + 1
-        for batch in batches:
+        for batch, _, _ in chunks(batches, "tokens", 8 * CHUNK_BYTES):
             parts = []
-            for piece, data, offsets in chunks(iter([batch]), "text"):
-                tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+            for piece, tokens, bounds in token_chunks(iter([batch])):
                 key, first, end, content = cells(tokens, bounds, t, bands)
                 text = np.searchsorted(bounds, first, side="right") - 1
                 parts.append((key.view(np.int64), content.view(np.int64), piece.column(0).to_numpy()[text], pack(first - bounds[text], end - bounds[text])))
@@ -473,23 +610,18 @@ def _tiles(at: np.ndarray) -> Iterator[np.ndarray]:
         yield from np.split(at, cut)
 
 
-def _slicer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, spans, text): the tokens of each span, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, data, offsets in chunks(batches, "text"):
-            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
-            lists = piece.column(1)
-            own = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
-            spans = lists.flatten().to_numpy()
-            low, high = unpack(spans)
-            start, end = np.minimum(bounds[own] + low, bounds[own + 1]), np.minimum(bounds[own] + high, bounds[own + 1])
-            doc = piece.column(0).to_numpy()[own]
-            for at in range(0, len(spans), 4096):
-                parts = [tokens[a:b].tobytes() for a, b in zip(start[at : at + 4096].tolist(), end[at : at + 4096].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + 4096]), pa.array(spans[at : at + 4096]), pa.array(parts, pa.binary())], names=["doc", "span", "tokens"])
-
-    return run
+def _slicer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (doc, spans, tokens): the tokens of each span, as bytes."""
+    for piece, tokens, bounds in token_chunks(batches):
+        lists = piece.column(1)
+        own = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
+        spans = lists.flatten().to_numpy()
+        low, high = unpack(spans)
+        start, end = np.minimum(bounds[own] + low, bounds[own + 1]), np.minimum(bounds[own] + high, bounds[own + 1])
+        doc = piece.column(0).to_numpy()[own]
+        for at in range(0, len(spans), 4096):
+            parts = [tokens[a:b].tobytes() for a, b in zip(start[at : at + 4096].tolist(), end[at : at + 4096].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + 4096]), pa.array(spans[at : at + 4096]), pa.array(parts, pa.binary())], names=["doc", "span", "tokens"])
 
 
 _FOUND = "doc long, low long, high long, partner long"
@@ -513,20 +645,34 @@ def _verifier(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _member_tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, spans, text): the distinct tokens of all spans together."""
+def _window_least(values: np.ndarray, t: int) -> np.ndarray:
+    """The least of each t consecutive values."""
+    size = 1
+    while size * 2 <= t:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - (t - size)], values[t - size :]) if size < t else values
+
+
+def _member_tokens(t: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, spans, tokens): the distinct tokens of all spans together, and how few distinct ones a window of the spans with each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, data, offsets in chunks(batches, "text"):
-            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
-            docs, found = piece.column(0).to_numpy(), []
+        for piece, tokens, bounds in token_chunks(batches):
+            docs, found, least = piece.column(0).to_numpy(), [], []
             for i in range(piece.num_rows):
+                x = tokens[bounds[i] : bounds[i + 1]]
                 low, high = unpack(piece.column(1)[i].values.to_numpy())
-                inside = np.zeros(bounds[i + 1] - bounds[i] + 1, dtype=np.int64)
-                np.add.at(inside, low, 1)
-                np.add.at(inside, high, -1)
-                found.append(np.unique(tokens[bounds[i] : bounds[i + 1]][np.cumsum(inside)[:-1] > 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, [len(f) for f in found])), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "token"])
+                n = _window_counts(len(x), t, _close_repeats(x, t))
+                n[~_marked(len(n), low, high - t + 1)] = t
+                near = _window_least(np.concatenate([np.full(t - 1, t), n, np.full(t - 1, t)]), t)
+                at = np.flatnonzero(_marked(len(x), low, high))
+                order = at[np.argsort(x[at], kind="stable")]
+                first = np.flatnonzero(_begins(x[order]))
+                found.append(x[order[first]])
+                least.append(np.minimum.reduceat(near[order], first) if len(first) else near[:0])
+            columns = [np.repeat(docs, [len(f) for f in found]), np.concatenate(found).view(np.int64), np.concatenate(least)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "token", "least"])
 
     return run
 
@@ -571,15 +717,46 @@ NOTHING, LINKS, COVERAGE = 0, 1, 2
 _SETS = "one long, two long, doc long, component long, low long, high long, asks int"
 
 
-def _window_sets(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, component, members, have, shared, text): the members' windows that going by their unshared tokens may resemble another.
+def may_resemble(x: np.ndarray, n: np.ndarray, u: np.ndarray, shared: pa.StructArray | None, t: int, percent: int) -> np.ndarray:
+    """Which windows of n tokens, u of them unshared, may be similar to another one.
 
-    Each row is a run of windows (low: the first one's start, high: the last one's end) of one set of tokens, named by 128 bits.
+    That has (n - u) (100 + percent) / percent - n tokens at most, so some token of the window must be in one with so few, here or elsewhere.
+    """
+    counts = np.minimum(_window_least(np.concatenate([np.full(t - 1, t), n, np.full(t - 1, t)]), t), t)
+    values, inverse = np.unique(x, return_inverse=True)
+    least = np.full(len(values), t)
+    np.minimum.at(least, inverse, counts)
+    if shared is not None:
+        at = np.searchsorted(values, shared.field("token").to_numpy().view(U))
+        least[at] = np.minimum(least[at], shared.field("least").to_numpy())
+    return (100 * (n - u) >= percent * n) & ((n - u) * (100 + percent) >= percent * (n + _window_least(least[inverse], t)))
+
+
+def window_names(x: np.ndarray, n: np.ndarray, elsewhere: np.ndarray, repeats: tuple[np.ndarray, np.ndarray], t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window of n tokens; windows of one name are similar to each other, and to the same others.
+
+    They have the same set of tokens, but for as many that stand nowhere else if the rest is enough to be similar.
+    """
+    values, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+    alone = ((times == 1) & ~np.isin(values, elsewhere))[inverse]
+    total = np.concatenate([[0], np.cumsum(alone)])
+    u = total[t:] - total[:-t]
+    enough, out = 100 * (n - u) >= percent * (n + u), []
+    for seed in (U(0), U(BASE)):
+        mixed = mix64(x ^ seed)
+        rest = _window_sums(np.where(alone, U(0), mixed), t, repeats)
+        out.append(np.where(enough & (u > 0), mix64(rest + mix64(u.astype(U))), _window_sums(mixed, t, repeats)).view(np.int64))
+    return out[0], out[1]
+
+
+def _window_sets(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, component, members, have, shared, tokens): the members' windows that going by their unshared tokens may resemble another.
+
+    Each row is a run of windows (low: the first one's start, high: the last one's end) of one name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, data, offsets in chunks(batches, "text"):
-            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+        for piece, tokens, bounds in token_chunks(batches):
             docs, components = piece.column(0).to_numpy(), piece.column(1).to_numpy()
             parts: list[list[np.ndarray]] = []
             for i in range(piece.num_rows):
@@ -595,10 +772,11 @@ def _window_sets(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                 total = np.concatenate([[0], np.cumsum(covered)])
                 asks = np.where(_marked(windows, low[mixed], high[mixed] - t + 1), LINKS, NOTHING)
                 asks[total[t:] - total[:-t] < t] = COVERAGE
-                at = np.flatnonzero(_marked(windows, low, high - t + 1) & (100 * (n - u) >= percent * n))
+                at = np.flatnonzero(_marked(windows, low, high - t + 1) & may_resemble(x, n, u, shared, t, percent))
                 if not len(at):
                     continue
-                one, two = (_window_sums(mix64(x ^ U(c)), t, repeats)[at].view(np.int64) for c in (0, BASE))
+                one, two = window_names(x, n, np.zeros(0, dtype=U) if shared is None else shared.field("token").to_numpy().view(U), repeats, t, percent)
+                one, two = one[at], two[at]
                 begins = _begins(one, two, asks[at], at - np.arange(len(at)))
                 first = np.flatnonzero(begins)
                 last = np.concatenate([first[1:], [len(at)]]) - 1
@@ -643,14 +821,16 @@ def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray,
 
 #: 128 bits of the tokens that all windows of a run hold, and of those that any holds.
 SKETCHES = ("all0", "all1", "any0", "any1")
-_RARE = "token long, doc long, component long, span long, asks int, " + ", ".join(f"{name} long" for name in SKETCHES)
+_RARE = "token long, doc long, component long, span long, asks int, alone long, " + ", ".join(f"{name} long" for name in SKETCHES)
 
 
-def sketches(tokens: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Two numbers for each range first..end - 1 of the tokens: a bit set for each token in it. Empty ranges have none."""
+def sketches(tokens: np.ndarray, first: np.ndarray, end: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
+    """Two numbers for each range first..end - 1 of the tokens: a bit set for each token in it that isn't ``alone``. Empty ranges have none."""
     bit = mix64(tokens) >> U(57)
     level = np.zeros((len(tokens), 2), dtype=U)
     level[np.arange(len(tokens)), (bit >> U(6)).astype(np.int64)] = U(1) << (bit & U(63))
+    if alone is not None:
+        level[alone] = U(0)
     out, size = np.zeros((len(first), 2), dtype=U), 1
     length = end - first
     while True:
@@ -668,41 +848,49 @@ def apart_at_least(one: str, other: str) -> Column:
     return lacking[0] + lacking[1] + lacking[2] + lacking[3]
 
 
-def _rare_tokens(t: int, k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of (doc, component, windows, shared, text): the rare tokens of these windows, and the spans of those that have them."""
+def _rare_tokens(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (doc, component, windows, shared, tokens): the rare tokens of these windows, and the spans of those that have them.
+
+    alone: tokens that all windows of a run hold and that stand nowhere else. Sketches leave such tokens out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, data, offsets in chunks(batches, "text"):
-            tokens, bounds = tokens_of(cut_words(data, offsets, SPACED), k)
+        for piece, tokens, bounds in token_chunks(batches):
             parts: list[list[np.ndarray]] = []
+            alone = np.zeros(len(tokens), dtype=bool)
             for i in range(piece.num_rows):
                 x = tokens[bounds[i] : bounds[i + 1]]
                 windows, shared = piece.column(2)[i].values, piece.column(3)[i].values
-                values = np.unique(x)
+                values, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
                 docs = np.ones(len(values), dtype=np.int64)
                 if shared is not None:
                     docs[np.searchsorted(values, shared.field("token").to_numpy().view(U))] = shared.field("docs").to_numpy()
+                alone[bounds[i] : bounds[i + 1]] = ((docs == 1) & (times == 1))[inverse]
                 token, first, last, asks = prefixes(x, windows.field("low").to_numpy(), windows.field("asks").to_numpy(), docs, values, t, percent)
                 m = len(token)
                 parts.append([token.view(np.int64), np.full(m, piece.column(0)[i].as_py()), np.full(m, piece.column(1)[i].as_py()), first, last, np.full(m, bounds[i]), asks])
             token, doc, component, first, last, base, asks = (np.concatenate([p[c] for p in parts]) for c in range(7))
-            held = np.hstack([sketches(tokens, base + last, np.maximum(base + last, base + first + t)), sketches(tokens, base + first, base + last + t)]).view(np.int64)
+            every = base + last, np.maximum(base + last, base + first + t)
+            held = np.hstack([sketches(tokens, *every, alone), sketches(tokens, base + first, base + last + t, alone)]).view(np.int64)
+            total = np.concatenate([[0], np.cumsum(alone)])
             columns = [token, doc, component, pack(first, last + t)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in held.T)], names=["token", "doc", "component", "span", "asks", *SKETCHES])
+            ends = [total[every[1]] - total[every[0]], *(np.ascontiguousarray(c) for c in held.T)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32()), *(pa.array(c) for c in ends)], names=["token", "doc", "component", "span", "asks", "alone", *SKETCHES])
 
     return run
 
 
 def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For batches of (id, text): the same with the number of words."""
-    for piece, data, offsets in chunks(batches, "text"):
+    """For batches of (id, text): the same with the number of words, and of the piece of about ``CHUNK_BYTES`` that each is in, counted by task."""
+    for part, (piece, data, offsets) in enumerate(chunks(batches, "text")):
         inside = SPACED[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         at = offsets[:-1][offsets[:-1] < len(data)]
         begins[at] = inside[at]
         total = np.concatenate([[0], np.cumsum(begins)])
-        yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["id", "text", "n_words"])
+        columns = [piece.column(0), piece.column(1), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(np.full(piece.num_rows, part))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_words", "part"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -756,24 +944,61 @@ def _spans_merged(words: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS, at_once: int = AT_ONCE) -> DataFrame:
-    """Per document: key, n_words, spans (start, end in words: maximal runs covered by near-duplicate passages), partners, component, members.
+@dataclass
+class Level:
+    """Pieces that differ in more than the tokens that only they have, one row for each, and where they are.
 
-    partners: ids of documents in which such passages were found, one for each stretch at least. component: the least id reachable over
-    links, its own included; two documents are linked if a passage of one is similar to one of the other. members: how many
-    documents are in the component. A popular passage links all its texts without a row for each two of them.
+    nodes: node, tokens, doc and other (two that have it), times; members: node, doc, low; twins: node, low, high, what of them is similar among their own members.
     """
-    if not 1 <= shingle < words or words - shingle + 1 > 255:
-        raise ValueError("a passage must be longer than a shingle, and have 255 shingles at most")
-    t = words - shingle + 1
-    named = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = named.schema["id"].dataType.simpleString()
-    rows = numbered(named.mapInArrow(_word_counter, f"id {kind}, text string, n_words long"))
-    texts = rows.where(F.col("n_words") >= words).select(F.col("row").alias("doc"), "text")
 
+    nodes: DataFrame
+    members: DataFrame
+    twins: DataFrame
+
+
+def condensed(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Chunks], t: int, percent: int) -> Level:
+    """The pieces of these rows (chunk, doc, what is read) that may be similar to something, as far as tokens that occur once tell.
+
+    A window that has too many such tokens is similar to no other, whatever else there is. Of pieces that differ in such tokens only, each is similar to
+    whatever any other of them is; so one stands for all, and whether they are similar among themselves is seen from it alone.
+    """
+    asked = rows.mapInArrow(partial(_prints, read), _PRINTS)
+    met = stored(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_prints, _PRINTS).where("length(prints) > 0"))
+    del asked
+    forget()
+    pieces = stored(rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_live(read, t, percent), _PIECES))
+    forget(met)
+    place = F.struct("doc", "low")
+    classes = pieces.groupBy("one", "two").agg(F.min(place).alias("first"), F.max("doc").alias("other"), F.count("*").alias("times"))
+    firsts = classes.select(F.col("first.doc").alias("doc"), F.col("first.low").alias("low"), "other", "times")
+    nodes = numbered(pieces.join(firsts, ["doc", "low"])).withColumnRenamed("row", "node")
+    members = stored(pieces.select("one", "two", "doc", "low").join(nodes.select("one", "two", "node"), ["one", "two"]).select("node", "doc", "low"))
+    twins = stored(nodes.where("times > 1").select("node", "tokens").mapInArrow(partial(_twins, t, percent), "node long, low long, high long"))
+    del classes, firsts
+    forget(pieces)
+    return Level(nodes, members, twins)
+
+
+def _low(span: Column) -> Column:
+    return F.shiftright(span, 36)
+
+
+def _high(span: Column) -> Column:
+    return _low(span) + F.shiftright(span, TIMES).bitwiseAND(F.lit(0xFFFFF))
+
+
+def _packed(a: Column, b: Column) -> Column:
+    return F.shiftleft(a, 36).bitwiseOR(F.shiftleft(b - a, TIMES)).bitwiseOR(F.lit(1).cast("long"))
+
+
+def _similar(texts: DataFrame, known: DataFrame, component_of: Callable[[DataFrame], DataFrame], t: int, percent: int, bands: int, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """For texts (doc, tokens): doc, low, high, partners of stretches covered by similar passages elsewhere; links a, b between them.
+
+    known: doc, low, high that is covered already. component_of: makes doc, component of such links; what is in no row is a component of its own.
+    """
     rounds = []
     for first in range(0, bands, at_once):
-        found = texts.mapInArrow(_cell_finder(words, shingle, range(first, min(bands, first + at_once))), _CELL)
+        found = texts.mapInArrow(_cell_finder(t, range(first, min(bands, first + at_once))), _CELL)
         dealt = found.repartition("key").sortWithinPartitions("key", "content", "doc", "span")
         rounds.append(stored(dealt.mapInArrow(partial(_pairer, t), _PAIR)))
         del found, dealt
@@ -782,25 +1007,21 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     for more in rounds[1:]:
         pairs = pairs.unionByName(more)
 
-    low = lambda s: F.shiftright(s, 36)
-    high = lambda s: low(s) + F.shiftright(s, TIMES).bitwiseAND(F.lit(0xFFFFF))
-    packed = lambda a, b: F.shiftleft(a, 36).bitwiseOR(F.shiftleft(b - a, TIMES)).bitwiseOR(F.lit(1).cast("long"))
-
-    def with_texts(wanted: DataFrame) -> DataFrame:
-        """The rows of ``wanted`` (one for each doc) with their texts, of which others are left out before anything is shuffled."""
+    def with_tokens(wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (one for each doc) with their tokens, of which others are left out before anything is shuffled."""
         marks = bitmap_parts(wanted.select(F.xxhash64("doc").alias("mark")), "mark")
         return wanted.join(in_bitmap(texts, F.xxhash64("doc"), marks), "doc")
 
     def verified(unlike: DataFrame) -> DataFrame:
         """doc, low, high, partner: what similar windows cover on either side of these pairs (doc, span, pdoc, pspan), around pspan too."""
-        bucketed = unlike.withColumn("bucket", F.shiftright(low(F.col("pspan")) - low(F.col("span")) + 32, 6))
+        bucketed = unlike.withColumn("bucket", F.shiftright(_low(F.col("pspan")) - _low(F.col("span")) + 32, 6))
         asked = bucketed.repartition("doc", "pdoc").sortWithinPartitions("doc", "pdoc", "bucket", "span").select("doc", "span", "pdoc", "pspan", "bucket")
         asked = asked.mapInArrow(_stretcher, "doc long, span long, pdoc long, pspan long")
         # one of few ranges, so that a leader isn't cut anew for each of its pairs
-        wide = packed(F.shiftleft(F.shiftright(F.greatest(F.lit(0), low(F.col("pspan")) - t + 1), 5), 5), F.shiftleft(F.shiftright(high(F.col("pspan")) + t + 30, 5), 5))
+        wide = _packed(F.shiftleft(F.shiftright(F.greatest(F.lit(0), _low(F.col("pspan")) - t + 1), 5), 5), F.shiftleft(F.shiftright(_high(F.col("pspan")) + t + 30, 5), 5))
         asked = stored(asked.withColumn("pspan", wide))
         spans = asked.select("doc", "span").unionByName(asked.select(F.col("pdoc").alias("doc"), F.col("pspan").alias("span"))).distinct()
-        slices = stored(with_texts(spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))).mapInArrow(_slicer(shingle), "doc long, span long, tokens binary"))
+        slices = stored(with_tokens(spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))).mapInArrow(_slicer, "doc long, span long, tokens binary"))
         both = asked.join(slices.withColumnRenamed("tokens", "x"), ["doc", "span"]).join(slices.select(F.col("doc").alias("pdoc"), F.col("span").alias("pspan"), F.col("tokens").alias("y")), ["pdoc", "pspan"])
         out = stored(both.select("doc", "span", "pdoc", "pspan", "x", "y").mapInArrow(_verifier(t, percent), _FOUND))
         del both, spans
@@ -810,32 +1031,32 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     # a popular passage has one row in the end; links are taken before
     stretched = lambda df: df.select("doc", "low", "high", "partner").repartition("doc").sortWithinPartitions("doc", "low", "high", "partner").mapInArrow(_stretches, "doc long, low long, high long, partners array<long>")
     links_of = lambda df: df.where("doc <> partner").select(F.greatest("doc", "partner").alias("a"), F.least("doc", "partner").alias("b")).distinct()
-    equal = pairs.where("group is null and pspan is null").select("doc", low(F.col("span")).alias("low"), high(F.col("span")).alias("high"), F.col("pdoc").alias("partner"))
+    equal = pairs.where("group is null and pspan is null").select("doc", _low(F.col("span")).alias("low"), _high(F.col("span")).alias("high"), F.col("pdoc").alias("partner"))
     similar = verified(pairs.where("pspan is not null").select("doc", "span", "pdoc", "pspan"))
     covered = stored(stretched(equal.unionByName(similar)))
     links = stored(links_of(equal.unionByName(similar)))
-    component = checkpointed(connected_components(links))
+    component = component_of(links)
     del equal
     forget(similar)
 
     # Windows of members of groups of three or more that aren't covered yet, or whose group has documents of several components.
     # Groups of covered members of one component have nothing to ask.
     members = pairs.where("group is not null").select("group", "doc", "span").distinct()
-    have = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
-    named = component.select(F.col("node").alias("doc"), "component").join(have, "doc", "full")
-    within = F.exists("have", lambda r: (r["low"] <= low(F.col("span"))) & (r["high"] >= high(F.col("span"))))
+    have = covered.select("doc", "low", "high").unionByName(known).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("have"))
+    named = component.join(have, "doc", "full")
+    within = F.exists("have", lambda r: (r["low"] <= _low(F.col("span"))) & (r["high"] >= _high(F.col("span"))))
     tagged = stored(members.join(named, "doc", "left").select("group", "doc", "span", F.coalesce("component", "doc").alias("component"), (~F.coalesce(within, F.lit(False))).alias("open")))
     mixed = tagged.groupBy("group").agg((F.min("component") != F.max("component")).alias("mixed"), F.max("open").alias("any")).where("mixed or any").select("group", "mixed")
     per_doc = stored(tagged.join(mixed, "group").groupBy("doc", "component", "span").agg(F.max("mixed").alias("mixed")).groupBy("doc", "component").agg(F.collect_list(F.struct("span", "mixed")).alias("members")))
-    tokens = stored(with_texts(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(shingle), "doc long, token long"))
-    known = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    shared = tokens.join(known, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "docs")).alias("shared"))
-    full = stored(with_texts(per_doc.join(have, "doc", "left").join(shared, "doc", "left")).select("doc", "component", "members", "have", "shared", "text"))
-    del members, tagged, mixed, known, shared, have
+    tokens = stored(with_tokens(per_doc.select("doc", F.col("members.span").alias("spans"))).mapInArrow(_member_tokens(t), "doc long, token long, least long"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("docs"), F.min("least").alias("least")).where("docs > 1")
+    shared = tokens.select("doc", "token").join(several, "token").groupBy("doc").agg(F.collect_list(F.struct("token", "docs", "least")).alias("shared"))
+    full = stored(with_tokens(per_doc.join(have, "doc", "left").join(shared, "doc", "left")).select("doc", "component", "members", "have", "shared", "tokens"))
+    del members, tagged, mixed, several, shared, have
     forget(per_doc, tokens, *rounds)
 
-    # Windows with the same tokens cover each other; one of each set goes on, and asks for all.
-    sets = stored(full.mapInArrow(_window_sets(t, shingle, percent), _SETS))
+    # Windows of one name cover each other; one of each name goes on, and asks for all.
+    sets = stored(full.mapInArrow(_window_sets(t, percent), _SETS))
     first = F.min(F.struct("doc", "low", "component")).alias("first")
     sizes = [F.max("doc").alias("last"), F.min("low").alias("least"), F.max("high").alias("most"), F.max("asks").alias("asks")]
     classes = stored(sets.groupBy("one", "two").agg(first, *sizes).withColumn("several", (F.col("first.doc") != F.col("last")) | (F.col("most") - F.col("least") >= 2 * t)))
@@ -843,30 +1064,75 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     alike = stored(alike.where("asks > 0").select("doc", "low", "high", F.when(F.col("doc") == F.col("head"), F.col("last")).otherwise(F.col("head")).alias("partner")))
     asks = F.when(F.col("several"), F.least(F.col("asks"), F.lit(LINKS))).otherwise(F.col("asks"))
     wanted = classes.select(F.col("first.doc").alias("doc"), F.col("first.low").alias("low"), asks.alias("asks")).groupBy("doc").agg(F.collect_list(F.struct("low", "asks")).alias("windows"))
-    rare = stored(wanted.join(full, "doc").select("doc", "component", "windows", "shared", "text").mapInArrow(_rare_tokens(t, shingle, percent), _RARE))
+    rare = stored(wanted.join(full, "doc").select("doc", "component", "windows", "shared", "tokens").mapInArrow(_rare_tokens(t, percent), _RARE))
     asking = rare.where("asks > 0")
     offers = in_bitmap(rare, F.col("token"), bitmap_parts(asking.select("token"), "token"))
-    offers = offers.select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"), *(F.col(name).alias(f"p{name}") for name in SKETCHES))
+    offers = offers.select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"), F.col("alone").alias("palone"), *(F.col(name).alias(f"p{name}") for name in SKETCHES))
     met = asking.join(offers, "token")
-    elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(high(F.col("span")) - low(F.col("pspan")), high(F.col("pspan")) - low(F.col("span"))) >= 2 * t)
+    elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(_high(F.col("span")) - _low(F.col("pspan")), _high(F.col("pspan")) - _low(F.col("span"))) >= 2 * t)
     wants = (F.col("asks") == COVERAGE) | (F.col("component") != F.col("other"))
     once = (F.col("pasks") < F.col("asks")) | ((F.col("pasks") == F.col("asks")) & (F.struct("doc", "span") <= F.struct("pdoc", "pspan")))
-    near = apart_at_least("", "p") <= 2 * t * (100 - percent) // (100 + percent)
+    near = F.col("alone") + F.col("palone") + apart_at_least("", "p") <= 2 * t * (100 - percent) // (100 + percent)
     met = met.where(elsewhere & wants & once & near).select("doc", "span", "pdoc", "pspan").distinct()
     more = alike.unionByName(verified(met))
     del asking, offers, met, wanted
     forget(full, sets, classes, rare)
-    covered = covered.unionByName(stretched(more))
-    new = links_of(more)
-    if not new.isEmpty():
-        component = checkpointed(connected_components(links.unionByName(new)))
-
-    ids = rows.select(F.col("row").alias("doc"), "id", "n_words")
-    sized = component.join(ids.select(F.col("doc").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members"))
-    component = component.join(sized, "component").select(F.col("node").alias("doc"), "least", "members")
-    ranges = covered.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    named = covered.select("doc", F.explode(F.array_distinct("partners")).alias("partner")).join(ids.select(F.col("doc").alias("partner"), F.col("id").alias("pid")), "partner")
-    partners = named.groupBy("doc").agg(F.sort_array(F.collect_set("pid")).alias("partners"))
+    return covered.unionByName(stretched(more)), links.unionByName(links_of(more))
+
+
+def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, shingle: int = SHINGLE, percent: int = 80, bands: int = BANDS, at_once: int = AT_ONCE) -> DataFrame:
+    """Per document: key, n_words, spans (start, end in words: maximal runs covered by near-duplicate passages), partners, component, members.
+
+    partners: ids of documents in which such passages were found, one for each stretch at least. component: the least id reachable over
+    links, its own included; two documents are linked if a passage of one is similar to one of the other. members: how many
+    documents are in the component. A popular passage links all its texts without a row for each two of them.
+    """
+    if not 1 <= shingle < words or words - shingle + 1 > 255:
+        raise ValueError("a passage must be longer than a shingle, and have 255 shingles at most")
+    t = words - shingle + 1
+    named = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = named.schema["id"].dataType.simpleString()
+    rows = numbered(named.mapInArrow(_word_counter, f"id {kind}, text string, n_words long, part long"))
+    chunk = F.shiftleft(F.shiftright("row", 33), 24).bitwiseOR(F.col("part"))
+    outer = condensed(rows.where(F.col("n_words") >= words).select(chunk.alias("chunk"), F.col("row").alias("doc"), "text"), partial(text_chunks, shingle), t, percent)
+    ids = stored(rows.select(F.col("row").alias("doc"), "id", "n_words"))
+    forget(rows)
+    # Once more: what only members of one class have is nothing that classes have in common.
+    inner = condensed(outer.nodes.select(F.shiftright("node", 10).alias("chunk"), F.col("node").alias("doc"), "tokens"), token_chunks, t, percent)
+
+    def components(links: DataFrame) -> DataFrame:
+        """node, component: documents are 3 x row, classes 3 x node + 1 and + 2, of the outer and the inner level."""
+        linked = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(inner.twins.select("node")).distinct()
+        among = inner.members.join(linked, "node").select("node", "doc")
+        reached = among.select(F.col("doc").alias("node")).unionByName(outer.twins.select("node")).distinct()
+        over = outer.members.join(reached, "node").select("node", "doc")
+        edges = [links.select(F.col("a") * 3 + 2, F.col("b") * 3 + 2), among.select(F.col("node") * 3 + 2, F.col("doc") * 3 + 1), over.select(F.col("node") * 3 + 1, F.col("doc") * 3)]
+        return checkpointed(connected_components(edges[0].union(edges[1]).union(edges[2]).toDF("a", "b")))
+
+    def component_of(links: DataFrame) -> DataFrame:
+        return components(links).where("node % 3 = 2").select(F.expr("(node - 2) div 3").alias("doc"), "component")
+
+    found, links = _similar(inner.nodes.select(F.col("node").alias("doc"), "tokens"), inner.twins.withColumnRenamed("node", "doc"), component_of, t, percent, bands, at_once)
+    found, links = stored(found), stored(links)
+    component = components(links)
+
+    def upward(level: Level, ranges: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """From a level's classes (doc, low, high; doc, partner) to what they stand for, their own twins included."""
+        one = F.when(F.col("doc") == F.col("first"), F.col("other")).otherwise(F.col("first"))
+        heads = level.nodes.select("node", F.col("doc").alias("first"), "other")
+        ranges = ranges.unionByName(level.twins.withColumnRenamed("node", "doc")).withColumnsRenamed({"doc": "node", "low": "from", "high": "to"})
+        ranges = level.members.join(ranges, "node").select("doc", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+        partners = partners.withColumnRenamed("doc", "node").join(heads.select(F.col("node").alias("partner"), "first"), "partner").select("node", F.col("first").alias("partner"))
+        own = level.members.join(heads.join(level.twins.select("node").distinct(), "node"), "node").select("doc", one.alias("partner"))
+        return ranges, level.members.join(partners.distinct(), "node").select("doc", "partner").unionByName(own).distinct()
+
+    covered = found.select("doc", "low", "high"), found.select("doc", F.explode("partners").alias("partner")).distinct()
+    ranges, partners = upward(outer, *upward(inner, *covered))
+    least = component.where("node % 3 = 0").select(F.expr("node div 3").alias("doc"), "component")
+    sized = least.join(ids, "doc").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members"))
+    component = least.join(sized, "component").select("doc", "least", "members")
+    ranges = ranges.distinct().groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    partners = partners.join(ids.select(F.col("doc").alias("partner"), F.col("id").alias("pid")), "partner").groupBy("doc").agg(F.sort_array(F.collect_set("pid")).alias("partners"))
     none = F.expr(f"cast(array() as array<{kind}>)")
     marked = ids.join(ranges, "doc", "left").join(partners, "doc", "left").join(component, "doc", "left")
     marked = marked.select(F.col("id").alias("key"), "n_words", "found", F.coalesce("partners", none).alias("partners"), F.coalesce("least", "id").alias("component"), F.coalesce("members", F.lit(1).cast("long")).alias("members"))
