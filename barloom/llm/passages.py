@@ -813,7 +813,7 @@ def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray,
     by = np.lexsort((starts, asked, ranks))
     ranks, starts, asked = ranks[by], starts[by], asked[by]
     begins = _begins(ranks, asked)
-    begins[1:] |= np.diff(starts) > 16
+    begins[1:] |= np.diff(starts >> 3) != 0  # all windows of a run have most tokens in common
     first = np.flatnonzero(begins)
     last = np.concatenate([first[1:], [len(ranks)]]) - 1
     return values[order][ranks[first]], starts[first], starts[last] if len(first) else starts, asked[first]
@@ -821,7 +821,10 @@ def prefixes(x: np.ndarray, low: np.ndarray, asks: np.ndarray, docs: np.ndarray,
 
 #: 128 bits of the tokens that all windows of a run hold, and of those that any holds.
 SKETCHES = ("all0", "all1", "any0", "any1")
-_RARE = "token long, doc long, component long, span long, asks int, alone long, " + ", ".join(f"{name} long" for name in SKETCHES)
+#: The same by other bits: two sketches seldom are wrong about the same pair.
+SEEDS = {"": U(0), "again_": U(BASE2)}
+_NAMES = [f"{seed}{name}" for seed in SEEDS for name in SKETCHES]
+_RARE = "token long, doc long, component long, span long, asks int, alone long, " + ", ".join(f"{name} long" for name in _NAMES)
 
 
 def sketches(tokens: np.ndarray, first: np.ndarray, end: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
@@ -871,11 +874,11 @@ def _rare_tokens(t: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 parts.append([token.view(np.int64), np.full(m, piece.column(0)[i].as_py()), np.full(m, piece.column(1)[i].as_py()), first, last, np.full(m, bounds[i]), asks])
             token, doc, component, first, last, base, asks = (np.concatenate([p[c] for p in parts]) for c in range(7))
             every = base + last, np.maximum(base + last, base + first + t)
-            held = np.hstack([sketches(tokens, *every, alone), sketches(tokens, base + first, base + last + t, alone)]).view(np.int64)
+            held = np.hstack([sketches(tokens ^ seed, *r, alone) for seed in SEEDS.values() for r in (every, (base + first, base + last + t))]).view(np.int64)
             total = np.concatenate([[0], np.cumsum(alone)])
             columns = [token, doc, component, pack(first, last + t)]
             ends = [total[every[1]] - total[every[0]], *(np.ascontiguousarray(c) for c in held.T)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32()), *(pa.array(c) for c in ends)], names=["token", "doc", "component", "span", "asks", "alone", *SKETCHES])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(asks, pa.int32()), *(pa.array(c) for c in ends)], names=["token", "doc", "component", "span", "asks", "alone", *_NAMES])
 
     return run
 
@@ -1067,12 +1070,12 @@ def _similar(texts: DataFrame, known: DataFrame, component_of: Callable[[DataFra
     rare = stored(wanted.join(full, "doc").select("doc", "component", "windows", "shared", "tokens").mapInArrow(_rare_tokens(t, percent), _RARE))
     asking = rare.where("asks > 0")
     offers = in_bitmap(rare, F.col("token"), bitmap_parts(asking.select("token"), "token"))
-    offers = offers.select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"), F.col("alone").alias("palone"), *(F.col(name).alias(f"p{name}") for name in SKETCHES))
+    offers = offers.select("token", F.col("doc").alias("pdoc"), F.col("component").alias("other"), F.col("span").alias("pspan"), F.col("asks").alias("pasks"), F.col("alone").alias("palone"), *(F.col(name).alias(f"p{name}") for name in _NAMES))
     met = asking.join(offers, "token")
     elsewhere = (F.col("doc") != F.col("pdoc")) | (F.greatest(_high(F.col("span")) - _low(F.col("pspan")), _high(F.col("pspan")) - _low(F.col("span"))) >= 2 * t)
     wants = (F.col("asks") == COVERAGE) | (F.col("component") != F.col("other"))
     once = (F.col("pasks") < F.col("asks")) | ((F.col("pasks") == F.col("asks")) & (F.struct("doc", "span") <= F.struct("pdoc", "pspan")))
-    near = F.col("alone") + F.col("palone") + apart_at_least("", "p") <= 2 * t * (100 - percent) // (100 + percent)
+    near = F.col("alone") + F.col("palone") + F.greatest(*(apart_at_least(seed, f"p{seed}") for seed in SEEDS)) <= 2 * t * (100 - percent) // (100 + percent)
     met = met.where(elsewhere & wants & once & near).select("doc", "span", "pdoc", "pspan").distinct()
     more = alike.unionByName(verified(met))
     del asking, offers, met, wanted
@@ -1100,21 +1103,31 @@ def near_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     # Once more: what only members of one class have is nothing that classes have in common.
     inner = condensed(outer.nodes.select(F.shiftright("node", 10).alias("chunk"), F.col("node").alias("doc"), "tokens"), token_chunks, t, percent)
 
-    def components(links: DataFrame) -> DataFrame:
-        """node, component: documents are 3 x row, classes 3 x node + 1 and + 2, of the outer and the inner level."""
+    def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """node, component: documents are 3 x row, classes 3 x node + 1 and + 2, of the outer and the inner level. known: the same for some of the links."""
         linked = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(inner.twins.select("node")).distinct()
         among = inner.members.join(linked, "node").select("node", "doc")
         reached = among.select(F.col("doc").alias("node")).unionByName(outer.twins.select("node")).distinct()
         over = outer.members.join(reached, "node").select("node", "doc")
         edges = [links.select(F.col("a") * 3 + 2, F.col("b") * 3 + 2), among.select(F.col("node") * 3 + 2, F.col("doc") * 3 + 1), over.select(F.col("node") * 3 + 1, F.col("doc") * 3)]
-        return checkpointed(connected_components(edges[0].union(edges[1]).union(edges[2]).toDF("a", "b")))
+        joined = edges[0].union(edges[1]).union(edges[2]).toDF("a", "b")
+        if known is None:
+            return checkpointed(connected_components(joined))
+        for end in ("a", "b"):  # what is known to hang together is one node
+            joined = joined.join(known.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        fresh = checkpointed(connected_components(joined.where("a <> b").distinct()))
+        moved = known.join(fresh.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return checkpointed(moved.unionByName(fresh.join(known, "node", "left_anti")))
+
+    before: list[DataFrame] = []
 
     def component_of(links: DataFrame) -> DataFrame:
-        return components(links).where("node % 3 = 2").select(F.expr("(node - 2) div 3").alias("doc"), "component")
+        before.append(components(links))
+        return before[0].where("node % 3 = 2").select(F.expr("(node - 2) div 3").alias("doc"), "component")
 
     found, links = _similar(inner.nodes.select(F.col("node").alias("doc"), "tokens"), inner.twins.withColumnRenamed("node", "doc"), component_of, t, percent, bands, at_once)
     found, links = stored(found), stored(links)
-    component = components(links)
+    component = components(links, before[0])
 
     def upward(level: Level, ranges: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
         """From a level's classes (doc, low, high; doc, partner) to what they stand for, their own twins included."""
