@@ -16,8 +16,11 @@ A passage counts if at another place, without overlap, a passage of as many word
 common, confirmed on the tokens themselves, or on 128 bits of hash where both cells are equal. Passages that are equal share all cells. At a similarity of 0.8 a pair shares none of 5
 bands with a probability of 0.6 %, at 0.9 of 0.03 %.
 
+All this is done on few texts. Tokens are counted over the corpus; windows with too many that occur once are similar to nothing, and go. What is left of
+texts are pieces; those that differ only in such tokens are one class, of which one is searched and all its members get what it finds.
+
 Map tasks join equal cells inside each of their batches and pass on one of them, so a passage that a third
-of all documents share sends one row for each batch and wording. Texts are cut to the passages in question before they are shuffled.
+of all documents share sends one row for each batch and wording. Pieces are cut to the passages in question before they are shuffled.
 
 Cases: null texts and texts of fewer than ``words`` words have no passages; each row is a document of its own, whatever its id, so ids may
 be null, repeat, or be strings; the component of documents that all lack an id is null; empty tables give no
